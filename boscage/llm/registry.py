@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, packing, quality, tokenfile
+from . import bpe, chat, exact, jaccard, packing, quality, tokenfile
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_token_file": tokenfile.op9_token_file,
 }
 ORACLES = {"op4_exact_dedup": exact.ORACLE}
