@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, jaccard, packing, quality, tokenfile
+from . import bpe, chat, exact, jaccard, packing, quality, suffix, tokenfile
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
