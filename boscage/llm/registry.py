@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, jaccard, packing, quality, suffix, tokenfile
+from . import bpe, chat, exact, jaccard, lines, packing, quality, suffix, tokenfile
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_token_file": tokenfile.op9_token_file,
