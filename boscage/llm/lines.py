@@ -328,11 +328,11 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     scratch = Scratch(docs.sparkSession, "cutlines")
     gone = scratch.save(line_classes(docs, text=text, key=key, **options).where("not kept").groupBy("rk").agg(F.collect_set("line_no").alias("gone")), "gone")
     rk = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    marked = docs.withColumn("_rk", rk).join(gone.select(F.col("rk").alias("_rk"), F.col("gone").alias("_gone")), "_rk", "left")
-    hit = marked.where("_gone is not null")
-    new = scratch.save(hit.select(F.col("_rk").alias("rk"), F.col(text).alias("text"), F.col("_gone").alias("gone")).dropDuplicates(["rk"]).mapInArrow(_cut, ddl(_CUT)), "texts")
-    changed = hit.drop(text, "_gone").join(new.select(F.col("rk").alias("_rk"), F.col("text").alias(text)), "_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    out = marked.where("_gone is null").drop("_gone").unionByName(changed).select(*docs.columns)
+    marked = docs.withColumn("__cut_rk", rk).join(gone.select(F.col("rk").alias("__cut_rk"), F.col("gone").alias("__cut_gone")), "__cut_rk", "left")
+    hit = marked.where("__cut_gone is not null")
+    new = scratch.save(hit.select(F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_gone").alias("gone")).dropDuplicates(["rk"]).mapInArrow(_cut, ddl(_CUT)), "texts")
+    changed = hit.drop(text, "__cut_gone").join(new.select(F.col("rk").alias("__cut_rk"), F.col("text").alias(text)), "__cut_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = marked.where("__cut_gone is null").drop("__cut_gone").unionByName(changed).select(*docs.columns)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -61,14 +61,19 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(_let(words, lambda w: _let(windows(w), of)))
 
 
+def row_key(text: str, key: str) -> Column:
+    """A hash of all that a verdict depends on and the id; rows with equal ones have one verdict."""
+    return F.xxhash64(F.col(key).cast("long"), F.col("lang"), F.col("source"), F.col(text))
+
+
 def statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, lang, source and the base statistics of each whole text (null: none)."""
+    """doc_id, rk, lang, source and the base statistics of each whole text (null: none)."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, SPACES), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("lang"), F.col("source"), words.alias("w"), lines.alias("l"), (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(text, key).alias("rk"), F.col("lang"), F.col("source"), words.alias("w"), lines.alias("l"), (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     return own.select(
-        "doc_id", "lang", "source",
+        "doc_id", "rk", "lang", "source",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -248,7 +253,7 @@ def _groups() -> list[Column]:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 50, tail: float = 1e-5) -> DataFrame:
-    """One row per input row: doc_id, lang, source, the statistics, base_failed, distance2, kept.
+    """One row per input row: doc_id, rk, lang, source, the statistics, base_failed, distance2, kept.
 
     Rows that fail the base rules don't enter the estimates.  A group of fewer
     than ``least`` rows uses its language's estimate, and one of fewer than
@@ -275,5 +280,12 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= _chi2_quantile(1 - tail, len(DIMENSIONS)), F.lit(True)))
 
 
+def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the rows that quality_rules() rejects, all columns as they were."""
+    name = "__quality_rk"
+    good = quality_rules(docs, text, key).where("kept").select(F.col("rk").alias(name))
+    return docs.withColumn(name, row_key(text, key)).join(good, name, "left_semi").select(*docs.columns)
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

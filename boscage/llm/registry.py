@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, jaccard, lines, packing, quality, suffix, tokenfile
+from . import bpe, chat, exact, html, jaccard, lines, packing, quality, suffix, tokenfile
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_html_text": html.op5_html_text,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,

@@ -350,12 +350,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: st
     spans = scratch.save(repeated_spans(docs, least=least, text=text, key=key).where("n_dropped > 0").select("rk", "dropped"), "spans")
     gone = spans.groupBy("rk").agg(F.flatten(F.collect_list("dropped")).alias("dropped"))
     rk = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    marked = docs.withColumn("_rk", rk).join(gone.select(F.col("rk").alias("_rk"), F.col("dropped").alias("_dropped")), "_rk", "left")
-    hit = marked.where("_dropped is not null")
-    cut = hit.select(F.col("_rk").alias("rk"), F.col(text).alias("text"), F.col("_dropped").alias("dropped")).dropDuplicates(["rk"])
+    marked = docs.withColumn("__cut_rk", rk).join(gone.select(F.col("rk").alias("__cut_rk"), F.col("dropped").alias("__cut_dropped")), "__cut_rk", "left")
+    hit = marked.where("__cut_dropped is not null")
+    cut = hit.select(F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_dropped").alias("dropped")).dropDuplicates(["rk"])
     new = scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts")
-    rest = marked.where("_dropped is null").drop("_dropped")
-    changed = hit.drop(text, "_dropped").join(new.select(F.col("rk").alias("_rk"), F.col("text").alias(text)), "_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    rest = marked.where("__cut_dropped is null").drop("__cut_dropped")
+    changed = hit.drop(text, "__cut_dropped").join(new.select(F.col("rk").alias("__cut_rk"), F.col("text").alias(text)), "__cut_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     out = rest.unionByName(changed).select(*docs.columns)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
