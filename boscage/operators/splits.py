@@ -92,7 +92,7 @@ class Scan:
         i = int(np.argmax(gain))  # the first of equal ones
         if gain[i] > LEAST_GAIN and gain[i] > best.gain:
             left = int(gl[i]), int(hl[i])
-            return Split(float(gain[i]), feat, int(bins[i]), default_left, left, (self.g - left[0], self.h - left[1]), None if cats is None else cats(i), (float(wl[i]), float(wr[i])))
+            return Split(float(gain[i]), int(feat), int(bins[i]), default_left, left, (self.g - left[0], self.h - left[1]), None if cats is None else cats(i), (float(wl[i]), float(wr[i])))
         return best
 
     def numeric(self, feat: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, monotone: int = 0) -> Split:

@@ -187,7 +187,7 @@ def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests:
         pdf[["cls", "node", "feat", "bin"]] = pdf[["cls", "node", "feat", "bin"]].astype(int)
         tables: dict[tuple[int, int], dict] = {}
         for (k, n, f), x in pdf.groupby(["cls", "node", "feat"]):
-            tables.setdefault((k, n), {})[f] = (x["bin"].to_numpy(), x["g"].to_numpy(np.int64), x["h"].to_numpy(np.int64))
+            tables.setdefault((int(k), int(n)), {})[int(f)] = (x["bin"].to_numpy(), x["g"].to_numpy(np.int64), x["h"].to_numpy(np.int64))
         for (k, n), r in by.items():
             t = tables.get((k, n), {})
             sums = (int(t[-1][1][0]), int(t[-1][2][0])) if -1 in t else (0, 0)
