@@ -157,12 +157,14 @@ def evaluate(df: DataFrame, names: list[str], objective: str, margins: list[str]
             levels = q["quantile_alpha"]
             each = [row_loss(name, F.col(m), yc, q | {"level": a}) for m, a in zip(margins, levels, strict=True)]
             simple.append((name, (F.sum(wc * sum(each[1:], each[0])) / F.sum(wc) / len(each)).alias(f"m{i}")))
+        elif base == "aft-nloglik" and q["aft_loss_distribution"] == "normal":
+            continue
         elif base == "aft-nloglik" or base == "interval-regression-accuracy":
             from ..operators import survival
 
             lo, hi, m = yc, F.col(upper).cast("double"), F.col(margins[0]).cast("double")
             kind = q["aft_loss_distribution"]
-            own = F.when((F.exp(m) >= lo) & (F.exp(m) <= hi), 1.0).otherwise(0.0) if base[0] == "i" else survival.aft_nloglik(m, lo, hi, "logistic" if kind == "normal" else kind, q["aft_loss_distribution_scale"])
+            own = F.when((F.exp(m) >= lo) & (F.exp(m) <= hi), 1.0).otherwise(0.0) if base[0] == "i" else survival.aft_nloglik(m, lo, hi, kind, q["aft_loss_distribution_scale"])
             simple.append((name, (F.sum(wc * own) / F.sum(wc)).alias(f"m{i}")))
         elif scalar and row_loss(name, F.lit(0.0), F.lit(0.0), q) is not None:
             p = objectives.sigmoid(F.col(margins[0]).cast("double")).cast("float") if objective == "binary:logitraw" and base in ("logloss", "error") else pred
@@ -188,6 +190,10 @@ def evaluate(df: DataFrame, names: list[str], objective: str, margins: list[str]
             from ..operators import survival
 
             v = survival.cox_nloglik(df, margins[0], y, w).first()[0]
+        elif base == "aft-nloglik":
+            from ..operators import survival
+
+            v = survival.aft_normal_nloglik(df, margins[0], y, upper, w, q["aft_loss_distribution_scale"]).first()[0]
         else:
             raise ValueError(f"unknown metric {name!r}")
         out[name] = math.nan if v is None else float(v)

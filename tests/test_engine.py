@@ -293,6 +293,9 @@ def test_aft_gradients_are_derivatives(spark):
         for r in df.select(g.alias("g"), h.alias("h"), *[x.alias(f"l{i}") for i, x in enumerate(loss)]).collect():
             assert abs(r.g - (r.l2 - r.l0) / (2 * e)) < 1e-3
             assert abs(r.h - (r.l2 - 2 * r.l1 + r.l0) / e**2) < 1e-2
+    one = df.where("lo = 1").withColumn("w", F.lit(2.0)).where("m < 0.5")
+    want = -math.log(survival.aft_normal((math.log(3) - 0.1) / 1.2)[1] - survival.aft_normal(-0.1 / 1.2)[1])
+    assert abs(survival.aft_normal_nloglik(one, "m", "lo", "hi", "w", 1.2).first()[0] - want) < 1e-9
     for r in survival.aft_normal_gradients(df, "m", "lo", "hi", 1.2).collect():
         f = lambda m, r=r: -math.log(survival.aft_normal((math.log(r.hi) - m) / 1.2)[1] - (survival.aft_normal((math.log(r.lo) - m) / 1.2)[1] if r.lo else 0)) if r.lo != r.hi and r.hi < 1e9 else None
         if f(r.m) is not None:
