@@ -23,14 +23,3 @@ class Labels:
         moved = self.members.pop(b)
         self.of[moved] = a
         self.members[a] += moved
-
-
-def star_edges(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, first node of the same key) for sorted keys; linear in the rows."""
-    if not len(key):
-        return node[:0], node[:0]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    use = node != first
-    return node[use], first[use]

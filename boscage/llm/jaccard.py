@@ -11,11 +11,14 @@ An R-tree holds one unit of work.  Units come from an exact filter: two sets
 above the threshold share one of their first n - ceil(t n) + 1 shingles in any
 fixed order of all shingles.  The order puts rare cells of a fixed-size count
 sketch first, so that frequent passages seldom meet.  Sets that share such a
-shingle, directly or through others, form a block; a heavy block is cut by a
-hash and each pair of its parts is a unit, so no task holds more than a bounded
-number of shingles.  Inside a unit a pair that is already connected is not
-verified again, and a unit returns a spanning forest of its links, so the rows
-are linear in the documents whatever the size of a group of copies.
+shingle meet twice.  First only their points do: an R-tree per shingle links
+those whose bound allows it, and what is linked, directly or through others,
+forms a block.  Then the sets of a block meet, and an R-tree over them with
+verification gives the links.  A heavy block or shingle is cut by a hash and
+each pair of its parts is a unit, so no task holds more than a bounded number
+of sets.  Inside a unit a pair that is already connected is not looked at
+again, and a unit returns a spanning forest, so the rows are linear in the
+documents whatever the size of a group of copies.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields
 from .components import components
-from .forest import Labels, star_edges
+from .forest import Labels
 from .store import Scratch, width
 from .tables import table
 from .words import U, Words, mix, pieces, signed
 
-CELLS = 1 << 20
+CELLS = 1 << 22
 SLICES = 64
 GROUPS = 64
 LEAF = 32
-_SETS = fields(doc_id="long", n_shingles="long", s1="long", s2="long", node="long", cell_slice="int", cells="binary")
+_SETS = fields(doc_id="long", n_shingles="long", s1="long", s2="long", node="long", point="binary", cell_slice="int", cells="binary")
 _ENTRIES = fields(key="long", node="long")
 _EDGES = fields(a="long", b="long")
 _POINTS = fields(comp="long", i="int", j="int", part="int", doc_id="long", shingles="binary")
@@ -59,23 +62,45 @@ def _node(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     return mix(s1 ^ mix(s2))
 
 
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> U(40)).astype(np.int64) % CELLS
+
+
+def _groups(n: np.ndarray) -> np.ndarray:
+    """Number of groups of a set of n: a power of two near n / 16, from 32 to 256."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(int).clip(0), 32, 256)
+
+
+def _point_array(rows: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Counts per group, one byte each: counts over 255 are scaled and rounded up,
+    so that sums of minima stay upper bounds; the first byte is the scale."""
+    out = []
+    ptr = np.searchsorted(rows, np.arange(len(size) + 1))
+    for i, g in enumerate(_groups(size).tolist()):
+        own = h[ptr[i] : ptr[i + 1]]
+        c = np.bincount((own >> U(65 - g.bit_length())).astype(np.int64), minlength=g)
+        scale = min(255, max(1, -(-int(c.max(initial=0)) // 255)))
+        out.append(bytes((scale,)) + np.minimum(-(-c // scale), 255).astype(np.uint8).tobytes() if c.max(initial=0) <= 255 * 255 else bytes((0,)))
+    return pa.array(out, pa.binary())
+
+
 def _sets(k: int):
     """Per document the identity of its set; per task the counts of shingles by cell."""
 
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS, np.int32)
         none = lambda n, kind: pa.nulls(n, kind)
         for batch in arriving:
             for part in pieces(batch, "text"):
                 rows, h = Words(part.column(1), lower=True).shingles(k)
                 n = part.num_rows
-                counts += np.bincount((h >> U(40)).astype(np.int64) % CELLS, minlength=CELLS)
+                counts += np.bincount(_cell(h), minlength=CELLS).astype(np.int32)
                 s1, s2 = _identity(rows, h, n)
                 size = np.bincount(rows, minlength=n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signed(_node(s1, s2))), none(n, pa.int32()), none(n, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signed(_node(s1, s2))), _point_array(rows, h, size), none(n, pa.int32()), none(n, pa.binary())], schema=_SETS)
         step = CELLS // SLICES
-        cells = [counts[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([*[none(SLICES, pa.int64())] * 5, pa.array(range(SLICES), pa.int32()), pa.array(cells, pa.binary())], schema=_SETS)
+        cells = [np.minimum(counts[i * step : (i + 1) * step], 65535).astype("<u2").tobytes() for i in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([*[none(SLICES, pa.int64())] * 5, none(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(cells, pa.binary())], schema=_SETS)
 
     return run
 
@@ -85,8 +110,8 @@ def _add(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in arriving:
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(raw.as_buffer(), "<i8")
-            total[i] = total[i] + own if i in total else own.copy()
+            own = np.frombuffer(raw.as_buffer(), "<u2").astype(np.int64)
+            total[i] = total[i] + own if i in total else own
     if total:
         levels = [np.ceil(np.log2(total[i] + 1)).astype(np.uint8).tobytes() for i in total]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], schema=fields(cell_slice="int", cells="binary"))
@@ -103,8 +128,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
 
 
 def _entries(k: int, percent: int, levels: np.ndarray):
-    """(shingle, set) for the first shingles of each set; what meets inside a
-    task is linked there, so a shingle leaves it once per buffer."""
+    """(shingle, set) for the first shingles of each set; copies inside a buffer count once."""
 
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_node, size = [], [], 0
@@ -114,14 +138,8 @@ def _entries(k: int, percent: int, levels: np.ndarray):
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            # a first row per key, and for the others an edge under a key of the two nodes
-            a, b = star_edges(key, node)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             yield from _entry_batches(key[new], node[new])
-            if len(a):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
-                link = mix(pair[:, 0] * U(3) + mix(pair[:, 1]))
-                yield from _entry_batches(np.concatenate([link, link]), np.concatenate([pair[:, 0], pair[:, 1]]))
 
         for batch in arriving:
             for part in pieces(batch, "text"):
@@ -129,7 +147,7 @@ def _entries(k: int, percent: int, levels: np.ndarray):
                 if not len(h):
                     continue
                 s1, s2 = _identity(rows, h, part.num_rows)
-                rank = (levels[(h >> U(40)).astype(np.int64) % CELLS].astype(U) << U(58)) | (h >> U(6))
+                rank = (levels[_cell(h)].astype(U) << U(58)) | (h >> U(6))
                 order = np.lexsort((h, rank, rows))
                 h, rows = h[order], rows[order]
                 start = np.searchsorted(rows, np.arange(part.num_rows))
@@ -139,7 +157,7 @@ def _entries(k: int, percent: int, levels: np.ndarray):
                 held_key.append(h[use])
                 held_node.append(_node(s1, s2)[rows[use]])
                 size += int(use.sum())
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from flush()
                     held_key, held_node, size = [], [], 0
         if size:
@@ -153,21 +171,63 @@ def _entry_batches(key: np.ndarray, node: np.ndarray, step: int = 200_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(signed(key[i : i + step])), pa.array(signed(node[i : i + step]))], schema=_ENTRIES)
 
 
-def _meet(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: an edge from each node to the first one of its key."""
-    last_key, last_node = None, None
+def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node: those of keys that two sets have, once each."""
+
+    def whole(key, node):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        same = key[1:] == key[:-1]
+        use = np.zeros(len(key), bool)
+        use[1:] |= same
+        use[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(node[use])], schema=_ENTRIES)
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for batch in arriving:
         if not batch.num_rows:
             continue
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last_key is not None and key[0] == last_key:  # the run began in an earlier batch
-            key, node = np.concatenate([[last_key], key]), np.concatenate([[last_node], node])
-        a, b = star_edges(key, node)
-        head = np.flatnonzero(key == key[-1])[0]
-        last_key, last_node = key[-1], node[head]
-        if len(a):
-            pair = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_EDGES)
+        key, node = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held))
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if cut:
+            yield whole(key[:cut], node[:cut])
+        held = [key[cut:], node[cut:]]
+    if len(held[0]):
+        yield whole(*held)
+
+
+def _bound(percent: int):
+    """Rows of one shingle (and pair of parts): a spanning forest of the pairs whose bound allows a link."""
+
+    def done(rows):
+        node = [r[4] for r in rows]
+        size = np.array([r[5] for r in rows], np.int64)
+        part = np.array([r[3] for r in rows])
+        labels = Labels(len(rows))
+        groups = _groups(size)
+        points = [np.frombuffer(r[6], np.uint8) for r in rows]
+        for g in np.unique(groups).tolist():
+            own = np.flatnonzero(groups == g)
+            top = size[own].max()
+            near = np.concatenate([own, np.flatnonzero((groups == 2 * g) & (percent * size <= 100 * top))])
+            counts = np.stack([_unpacked(points[i], int(size[i]), int(groups[i]), g) for i in near])
+            forest(counts, size[near], part[near], percent, labels, near, lambda a, b: True)
+        for a, b in labels.edges:
+            yield node[a], node[b]
+
+    def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(units(arriving, 3, done), _EDGES)
+
+    return run
+
+
+def _unpacked(raw: np.ndarray, n: int, groups: int, g: int) -> np.ndarray:
+    """Counts in g groups; a point that couldn't be packed allows anything."""
+    if not raw[0]:
+        return np.full(g, n, np.int32)
+    c = raw[1:].astype(np.int32) * int(raw[0])
+    return c.reshape(g, groups // g).sum(axis=1)
 
 
 class RTree:
@@ -199,26 +259,22 @@ class RTree:
         return at
 
 
-def link(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sorted sets (100 * overlap >= percent * union).
+def forest(counts: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int, labels: Labels, ids: np.ndarray, check: Callable[[int, int], bool]) -> None:
+    """Join the labels of ids whose counts allow a link and that pass check.
 
     part: pairs of the same part are left to the unit of that part alone,
-    unless all sets have one part.
+    unless all have one part.
     """
-    n = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
-    flat = np.concatenate(sets) if n else np.zeros(0, U)
-    row = np.repeat(np.arange(n), size)
-    counts = np.bincount(row * GROUPS + (flat >> U(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
     tree = RTree(counts, size)
-    order, labels = tree.order, Labels(n)
+    order = tree.order
     across = bool(part.min() != part.max())
     tops, lows, highs = tree.levels[0]
     for leaf in range(len(lows)):
         x = order[leaf * LEAF : (leaf + 1) * LEAF]
         for other in tree.leaves(tops[leaf], lows[leaf], highs[leaf], percent, leaf + 1):
             y = order[other * LEAF : (other + 1) * LEAF]
-            open_ = labels.of[x][:, None] != labels.of[y][None, :]
+            lx, ly = labels.of[ids[x]], labels.of[ids[y]]
+            open_ = lx[:, None] != ly[None, :]
             if across:
                 open_ &= part[x][:, None] != part[y][None, :]
             if other == leaf:
@@ -227,14 +283,29 @@ def link(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[i
                 continue
             bound = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(axis=2)
             both = size[x][:, None] + size[y][None, :]
-            open_ &= (100 + percent) * bound >= percent * both
+            least = np.minimum(size[x][:, None], size[y][None, :])
+            open_ &= ((100 + percent) * bound >= percent * both) & ((100 + percent) * least >= percent * both)
             for p, q in zip(*np.nonzero(open_), strict=True):
-                a, b = x[p], y[q]
-                if labels.of[a] != labels.of[b]:
-                    s, t = (sets[a], sets[b]) if size[a] <= size[b] else (sets[b], sets[a])
-                    overlap = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                    if (100 + percent) * overlap >= percent * int(both[p, q]):
-                        labels.join(int(a), int(b))
+                a, b = int(ids[x[p]]), int(ids[y[q]])
+                if labels.of[a] != labels.of[b] and check(a, b):
+                    labels.join(a, b)
+
+
+def link(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sorted sets (100 * overlap >= percent * union)."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if n else np.zeros(0, U)
+    row = np.repeat(np.arange(n), size)
+    counts = np.bincount(row * GROUPS + (flat >> U(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+    labels = Labels(n)
+
+    def check(a: int, b: int) -> bool:
+        s, t = (sets[a], sets[b]) if size[a] <= size[b] else (sets[b], sets[a])
+        overlap = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+        return (100 + percent) * overlap >= percent * int(size[a] + size[b])
+
+    forest(counts, size, part, percent, labels, np.arange(n), check)
     return labels.edges
 
 
@@ -291,33 +362,41 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", unit: int = 1_500_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", unit: int = 1_500_000, meeting: int = 20_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z).  component_id is the smallest doc_id that
     links reach, the row's own included.  Null, empty and blank texts have no
     shingles and link with nothing; rows with a null doc_id are counted and
     link with nothing; rows that share a doc_id are one node; repeated rows
-    are returned each.  unit bounds the shingles of a part of a block.
+    are returned each.  unit bounds the shingles of a
+    part of a block and meeting the points of a part of a shingle.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.save(own.mapInArrow(_sets(k), ddl(_SETS)), "sets")
     levels = _levels(sets)
-    members = sets.where("cell_slice is null").select("doc_id", "n_shingles", "s1", "s2", "node")
-    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("node").alias("node"))
+    members = sets.where("cell_slice is null").select("doc_id", "n_shingles", "s1", "s2", "node", "point")
+    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("node").alias("node"), F.max("point").alias("point"))
     classes = scratch.save(classes, "classes")
     dealt = own.mapInArrow(_entries(k, percent, levels), ddl(_ENTRIES)).repartition(width(spark), "key").sortWithinPartitions("key", "node")
-    blocks = components(dealt.mapInArrow(_meet, ddl(_EDGES)), scratch, "blocks")
-    heavy = scratch.save(classes.join(blocks, "node").select("rep", "n", "s1", "s2", F.col("root").alias("comp")), "candidates")
-    weight = heavy.groupBy("comp").agg(F.ceil(F.sum("n") / unit).cast("int").alias("parts"))
-    dealt = heavy.join(weight, "comp").select(F.col("rep").alias("doc_id"), "comp", "parts", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "s1", "s2")
+    shared = scratch.save(dealt.mapInArrow(_shared, ddl(_ENTRIES)), "shared")
+    heavy = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / meeting).cast("int").alias("parts")).where("parts > 1")
+    # two sets under one node are both kept: their points may meet either way
+    met = shared.join(classes.select("node", "n", "point"), "node").join(heavy, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "point")
+    near = met.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_bound(percent), ddl(_EDGES))
+    blocks = components(near, scratch, "blocks")
+    inside = scratch.save(classes.join(blocks, "node").select("rep", "n", "s1", "s2", F.col("root").alias("comp")), "candidates")
+    weight = inside.groupBy("comp").agg(F.ceil(F.sum("n") / unit).cast("int").alias("parts"))
+    dealt = inside.join(weight, "comp").select(F.col("rep").alias("doc_id"), "comp", "parts", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "s1", "s2")
     with_text = own.join(dealt, "doc_id").select("doc_id", "text", "comp", "parts", "part", "s1", "s2")
     points = with_text.mapInArrow(_points(k), ddl(_POINTS)).repartition(width(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = components(points.mapInArrow(_verify(percent), ddl(_EDGES)), scratch, "links")
     roots = classes.select("s1", "s2", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = members.join(roots, ["s1", "s2"], "left")
+    out = members.select("doc_id", "n_shingles", "s1", "s2").join(roots, ["s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 

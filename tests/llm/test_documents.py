@@ -231,8 +231,8 @@ def shingles(text):
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("unit", [1_500_000, 900])
-def test_jaccard_groups(docs, rows, empty, unit):
+@pytest.mark.parametrize(("unit", "meeting"), [(1_500_000, 20_000), (900, 3)])
+def test_jaccard_groups(docs, rows, empty, unit, meeting):
     sets = [(r[0], shingles(r[1])) for r in rows if r[0] is not None]
     parent = {d: d for d, _ in sets}
 
@@ -246,7 +246,7 @@ def test_jaccard_groups(docs, rows, empty, unit):
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 a, b = find(d), find(e)
                 parent[max(a, b)] = min(a, b)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs, unit=unit).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs, unit=unit, meeting=meeting).collect()), key=str)
     want = sorted(((r[0], len(shingles(r[1])), None if r[0] is None else find(r[0])) for r in rows), key=str)
     assert got == want
     assert jaccard.jaccard_groups(empty).count() == 0
