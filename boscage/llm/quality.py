@@ -102,50 +102,40 @@ def vector() -> list[Column]:
     return [F.round(x * FIXED).cast("long").alias(c) for x, c in zip(raw, DIMENSIONS, strict=True)]
 
 
-def _grow(values: list[Column], steps: list) -> Column:
-    """An array of values, grown by f(array) for each f of steps; each is evaluated once."""
-    out = F.array(*values)
-    for f in steps:
-        out = _let(out, _append(f))
+def _whitened(scatter: list[Column], d: int) -> Column:
+    """The lower triangle of a scatter, then its Cholesky factor, then that factor's
+    inverse, each row by row, in one array; each value is made once from earlier ones."""
+    order = [(i, j) for i in range(d) for j in range(i + 1)]
+    size = len(order)
+    numbers = lambda v: F.array(*[F.lit(x) for x in v])
+    at_i, at_j, row = numbers([i for i, _ in order]), numbers([j for _, j in order]), numbers([i * (i + 1) // 2 for i in range(d)])
+    least = numbers([f * f * 1e-3 for f in FLOORS])
+    first = F.sequence(F.lit(0), F.lit(d))
+
+    def place(i: Column, j: Column, block: int) -> Column:
+        return F.get(row, i) + j + block * size
+
+    def dot(a: Column, ks: Column, term) -> Column:
+        return F.aggregate(ks, F.lit(0.0), lambda s, k: s + term(a, k))
+
+    def factor(a: Column, n: Column) -> Column:
+        i, j = F.get(at_i, n), F.get(at_j, n)
+        rest = F.get(a, n) - dot(a, F.slice(first, F.lit(1), j), lambda a, k: F.get(a, place(i, k, 1)) * F.get(a, place(j, k, 1)))
+        return F.when(i == j, F.sqrt(F.greatest(rest, F.get(least, i)))).otherwise(rest / F.get(a, place(j, j, 1)))
+
+    def inverse(a: Column, n: Column) -> Column:
+        i, j = F.get(at_i, n), F.get(at_j, n)
+        rest = F.when(i == j, F.lit(1.0)).otherwise(-dot(a, F.slice(first, j + 1, i - j), lambda a, k: F.get(a, place(i, k, 1)) * F.get(a, place(k, j, 2))))
+        return rest / F.get(a, place(i, i, 1))
+
+    out = F.array(*scatter)
+    for step in (factor, inverse):
+        out = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), out, _appended(step))
     return out
 
 
-def _append(f):
-    return lambda a: F.concat(a, F.array(f(a)))
-
-
-def _whitening(d: int) -> tuple[list, int, int]:
-    """Steps that append the Cholesky factor L of the scatter and then its inverse.
-
-    The array starts with the lower triangle of the scatter, row by row.
-    Returns the steps and the places where L and its inverse begin.
-    """
-    place = {}
-    for i in range(d):
-        for j in range(i + 1):
-            place[i, j] = len(place)
-    size = len(place)
-
-    def factor(i: int, j: int):
-        def step(a: Column) -> Column:
-            at = lambda x, y: F.get(a, F.lit(size + place[x, y]))
-            rest = functools.reduce(lambda s, k: s - at(i, k) * at(j, k), range(j), F.get(a, F.lit(place[i, j])))
-            return F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 * 1e-3))) if i == j else rest / at(j, j)
-
-        return step
-
-    def inverse(i: int, j: int):
-        def step(a: Column) -> Column:
-            low = lambda x, y: F.get(a, F.lit(size + place[x, y]))
-            inv = lambda x, y: F.get(a, F.lit(2 * size + place[x, y]))
-            if i == j:
-                return 1.0 / low(i, i)
-            return -functools.reduce(lambda s, k: s + low(i, k) * inv(k, j), range(j, i), F.lit(0.0)) / low(i, i)
-
-        return step
-
-    order = [(i, j) for i in range(d) for j in range(i + 1)]
-    return [factor(i, j) for i, j in order] + [inverse(i, j) for i, j in order], size, 2 * size
+def _appended(step):
+    return lambda a, n: F.concat(a, F.array(step(a, n)))
 
 
 def _estimate(rows: DataFrame, inflate: float) -> DataFrame:
@@ -163,9 +153,9 @@ def _estimate(rows: DataFrame, inflate: float) -> DataFrame:
     n = F.col("n_half").cast("double")
     mean = [F.col(f"s{i}") / n / FIXED for i in range(d)]
     scatter = [inflate * (F.col(f"p{i}{j}") / n / FIXED**2 - mean[i] * mean[j]) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in order]
-    steps, low, inv = _whitening(d)
+    low, inv = len(order), 2 * len(order)
     diagonal = [low + order.index((i, i)) for i in range(d)]
-    out = agg.select("group", "n_half", F.array(*mean).alias("mean"), _grow(scatter, steps).alias("a"))
+    out = agg.select("group", "n_half", F.array(*mean).alias("mean"), _whitened(scatter, d).alias("a"))
     det = functools.reduce(lambda s, k: s + 2 * F.log(F.get("a", F.lit(k))), diagonal, F.lit(0.0))
     return out.select("group", "n_half", "mean", F.slice("a", inv + 1, len(order)).alias("white"), det.alias("log_det"))
 
