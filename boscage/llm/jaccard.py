@@ -392,7 +392,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     inside = scratch.save(classes.join(blocks, "node").select("rep", "n", "s1", "s2", F.col("root").alias("comp")), "candidates")
     weight = inside.groupBy("comp").agg(F.ceil(F.sum("n") / unit).cast("int").alias("parts"))
     dealt = inside.join(weight, "comp").select(F.col("rep").alias("doc_id"), "comp", "parts", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "s1", "s2")
-    with_text = own.join(dealt, "doc_id").select("doc_id", "text", "comp", "parts", "part", "s1", "s2")
+    # a merge join at every size: what would be broadcast grows with the documents
+    with_text = own.join(dealt.hint("merge"), "doc_id").select("doc_id", "text", "comp", "parts", "part", "s1", "s2")
     points = with_text.mapInArrow(_points(k), ddl(_POINTS)).repartition(width(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = components(points.mapInArrow(_verify(percent), ddl(_EDGES)), scratch, "links")
     roots = classes.select("s1", "s2", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
