@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields
 from .tables import table
-from .tokens import IDS, PieceCache
+from .tokens import IDS, PieceCache, byte_characters
 from .words import pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,17 +34,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where it is one, else from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    out = [""] * 256
-    for b in shown:
-        out[b] = chr(b)
-    for i, b in enumerate(b for b in range(256) if b not in set(shown)):
-        out[b] = chr(256 + i)
-    return out
-
-
 def _varint(n: int) -> bytes:
     out = b""
     while n > 127:
