@@ -29,7 +29,7 @@ from .forest import Labels
 from .jaccard import units
 from .store import Scratch, width
 from .tables import table
-from .words import U, mix, pieces, prefix_hash, powers, signed, span_hash
+from .words import U, buffers, mix, pieces, powers, prefix_hash, signed, span_hash
 
 EDITS, LEAST, LEAST_EXACT = 2, 40, 15
 BAG = 32
@@ -44,15 +44,20 @@ class Lines:
     """Trimmed lines of a column: code points, bounds, row, number in the row."""
 
     def __init__(self, column: pa.Array, least: int):
-        texts = [x or "" for x in column.to_pylist()]
-        counts = np.array([x.count("\n") + 1 for x in texts], np.int64)
-        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4")
+        data, offsets = buffers(column)
+        # a line end between rows: the last line of a row ends there like any other
+        joined = np.insert(data, offsets[1:-1], 10) if len(offsets) > 2 else data
+        ends = np.append(np.flatnonzero(joined == 10), len(joined))
+        rows = len(offsets) - 1
+        last = offsets[1:] + np.arange(rows)  # where the rows end in joined
+        counts = np.diff(np.searchsorted(ends, last, side="right"), prepend=0) if rows else np.zeros(0, np.int64)
+        self.codes = np.frombuffer(joined.tobytes().decode().encode("utf-32-le"), "<u4")
         codes = self.codes
-        ends = np.append(np.flatnonzero(codes == 10), len(codes))
-        starts = np.append(0, ends[:-1] + 1)
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))[: int(counts.sum())]
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
         ink = np.flatnonzero((codes != 32) & ((codes < 9) | (codes > 13)))
         first, last = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
-        row = np.repeat(np.arange(len(texts)), counts)
+        row = np.repeat(np.arange(rows), counts)
         number = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
         some = last > first
         start, end = ink[first[some]], ink[last[some] - 1] + 1
@@ -67,7 +72,8 @@ class Lines:
         if not len(self.start):
             return self.a
         p = np.zeros(len(self.codes) + 1, U)
-        np.cumsum(mix(self.codes.astype(U)) * powers(len(self.codes)), out=p[1:])
+        c = self.codes.astype(U)
+        np.cumsum((c * c + U(0x9E3779B97F4A7C15)) * (c + c + U(1)) * powers(len(c)), out=p[1:])
         return span_hash(p, self.start, self.end)
 
 
@@ -253,19 +259,78 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, edits: int) -> l
     return labels.edges
 
 
-def _verify(edits: int):
-    def done(found):
-        by: dict[int, list] = {}
-        for _, _, _, part, a, own, text in found:  # a line may come from several tasks
-            old = by.get(a)
-            by[a] = [part, own or bool(old and old[1]), text]
-        ids = list(by)
-        got = list(by.values())
-        for i, j in link([g[2] for g in got], np.array([g[1] for g in got]), np.array([g[0] for g in got]), edits):
-            yield ids[i], ids[j]
+def _merged(found: list[tuple]) -> list[tuple[int, int, bool, str]]:
+    """(line, part, whether it offers, text) of a unit; a line may come from several tasks."""
+    by: dict[int, tuple[int, int, bool, str]] = {}
+    for _, _, _, part, a, own, text in found:
+        old = by.get(a)
+        by[a] = (a, part, own or bool(old and old[2]), text)
+    return list(by.values())
+
+
+def _bag(codes: np.ndarray) -> np.ndarray:
+    return np.bincount((mix(codes.astype(U)) >> U(59)).astype(np.int64), minlength=BAG).astype(np.int32)
+
+
+class _Pairs:
+    """Pairs of small units, verified many at a time."""
+
+    def __init__(self, edits: int):
+        self.edits = edits
+        self.texts: dict[int, str] = {}
+        self.pairs: set[tuple[int, int]] = set()
+        self.size = 0
 
+    def add(self, rows: list[tuple[int, int, bool, str]]) -> None:
+        across = len({r[1] for r in rows}) > 1
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= self.edits and not (across and x[1] == y[1]):
+                    short, long = (x, y) if len(x[3]) <= len(y[3]) else (y, x)
+                    if (short[0], long[0]) not in self.pairs:
+                        self.pairs.add((short[0], long[0]))
+                        self.texts[short[0]], self.texts[long[0]] = short[3], long[3]
+                        self.size += len(long[3])
+
+    def verified(self) -> Iterator[tuple[int, int]]:
+        codes = {a: np.frombuffer(t.encode("utf-32-le"), "<u4") for a, t in self.texts.items()}
+        bags = {a: _bag(c) for a, c in codes.items()}
+        use = [(a, b) for a, b in self.pairs if np.abs(bags[a] - bags[b]).sum() <= 2 * self.edits]
+        use.sort(key=lambda p: len(codes[p[1]]))
+        at = 0
+        while at < len(use):  # pairs of like length, so that little is padding
+            to, longest = at + 1, len(codes[use[at][1]])
+            while to < len(use) and len(codes[use[to][1]]) <= longest + longest // 4 + 16 and (to - at) * longest < 1_000_000:
+                to += 1
+            ok = within([codes[a] for a, _ in use[at:to]], [codes[b] for _, b in use[at:to]], self.edits)
+            yield from (p for p, good in zip(use[at:to], ok, strict=True) if good)
+            at = to
+
+
+SMALL = 12
+
+
+def _verify(edits: int):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(units(arriving, 3, done), _EDGES)
+        held = _Pairs(edits)
+
+        def done(found):
+            nonlocal held
+            got = _merged(found)
+            if len(got) <= SMALL:
+                held.add(got)
+                if held.size > 2_000_000:
+                    now, held = held, _Pairs(edits)
+                    yield from now.verified()
+                return
+            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), edits):
+                yield got[i][0], got[j][0]
+
+        def every():
+            yield from units(arriving, 3, done)
+            yield from held.verified()
+
+        yield from batches(every(), _EDGES)
 
     return run
 
