@@ -6,6 +6,11 @@ by t at most.  Each line therefore offers its segments and probes the
 substrings that may equal a segment of a line as long as itself or shorter by
 up to t, under keys of (length, segment number, content).
 
+Where t is a share of the length, long lines would have too many segments.
+t edits leave a run of at least 3/4 of 1/share characters, which both lines
+hold; they meet under the smallest hash of its grams (winnowing), so no pair
+is lost and the keys of a line grow with its length only.
+
 Keys that only one line has are dropped before any text moves.  Lines that
 share a key meet in units of bounded size; there, pairs whose character
 counts allow it are verified by a banded bit-parallel edit distance, unless
@@ -17,6 +22,7 @@ class, by doc_id and place, stays.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,38 @@ from .words import U, buffers, mix, pieces, powers, prefix_hash, signed, span_ha
 
 EDITS, LEAST, LEAST_EXACT = 2, 40, 15
 BAG = 32
+#: Grams of long lines, and how many of them a key is the least of: together GRAM + WINDOW - 1 characters.
+GRAM, WINDOW = 32, 44
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How many edits a line of some length may be from a longer one: by steps
+    of (least length, edits), and a 1/share of the length where that is more."""
+
+    steps: tuple[tuple[int, int], ...] = ((10, 1), (40, 2))
+    share: int = 100
+
+    def at(self, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(n), np.int64)
+        for least, edits in self.steps:
+            out[n >= least] = edits
+        return np.maximum(out, n // self.share) if self.share else out
+
+    def one(self, n: int) -> int:
+        return int(self.at(np.array([n]))[0])
+
+    @property
+    def least(self) -> int:
+        return self.steps[0][0]
+
+    def anchored(self, n: np.ndarray) -> np.ndarray:
+        """Whether lines of these lengths meet by grams instead of segments."""
+        return n >= 3 * self.share if self.share else np.zeros(len(n), bool)
+
+
+#: Near copies of lines from 10 characters on, by length; exact copies of every line that isn't blank.
+BY_LENGTH = Rule()
 _LINES = fields(doc_id="long", rk="long", line_no="int", a="long", b="long")
 _KEYS = fields(key="long", a="long", index="boolean")
 _TEXTS = fields(a="long", text="string")
@@ -89,22 +127,54 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def keys(lines: Lines, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, line, whether it is a segment of the line itself)."""
+def keys(lines: Lines, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, line, whether the line offers itself under it)."""
     n = lines.end - lines.start
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i, (offset, size) in enumerate(segments(length, edits)):
-            # a segment moves by at most the edits before it, and by those after it from the other end
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                at = offset + move
-                use = np.flatnonzero((length >= least) & (at >= 0) & (at + size <= n))
-                start = lines.start[use] + at[use]
-                content = span_hash(lines.prefix, start, start + size[use])
-                tag = mix((length[use].astype(U) << U(3)) + U(i + 1))
-                yield mix(content ^ tag), use, np.full(len(use), shorter == 0 and move == 0)
+    for shorter in range(max(e for _, e in rule.steps) + 1):
+        every = n - shorter
+        bound = rule.at(every)
+        bound[rule.anchored(every) | (shorter > bound)] = 0
+        for edits in np.unique(bound[bound > 0]).tolist():
+            own = np.flatnonzero(bound == edits)
+            length = every[own]
+            for i, (offset, size) in enumerate(segments(length, edits)):
+                # a segment moves by at most the edits before it, and by those after it from the other end
+                low = max(-i, shorter - (edits - i))
+                high = min(i, shorter + (edits - i))
+                for move in range(low, high + 1):
+                    at = offset + move
+                    use = np.flatnonzero((at >= 0) & (at + size <= n[own]))
+                    start = lines.start[own[use]] + at[use]
+                    content = span_hash(lines.prefix, start, start + size[use])
+                    tag = mix((length[use].astype(U) << U(3)) + U(i + 1))
+                    yield mix(content ^ tag), own[use], np.full(len(use), shorter == 0 and move == 0)
+    long = np.flatnonzero(rule.anchored(n))
+    if len(long):
+        yield from _anchors(lines, rule, long)
+
+
+def _anchors(lines: Lines, rule: Rule, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of long lines: the least gram hash of each run of GRAM + WINDOW - 1 characters, by classes of length."""
+    if GRAM + WINDOW - 1 > -(-99 * 3 * rule.share // 400):
+        raise ValueError("runs are too short for this share")
+    at = np.arange(len(lines.codes) - GRAM + 1)
+    least, span = span_hash(lines.prefix, at, at + GRAM), 1
+    while span < WINDOW:
+        step = min(span, WINDOW - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    n = (lines.end - lines.start)[long]
+    count = n - (GRAM + WINDOW - 2)
+    line = np.repeat(np.arange(len(long)), count)
+    run = least[np.arange(len(line)) + np.repeat(lines.start[long] - (np.cumsum(count) - count), count)]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (line[1:] != line[:-1])
+    run, line = run[new], line[new]
+    # a class is wider than the gap that any bound allows, so a line meets its own and the one below
+    top = np.floor(np.log(n) / np.log(1.04)).astype(U)
+    low = np.floor(np.log(np.maximum(n - rule.at(n), 3 * rule.share)) / np.log(1.04)).astype(U)
+    yield mix(run ^ mix(top[line] << U(3))), long[line], np.ones(len(line), bool)
+    below = np.flatnonzero((low != top)[line])
+    yield mix(run[below] ^ mix(low[line[below]] << U(3))), long[line[below]], np.zeros(len(below), bool)
 
 
 def within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
@@ -145,6 +215,57 @@ def within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
     return dist <= edits
 
 
+def reach(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
+    """within() for larger bounds: how far each diagonal comes with 0, 1, ... edits.
+
+    Runs of equal characters are found by bisection over hashes, so the cost
+    grows with the square of the edits rather than with the lengths.
+    """
+    out = np.zeros(len(x), bool)
+    size = max(1, 2_000_000 // (2 * edits + 1))
+    for lo in range(0, len(x), size):
+        a, b = x[lo : lo + size], y[lo : lo + size]
+        n, m = np.array([len(v) for v in a], np.int64), np.array([len(v) for v in b], np.int64)
+        prefix = prefix_hash(np.concatenate([*a, *b]))
+        starts = np.cumsum(np.append(n, m)) - np.append(n, m)
+        sx, sy = starts[: len(n), None], starts[len(n) :, None]
+        diagonal = np.arange(-edits, edits + 1)[None, :]
+        end = np.minimum(n[:, None], m[:, None] - diagonal)  # the last row of each diagonal
+        row = np.full((len(n), 2 * edits + 3), -1, np.int64)  # -1: not reached; a margin on either side
+        for e in range(edits + 1):
+            if e:
+                before, same, after = row[:, :-2], row[:, 1:-1], row[:, 2:]
+                now = np.maximum(np.maximum(before, np.where(same >= 0, same + 1, -1)), np.where(after >= 0, after + 1, -1))
+            else:
+                now = np.where(diagonal == 0, 0, np.full_like(end, -1))
+            now = np.minimum(now, end)
+            on = (now >= 0) & (now + diagonal >= 0)
+            k, d = np.nonzero(on)
+            i = now[k, d]
+            p, q = sx[k, 0] + i, sy[k, 0] + i + d - edits
+            low, high = np.zeros(len(i), np.int64), end[k, d] - i
+            while (low < high).any():
+                mid = (low + high + 1) // 2
+                equal = span_hash(prefix, p, p + mid) == span_hash(prefix, q, q + mid)
+                low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+            row[:, 1:-1] = np.where(on, now, -1)
+            row[k, d + 1] = i + low
+        goal = m - n + edits
+        fits = (goal >= 0) & (goal <= 2 * edits)
+        out[lo : lo + size] = fits & (row[np.arange(len(n)), np.clip(goal, 0, 2 * edits) + 1] >= n)
+    return out
+
+
+def close(x: list[np.ndarray], y: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Whether each pair is within the bound of its first line, which isn't longer than the second."""
+    bound = rule.at(np.array([len(v) for v in x], np.int64))
+    out = np.zeros(len(x), bool)
+    for edits in np.unique(bound).tolist():
+        use = np.flatnonzero(bound == edits)
+        out[use] = (within if edits <= 2 else reach)([x[i] for i in use], [y[i] for i in use], edits)
+    return out
+
+
 def _scan_lines(least: int):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
@@ -156,16 +277,16 @@ def _scan_lines(least: int):
     return run
 
 
-def _scan_keys(edits: int, least: int):
+def _scan_keys(rule: Rule):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
             for part in pieces(batch, "text"):
-                lines = Lines(part.column(0), least)
+                lines = Lines(part.column(0), rule.least)
                 if not len(lines.start):
                     continue
                 _, once = np.unique(lines.a, return_index=True)
                 lines.start, lines.end, lines.a = lines.start[once], lines.end[once], lines.a[once]
-                for key, use, own in keys(lines, edits, least):
+                for key, use, own in keys(lines, rule):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(lines.a[use])), pa.array(own)], schema=_KEYS)
 
     return run
@@ -212,10 +333,11 @@ def _scan_texts(least: int):
     return run
 
 
-def link(texts: list[str], index: np.ndarray, part: np.ndarray, edits: int) -> list[tuple[int, int]]:
+def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """A spanning forest of the links between the lines that offer and all lines."""
     codes = [np.frombuffer(x.encode("utf-32-le"), "<u4") for x in texts]
     size = np.array([len(x) for x in codes], np.int64)
+    bound = rule.at(size)
     count = len(codes)
     row = np.repeat(np.arange(count), size)
     flat = np.concatenate(codes)
@@ -227,16 +349,16 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, edits: int) -> l
     sorted_size = size[order]
     for i in range(0, len(offers), 32):
         x = offers[i : i + 32]
-        probes = order[np.searchsorted(sorted_size, size[x].min()) : np.searchsorted(sorted_size, size[x].max() + edits, side="right")]
+        probes = order[np.searchsorted(sorted_size, size[x].min()) : np.searchsorted(sorted_size, size[x].max() + bound[x].max(), side="right")]
         for k in range(0, len(probes), 4096):
             y = probes[k : k + 4096]
             gap = size[y][None, :] - size[x][:, None]
-            open_ = (gap >= 0) & (gap <= edits) & (labels.of[x][:, None] != labels.of[y][None, :])
+            open_ = (gap >= 0) & (gap <= bound[x][:, None]) & (labels.of[x][:, None] != labels.of[y][None, :])
             if across:
                 open_ &= part[x][:, None] != part[y][None, :]
             if not open_.any():
                 continue
-            open_ &= np.abs(bag[x][:, None, :] - bag[y][None, :, :]).sum(axis=2) <= 2 * edits
+            open_ &= np.abs(bag[x][:, None, :] - bag[y][None, :, :]).sum(axis=2) <= 2 * bound[x][:, None]
             p, q = np.nonzero(open_)
             at = 0
             while at < len(p):
@@ -250,7 +372,7 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, edits: int) -> l
                         break
                     _, once = np.unique(labels.of[a] * count + labels.of[b], return_index=True)
                     once = once[np.cumsum(size[b[once]]) <= max(2_000_000, int(size[b[once[0]]]))]
-                    ok = within([codes[v] for v in a[once]], [codes[v] for v in b[once]], edits)
+                    ok = close([codes[v] for v in a[once]], [codes[v] for v in b[once]], rule)
                     for v in once[ok]:
                         labels.join(int(a[v]), int(b[v]))
                     rest = np.ones(len(a), bool)
@@ -275,17 +397,18 @@ def _bag(codes: np.ndarray) -> np.ndarray:
 class _Pairs:
     """Pairs of small units, verified many at a time."""
 
-    def __init__(self, edits: int):
-        self.edits = edits
+    def __init__(self, rule: Rule):
+        self.rule = rule
         self.texts: dict[int, str] = {}
         self.pairs: set[tuple[int, int]] = set()
         self.size = 0
 
     def add(self, rows: list[tuple[int, int, bool, str]]) -> None:
         across = len({r[1] for r in rows}) > 1
+        bound = self.rule.at(np.array([len(r[3]) for r in rows])).tolist()
         for i, x in enumerate(rows):
-            for y in rows[:i]:
-                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= self.edits and not (across and x[1] == y[1]):
+            for j, y in enumerate(rows[:i]):
+                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= min(bound[i], bound[j]) and not (across and x[1] == y[1]):
                     short, long = (x, y) if len(x[3]) <= len(y[3]) else (y, x)
                     if (short[0], long[0]) not in self.pairs:
                         self.pairs.add((short[0], long[0]))
@@ -295,14 +418,14 @@ class _Pairs:
     def verified(self) -> Iterator[tuple[int, int]]:
         codes = {a: np.frombuffer(t.encode("utf-32-le"), "<u4") for a, t in self.texts.items()}
         bags = {a: _bag(c) for a, c in codes.items()}
-        use = [(a, b) for a, b in self.pairs if np.abs(bags[a] - bags[b]).sum() <= 2 * self.edits]
+        use = [(a, b) for a, b in self.pairs if np.abs(bags[a] - bags[b]).sum() <= 2 * self.rule.one(len(codes[a]))]
         use.sort(key=lambda p: len(codes[p[1]]))
         at = 0
         while at < len(use):  # pairs of like length, so that little is padding
             to, longest = at + 1, len(codes[use[at][1]])
             while to < len(use) and len(codes[use[to][1]]) <= longest + longest // 4 + 16 and (to - at) * longest < 1_000_000:
                 to += 1
-            ok = within([codes[a] for a, _ in use[at:to]], [codes[b] for _, b in use[at:to]], self.edits)
+            ok = close([codes[a] for a, _ in use[at:to]], [codes[b] for _, b in use[at:to]], self.rule)
             yield from (p for p, good in zip(use[at:to], ok, strict=True) if good)
             at = to
 
@@ -310,9 +433,9 @@ class _Pairs:
 SMALL = 12
 
 
-def _verify(edits: int):
+def _verify(rule: Rule):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Pairs(edits)
+        held = _Pairs(rule)
 
         def done(found):
             nonlocal held
@@ -320,10 +443,10 @@ def _verify(edits: int):
             if len(got) <= SMALL:
                 held.add(got)
                 if held.size > 2_000_000:
-                    now, held = held, _Pairs(edits)
+                    now, held = held, _Pairs(rule)
                     yield from now.verified()
                 return
-            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), edits):
+            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), rule):
                 yield got[i][0], got[j][0]
 
         def every():
@@ -339,34 +462,36 @@ def _own(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("rk"), F.col(text).alias("text"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_exact: int = LEAST_EXACT, text: str = "text", key: str = "doc_id", unit: int = 2000) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_exact: int = LEAST_EXACT, text: str = "text", key: str = "doc_id", unit: int = 2000, rule: Rule | None = None) -> DataFrame:
     """One row per line that has a twin: doc_id, rk, line_no (from 0), class_doc_id,
     class_line_no (the place of the class's first line), class_size, kept.
 
     Lines are compared without the white space around them.  Lines of at least
     ``least`` characters are twins within ``edits`` edits, directly or through
     others, and those of at least ``least_exact`` if they are equal; shorter
-    lines are never twins.  Null, empty and blank texts have none.  Null ids
+    lines are never twins.  A ``rule`` replaces edits and least: the bound then
+    goes by the length of the shorter line.  Null, empty and blank texts have none.  Null ids
     come last.  Rows equal in id and text have equal rk and places: the first
     line of a class stays in each of them.  unit bounds the lines of a part of
     a key's group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
+    rule = rule or Rule(((least, edits),), 0)
     own = _own(docs, text, key)
     lines = scratch.save(own.mapInArrow(_scan_lines(least_exact), ddl(_LINES)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "line_no")
     classes = scratch.save(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    offered = own.select("text").mapInArrow(_scan_keys(edits, least), ddl(_KEYS)).repartition(width(spark), "key").sortWithinPartitions("key")
+    offered = own.select("text").mapInArrow(_scan_keys(rule), ddl(_KEYS)).repartition(width(spark), "key").sortWithinPartitions("key")
     shared = scratch.save(offered.mapInArrow(_shared, ddl(_KEYS)).distinct(), "shared")
     heavy = shared.groupBy("key").agg(F.ceil(F.countDistinct("a") / unit).cast("int").alias("parts")).where("parts > 1")
     shares = shared.join(heavy, "key", "left").groupBy("a").agg(F.collect_list(F.struct("key", "index", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("keys"))
-    texts = own.select("text").mapInArrow(_scan_texts(least), ddl(_TEXTS)).join(shares, "a")
+    texts = own.select("text").mapInArrow(_scan_texts(rule.least), ddl(_TEXTS)).join(shares, "a")
     dealt = texts.select("a", "text", F.explode("keys").alias("k"))
     part = F.pmod(F.xxhash64("a"), F.col("k.parts")).cast("int")
     dealt = dealt.select("a", "text", "k.key", "k.index", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("k.parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "index", "text")
-    near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(edits), ddl(_EDGES))
+    near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(rule), ddl(_EDGES))
     roots = components(near, scratch, "near").withColumnRenamed("node", "a")
     named = classes.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
     named = scratch.save(named.select("a", "b", "root", "first", "n"), "named")
@@ -402,5 +527,5 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
 
 def op7_line_dedup(spark, sf_dir):
-    found = line_classes(table(spark, sf_dir, "documents"))
+    found = line_classes(table(spark, sf_dir, "documents"), least_exact=1, rule=BY_LENGTH)
     return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "class_size", "kept")

@@ -7,7 +7,7 @@ import random
 import re
 import string
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -209,6 +209,71 @@ def test_line_classes(docs, rows, empty, unit):
     assert lines.line_classes(empty).count() == 0
 
 
+def near(a, b, t):
+    """Whether the distance is at most t, in a band of the plain table."""
+    far = t + 1
+    p = {j: j for j in range(min(t, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        c = {}
+        for j in range(max(0, i - t), min(len(b), i + t) + 1):
+            c[j] = min(p.get(j, far) + 1, c.get(j - 1, far) + 1, p.get(j - 1, far) + (x != b[j - 1]) if j else far)
+        p = c
+    return p.get(len(b), far) <= t
+
+
+def test_reach_is_the_edit_distance():
+    rng = random.Random(13)
+    codes = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(8, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        pairs.append(sorted((a, "".join(b)), key=len))
+    for t in (1, 3, 6):
+        got = lines.reach([codes(x) for x, _ in pairs], [codes(y) for _, y in pairs], t)
+        assert got.tolist() == [distance(x, y) <= t for x, y in pairs]
+
+
+@pytest.mark.parametrize("unit", [2000, 5])
+def test_lines_of_every_length(spark, unit):
+    """Exact copies from one character on, and near copies by the share of the length."""
+    rng = random.Random(11)
+    made = []
+    for size in (1, 4, 9, 10, 12, 14, 20, 38, 39, 40, 41, 150, 298, 299, 300, 302, 420, 600, 699, 1300):
+        for _ in range(3 if size < 1000 else 1):
+            a = "".join(rng.choice("abcdefghij") for _ in range(size))
+            made += [a, a]
+            for edits in sorted({1, 2, 3, max(1, size // 100), size // 100 + 1}):
+                b = list(a)
+                for k in rng.sample(range(size), min(edits, size)):
+                    b[k] = rng.choice(["", "X", b[k] + "Y"])
+                made.append("".join(b) or "Z")
+    rng.shuffle(made)
+    allowed = lambda n: max(n // 100, 2 if n >= 40 else 1 if n >= 10 else 0)
+    bags = {x: Counter(x) for x in made}
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(made):
+        for j, y in enumerate(made[:i]):
+            t = allowed(min(len(x), len(y)))
+            if x == y or t and abs(len(x) - len(y)) <= t and sum((bags[x] - bags[y]).values()) <= t and near(x, y, t):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    sizes = Counter(find(i) for i in range(len(made)))
+    want = {i: (find(i), sizes[find(i)]) for i in range(len(made)) if sizes[find(i)] > 1}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id long, text string").repartition(3)
+    got = lines.line_classes(df, unit=unit, least_exact=1, rule=lines.BY_LENGTH)
+    assert {r.doc_id: (r.class_doc_id, r.class_size) for r in got.collect()} == want
+
+
 def test_line_removal(docs, rows):
     out = lines.remove_lines(docs)
     assert out.columns == docs.columns
