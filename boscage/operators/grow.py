@@ -28,11 +28,15 @@ class Request:
 
 @dataclass
 class Found:
-    """Sums of a node with missing rows, its best split, and its histogram if kept."""
+    """Sums of a node with missing rows, its best split, and its histogram.
+
+    The histogram is None where tasks searched; under symmetric growth best is
+    then the node's part of the split of its level.
+    """
 
     sums: tuple[int, int]
     best: Split
-    hist: dict
+    hist: dict | None
 
 
 @dataclass
@@ -133,9 +137,12 @@ def by_symmetry(tree: Tree, plan: Plan) -> Grower:
             _root(tree, plan, got[0])
         if plan.max_leaves and 2 * leaves > plan.max_leaves or (plan.max_depth and depth >= plan.max_depth):
             return
-        scans = [Scan(got[n].sums, plan.scale, plan.rules) for n in level]
-        chosen = symmetric(scans, [got[n].hist for n in level], sorted(feats))
-        if chosen is None:
+        if any(got[n].hist is None for n in level):
+            chosen = [got[n].best for n in level]
+        else:
+            scans = [Scan(got[n].sums, plan.scale, plan.rules) for n in level]
+            _, chosen = symmetric(scans, [got[n].hist for n in level], sorted(feats))
+        if chosen is None or chosen[0].feat < 0:
             return
         level = [c for n, s in zip(level, chosen, strict=True) for c, _ in plan.apply(tree, n, s, UNBOUND)]
         depth, leaves = depth + 1, 2 * leaves

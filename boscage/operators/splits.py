@@ -144,8 +144,8 @@ def child_bounds(s: Split, monotone: int, bounds: tuple[float, float]) -> tuple[
     return ((low, mid), (mid, high)) if monotone > 0 else ((mid, high), (low, mid))
 
 
-def symmetric(scans: list[Scan], found: list[dict[int, tuple]], feats: list[int]) -> list[Split] | None:
-    """One numeric split for all nodes of a level: the largest sum of gains, each node's valid.
+def symmetric(scans: list[Scan], found: list[dict[int, tuple]], feats: list[int]) -> tuple[float, list[Split] | None]:
+    """One numeric split for all nodes of a level, with its gain: the largest sum of gains, each node's valid.
 
     found[i]: {feat: (bins, g, h)} of node i.
     """
@@ -171,7 +171,7 @@ def symmetric(scans: list[Scan], found: list[dict[int, tuple]], feats: list[int]
             if total[i] > best:
                 best = float(total[i])
                 out = [Split(float(e[0][i]), f, int(bins[i]), default_left, (int(gl[i]), int(hl[i])), (s.g - int(gl[i]), s.h - int(hl[i])), None, (float(e[1][i]), float(e[2][i]))) for s, e, (gl, hl) in zip(scans, each, left, strict=True)]
-    return out
+    return best, out
 
 
 # ---- the same as window expressions over a histogram table

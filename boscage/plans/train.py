@@ -20,7 +20,7 @@ from ..functions import metrics, objectives
 from ..functions import params as parameters
 from ..operators import binning, grow, histogram, ranking, sampling, survival
 from ..operators.scoring import leaf_value, with_margins
-from ..operators.splits import Rules, Scan, Split, best_of
+from ..operators.splits import Rules, Scan, Split, best_of, symmetric
 from ..sources import inputs, shared
 from .model import Model, Tree
 
@@ -166,7 +166,7 @@ def _scan(plan: grow.Plan, categorical: list[int], request: grow.Request, sums:
     return scan.numeric(feat, bins, g, h, int(np.sign(plan.monotone[feat])))
 
 
-def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests: dict[int, list[grow.Request]], categorical: list[int]) -> dict[int, dict[int, grow.Found]]:
+def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests: dict[int, list[grow.Request]], categorical: list[int], policy: str) -> dict[int, dict[int, grow.Found]]:
     """Histograms and best splits of the requested nodes of all outputs: one scan."""
     feats = sorted(set().union(*(r.features for rs in requests.values() for r in rs)))
     binned = {f: F.col(f"b{f}") for t in trees for n in t.nodes if not n.leaf for f in [n.feat]}
@@ -197,6 +197,14 @@ def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests:
     hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     sums = {(r["cls"], r["node"]): (int(r["g"]), int(r["h"])) for r in hist.where("feat = -1").collect()}
 
+    if policy == "symmetric":
+        joint = _level_splits(hist, plans, requests, sums)
+        for k, rs in requests.items():
+            for i, r in enumerate(rs):
+                out[k][r.node] = grow.Found(sums.get((k, r.node), (0, 0)), joint[k][i] if k in joint else Split(), None)
+        hist.unpersist()
+        return out
+
     def scan(pdf):
         k, n, f = (int(pdf[c].iloc[0]) for c in ("cls", "node", "feat"))
         pdf = pdf.sort_values("bin")
@@ -211,11 +219,40 @@ def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests:
         g, h = sums[r["cls"], r["node"]]
         found.setdefault((r["cls"], r["node"]), []).append(Split(r["gain"], r["feat"], r["bin"], r["default_left"], (r["gl"], r["hl"]), (g - r["gl"], h - r["hl"]), tuple(r["cats"]) if r["cats"] is not None else None, (r["wl"], r["wr"])))
     for (k, n) in by:
-        out[k][n] = grow.Found(sums.get((k, n), (0, 0)), best_of(found.get((k, n), [])), {})
+        out[k][n] = grow.Found(sums.get((k, n), (0, 0)), best_of(found.get((k, n), [])), None)
     hist.unpersist()
     return out
 
 
+def _level_splits(hist: DataFrame, plans: list[grow.Plan], requests: dict[int, list[grow.Request]], sums: dict[tuple[int, int], tuple[int, int]]) -> dict[int, list[Split]]:
+    """The symmetric split of each output's level, a part per node: a task sums the
+    gains of all nodes for one feature and sends that feature's best split back."""
+
+    def scan(pdf):
+        k, f = int(pdf["cls"].iloc[0]), int(pdf["feat"].iloc[0])
+        nodes = [r.node for r in requests[k]]
+        chosen = None
+        if f in requests[k][0].features:
+            own = {int(n): x.sort_values("bin") for n, x in pdf.groupby("node")}
+            cells = [{f: (own[n]["bin"].to_numpy(int), own[n]["g"].to_numpy(np.int64), own[n]["h"].to_numpy(np.int64))} if n in own else {} for n in nodes]
+            total, chosen = symmetric([Scan(sums.get((k, n), (0, 0)), plans[k].scale, plans[k].rules) for n in nodes], cells, [f])
+        rows = [] if chosen is None else [(k, f, total, chosen[0].bin, chosen[0].default_left, [s.gain for s in chosen], [s.left[0] for s in chosen], [s.left[1] for s in chosen], [s.weights[0] for s in chosen], [s.weights[1] for s in chosen])]
+        return type(pdf)(rows, columns=names)
+
+    names = ["cls", "feat", "total", "bin", "default_left", "gain", "gl", "hl", "wl", "wr"]
+    schema = "cls int, feat int, total double, bin int, default_left boolean, gain array<double>, gl array<long>, hl array<long>, wl array<double>, wr array<double>"
+    best: dict[int, Any] = {}
+    for r in hist.where("feat >= 0").groupBy("cls", "feat").applyInPandas(scan, schema).collect():
+        old = best.get(r["cls"])
+        if old is None or (-r["total"], r["feat"]) < (-old["total"], old["feat"]):
+            best[r["cls"]] = r
+    out = {}
+    for k, r in best.items():
+        each = zip(requests[k], r["gain"], r["gl"], r["hl"], r["wl"], r["wr"], strict=True)
+        out[k] = [Split(gain, r["feat"], r["bin"], r["default_left"], (gl, hl), (sums[k, q.node][0] - gl, sums[k, q.node][1] - hl), None, (wl, wr)) for q, gain, gl, hl, wl, wr in each]
+    return out
+
+
 def _grow_round(df: DataFrame, model: Model, q: dict, edges: list[list[float]], sizes: list[int], round_: int) -> list[Tree]:
     """The trees of one round from a table with g0, h0, ..."""
     k = model.outputs
@@ -233,7 +270,7 @@ def _grow_round(df: DataFrame, model: Model, q: dict, edges: list[list[float]],
     growers = {i: grow.GROWERS[q["grow_policy"]](trees[i], plans[i]) for i in range(k)}
     requests = {i: next(g) for i, g in growers.items()}
     while requests:
-        found = _search(df, trees, plans, requests, sizes)
+        found = _search(df, trees, plans, requests, sizes, q["grow_policy"])
         after = {}
         for i in requests:
             try:

@@ -157,6 +157,16 @@ def test_objectives_learn(data, extra):
     assert history[-1] <= history[0] + 0.05 and all(math.isfinite(v) for v in history)
 
 
+@pytest.mark.parametrize("extra", [{}, {"objective": "multi:softprob", "num_class": 2}])
+def test_symmetric_growth_in_tasks_equals_driver(data, monkeypatch, extra):
+    p = {"grow_policy": "symmetric", "max_depth": 3} | extra
+    driver = train(p, data, label="y", features=X, num_boost_round=2, row_id="id")
+    monkeypatch.setattr("boscage.plans.train.DRIVER_ROWS", 0)
+    tasks = train(p, data, label="y", features=X, num_boost_round=2, row_id="id")
+    assert nodes(tasks) == nodes(driver)
+    assert all(len(t.nodes) > 1 for t in tasks.trees)
+
+
 def test_early_stopping_callbacks_and_custom(data):
     r = {}
     m = train(P, data, label="y", features=X, num_boost_round=6, evals=[(data, "t")], evals_result=r, early_stopping_rounds=1, custom_metrics=[CustomMetric("flat", lambda df: 1.0)])
