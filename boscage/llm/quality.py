@@ -26,7 +26,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 DIMENSIONS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 #: Least standard deviation of each dimension: what differs by less is no sign of bad text.
-FLOORS = (0.5, 0.12, 0.35, 0.3, 0.2)
+#: Those of lines and repeats are small against their ranges (1 and sqrt(0.2)), so that either can be beyond the cut alone.
+FLOORS = (0.5, 0.12, 0.35, 0.1, 0.05)
 FIXED = 1 << 12
 BINS_PER_OCTAVE = 16
 

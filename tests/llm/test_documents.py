@@ -444,6 +444,27 @@ def test_quality_statistics(docs, rows, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_outliers_in_one_dimension(spark):
+    """A usual document but for its copied lines, and one but for its repeated passages, go; usual ones stay."""
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}xyz" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = lambda: [rng.choice(vocabulary) for _ in range(200)]
+    rows = [(i, "\n".join(" ".join(w[k : k + 20]) for k in range(0, 200, 20)), "en", "s") for i in range(80) for w in [text()]]
+    some = [rng.choice(vocabulary[:30]) for _ in range(200)]
+    rows.append((100, "\n".join(some), "en", "s"))
+    w = text()
+    w[150:185] = w[20:55]
+    w[185:] = [f"q{i}xyz" for i in range(15)]
+    w[100:103] = ["zaxyz", "zbxyz", "zcxyz"]
+    rows.append((101, " ".join(w[:70] + w[80:150] + w[150:168] + w[185:] + text()[:27]), "en", "s"))
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[100].n_dup_lines > 150 and got[100].n_repeat_words == 0
+    assert got[101].n_dup_lines == 0 and 30 <= got[101].n_repeat_words <= 40 and got[101].n_words == 200
+    assert not any(got[i].base_failed for i in got)
+    assert not got[100].kept and not got[101].kept
+    assert all(got[i].kept for i in range(80))
+
+
 def test_mcd_by_numpy(spark):
     """The estimate of a group against concentration steps in NumPy, and outliers against a plain mean."""
     rng = np.random.default_rng(5)
