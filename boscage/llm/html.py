@@ -38,12 +38,15 @@ _TOKEN = re.compile(
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 #: Elements without article text, and words of class, id or role that say so.
-ASIDE = frozenset("nav header footer aside form button menu dialog head label fieldset figcaption".split())
+ASIDE = frozenset("nav header footer aside form button menu dialog head label fieldset".split())
 SAID = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs header footer "
     "sidebar aside widget related comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal "
     "share sharing social newsletter subscribe signup login search pagination pager toolbar complementary contentinfo".split()
 )
+#: Of these, what is text inside an article; and first parts of class names that only tell what the page has.
+OWN = frozenset("header label dialog".split())
+TELLS = frozenset("has with without no not is".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -52,12 +55,58 @@ BLOCK = frozenset(
 MAIN = frozenset(("article", "main"))
 
 
+def _said(name: str, rest: str, main: bool) -> bool:
+    """Whether a class, id or role says that the element holds no article text: by a
+    whole name, or by its first or last part."""
+    if name in MAIN or name in ("html", "body"):
+        return False
+    for a in _MARK.findall(rest):
+        for token in "".join(a).lower().split():
+            parts = _PART.findall(token)
+            if parts and parts[0] not in TELLS and any(w in SAID and not (main and w in OWN) for w in (parts[0], parts[-1])):
+                return True
+    return False
+
+
+def _holders(found: list[re.Match]) -> set[int]:
+    """Places of the elements that hold most of the page's words, inside an article
+    or on a page without one; there the weights decide, not the names."""
+    open_: list[tuple[str, int, int]] = []
+    held, within = {}, set()
+    words, some = 0, False
+
+    def shut() -> str:
+        name, k, before = open_.pop()
+        held[k] = words - before
+        return name
+
+    for k, m in enumerate(found):
+        if m["text"] is not None:
+            words += len(m["text"].split())
+        elif m["name"]:
+            name = m["name"].lower()
+            if m["end"]:
+                if any(x == name for x, _, _ in open_):
+                    while shut() != name:
+                        pass
+            elif name not in VOID and not m["rest"].endswith("/"):
+                some |= name in MAIN
+                if any(x in MAIN for x, _, _ in open_):
+                    within.add(k)
+                open_.append((name, k, words))
+    while open_:
+        shut()
+    return {k for k, n in held.items() if 2 * n > words and (k in within or not some)}
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, aside): 'tag' with a name (a leading slash at an end), or
     'text' with its raw characters; aside inside an element without article text."""
+    found = list(_TOKEN.finditer(page))
+    holders: set[int] | None = None
     stack: list[tuple[str, bool]] = []
     depth = 0
-    for m in _TOKEN.finditer(page):
+    for k, m in enumerate(found):
         if m["text"] is not None:
             yield "text", m["text"], depth > 0
         elif m["raw"]:
@@ -76,8 +125,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 continue
             if name in MAIN and depth and all(x != "article" for x, _ in stack):
                 stack, depth = [], 0  # what stands open before the article was never closed
-            said = {w for a in _MARK.findall(m["rest"]) for x in a if x for w in _PART.findall(x.lower())}
-            off = name in ASIDE or name not in MAIN and not said.isdisjoint(SAID)
+            main = any(x in MAIN for x, _ in stack)
+            off = name in ASIDE and not (main and name in OWN)
+            if not off and _said(name, m["rest"], main):
+                holders = _holders(found) if holders is None else holders
+                off = k not in holders
             yield "tag", name, depth > 0 or off
             if name not in VOID and not m["rest"].endswith("/"):
                 stack.append((name, off))

@@ -59,6 +59,22 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html class='no-banner'><body class='has-sidebar'><p>one two three four</p></body></html>", "one two three four"),
+        ("<body class=sidebar><p>one two three four</p></body>", "one two three four"),
+        ("<div id='content' class='with-comments'><p>one two three four</p></div>", "one two three four"),
+        ("<nav><a>x</a></nav><div class='widget post-body'><p>one two three four</p></div><div class='site-footer'>five</div>", "one two three four"),
+        ("<article><header class='entry-header'><h1>Title here</h1></header><p>one two three</p><figure><img><figcaption>a caption</figcaption></figure><p>more</p></article>", "Title here\none two three\na caption\nmore"),
+        ("<article><p>one two</p></article><section class='comment-list'><p>a b c d e f g h</p></section>", "one two"),
+        ("<article><p>one two three</p><div class='ad-box'>buy</div><div class='social-share'>share</div><p>four five six</p></article>", "one two three\nfour five six"),
+    ],
+)
+def test_names_do_not_overrule_the_words(page, want):
+    assert html.main_text(page) == want
+
+
 def test_best_run_is_brute_force():
     rng = random.Random(6)
     for _ in range(300):
