@@ -54,6 +54,19 @@ def gradient_based(df: DataFrame, g: str, h: str, row: str, rate: float, seed: i
     return scored.withColumn("_p", p).where((F.col("_score") > 0) & (u < F.col("_p"))).withColumns({g: F.col(g) / F.col("_p"), h: F.col(h) / F.col("_p")}).drop("_score", "_p")
 
 
+def gradient_based_outputs(df: DataFrame, outputs: int, row: str, rate: float, seed: int, round_: int) -> DataFrame:
+    """gradient_based() for each output's own tree: g_i and h_i over the probability, or 0 where the output's draw misses the row."""
+    score = {f"_score{i}": importance(F.col(f"g{i}").cast("double"), F.col(f"h{i}").cast("double")) for i in range(outputs)}
+    scored, out = df.withColumns(score), {}
+    for i, s in enumerate(score):
+        tau = threshold(scored, s, rate)
+        p = F.least(F.lit(1.0), F.col(s) / tau) if tau > 0 else F.lit(1.0)
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(round_ * outputs + i), F.col(row)), 11) / 2.0**53
+        for x in (f"g{i}", f"h{i}"):
+            out[x] = F.when((F.col(s) > 0) & (u < p), F.col(x).cast("double") / p).otherwise(F.lit(0.0))
+    return scored.withColumns(out).drop(*score)
+
+
 def _unit(*key) -> float:
     return (int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "big") + 1) / (2**64 + 2)
 

@@ -380,6 +380,8 @@ def train(
             if q["subsample"] < 1:
                 if q["sampling_method"] == "gradient_based" and k == 1:
                     g = sampling.gradient_based(g.withColumns({"g0": F.col("g0").cast("double"), "h0": F.col("h0").cast("double")}), "g0", "h0", "row", q["subsample"], q["seed"], round_)
+                elif q["sampling_method"] == "gradient_based":
+                    g = sampling.gradient_based_outputs(g, k, "row", q["subsample"], q["seed"], round_)
                 else:
                     g = g.where(sampling.row_kept(F.col("row"), q["subsample"], q["seed"], round_))
             joint = objective in objectives.JOINT and not objective.startswith("multi:") or custom_objective is not None or q["sampling_method"] == "gradient_based"

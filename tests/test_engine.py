@@ -280,6 +280,24 @@ def test_gradient_sampling_threshold(spark):
     assert 2300 < kept < 2700
 
 
+def test_gradient_sampling_of_several_outputs(spark, data, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, [*(rng.normal(size=2) * (20 if i % 50 == 0 else 1)), 1.0, 0.5])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "row long, g0 double, g1 double, h0 double, h1 double")
+    got = sampling.gradient_based_outputs(df, 2, "row", 0.3, 1, 0).toPandas().sort_values("row")
+    was = df.toPandas().sort_values("row")
+    big = was["row"].to_numpy() % 50 == 0
+    for i in (0, 1):
+        kept = got[f"g{i}"].to_numpy() != 0
+        assert abs(kept.mean() - 0.3) < 0.03 and kept[big].mean() > 0.85
+        assert abs(got[f"h{i}"].sum() / was[f"h{i}"].sum() - 1) < 0.1
+    assert ((got["g0"] != 0) != (got["g1"] != 0)).any()
+    calls = []
+    monkeypatch.setattr(sampling, "gradient_based_outputs", lambda d, *a, own=sampling.gradient_based_outputs: calls.append(a) or own(d, *a))
+    train({"objective": "multi:softprob", "num_class": 2, "max_depth": 2, "subsample": 0.5, "sampling_method": "gradient_based"}, data, label="y", features=X, num_boost_round=1, row_id="id")
+    assert [a[0] for a in calls] == [2]
+
+
 def test_ranking(spark):
     rows = [(q, i, float((i * 7 + q) % 11), i % 3) for q in range(4) for i in range(12)]
     df = spark.createDataFrame(rows, "q long, id long, s double, y int")
