@@ -111,14 +111,7 @@ def aucpr(df: DataFrame, score: str, label: str, weight: str) -> DataFrame:
     """One row, column aucpr: the area between score steps by the interpolation of true and false positives."""
     c = curve_points(df, score, label, weight)
     pos = c.agg(F.sum("tp").alias("p")).first()["p"] or 0.0
-    a, b = F.col("tps") - F.col("tp"), F.col("tps")
-    f0 = F.col("fps") - F.col("fp")
-    slope = F.col("fp") / F.col("tp")
-    # precision along a step is t / (t + f0 + slope * (t - a)); its integral over t has a logarithm
-    k, m = 1.0 + slope, f0 - slope * a
-    area = ((b - a) / k) - (m / (k * k)) * F.log((k * b + m) / F.when(k * a + m > 0, k * a + m).otherwise(F.lit(1.0)))
-    flat = F.when(m == 0, (b - a) / k).otherwise(area)
-    return c.agg((F.sum(F.when(F.col("tp") > 0, flat).otherwise(0.0)) / F.lit(pos or 1.0)).alias("aucpr"))
+    return c.agg((F.sum(ranking.pr_step()) / F.lit(pos or 1.0)).alias("aucpr"))
 
 
 def check(name: str, objective: str) -> None:
@@ -178,6 +171,8 @@ def evaluate(df: DataFrame, names: list[str], objective: str, margins: list[str]
         base, k, empty = ranking.parse_metric(name)
         if base == "auc" and qid:
             v = ranking.group_auc(df, qid, margins[0], y, row).agg(F.avg("auc")).first()[0]
+        elif base == "aucpr" and qid:
+            v = ranking.group_aucpr(df, qid, margins[0], y).agg(F.avg("aucpr")).first()[0]
         elif base in CURVES:
             v = (auc if base == "auc" else aucpr)(df, margins[0], y, w).first()[0]
         elif base == "ndcg":

@@ -70,6 +70,31 @@ def group_auc(df: DataFrame, qid: str, score: str, label: str, row: str) -> Data
     return out.where(F.col("all") > 0).join(big, qid).select(qid, (F.col("good") / F.col("all")).alias("auc"))
 
 
+def pr_step() -> Column:
+    """The area under the precision of a score step, from tp, fp (its own) and tps, fps (down to it)."""
+    a, b = F.col("tps") - F.col("tp"), F.col("tps")
+    f0 = F.col("fps") - F.col("fp")
+    slope = F.col("fp") / F.col("tp")
+    # precision along a step is t / (t + f0 + slope * (t - a)); its integral over t has a logarithm
+    k, m = 1.0 + slope, f0 - slope * a
+    area = ((b - a) / k) - (m / (k * k)) * F.log((k * b + m) / F.when(k * a + m > 0, k * a + m).otherwise(F.lit(1.0)))
+    flat = F.when(m == 0, (b - a) / k).otherwise(area)
+    return F.when(F.col("tp") > 0, flat).otherwise(0.0)
+
+
+def group_aucpr(df: DataFrame, qid: str, score: str, label: str) -> DataFrame:
+    """(qid, aucpr) of each group; groups of one class are left out.  A weight of a
+    whole group cancels.  Labels must be in [0, 1]."""
+    y = F.col(label).cast("double")
+    if bad := df.where(~F.coalesce((y >= 0) & (y <= 1), F.lit(False))).select(label).first():
+        raise ValueError(f"aucpr needs labels in [0, 1], not {bad[0]!r}")
+    s = df.groupBy(qid, F.col(score).cast("float").alias("score")).agg(F.sum(y).alias("tp"), F.sum(1.0 - y).alias("fp"))
+    w = Window.partitionBy(qid).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    c = s.withColumns({"tps": F.sum("tp").over(w), "fps": F.sum("fp").over(w)})
+    per = c.groupBy(qid).agg(F.sum(pr_step()).alias("area"), F.sum("tp").alias("p"), F.sum("fp").alias("n"))
+    return per.where((F.col("p") > 0) & (F.col("n") > 0)).select(qid, (F.col("area") / F.col("p")).alias("aucpr"))
+
+
 def lambda_arrays(score: np.ndarray, label: np.ndarray, kind: str, q: dict, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of one group from its pairs (the top ones against all, or sampled partners)."""
     n = len(score)

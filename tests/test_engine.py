@@ -311,6 +311,18 @@ def test_ranking(spark):
     assert ranking.parse_metric("ndcg@5-") == ("ndcg", 5, 0.0)
 
 
+def test_aucpr_by_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(q, i, float(rng.integers(0, 6)), float(rng.random() < 0.4) if q else 1.0, 1.0) for q in range(5) for i in range(20 + q)]
+    df = spark.createDataFrame(rows, "q long, row long, s double, y double, w double")
+    each = [metrics.aucpr(df.where(F.col("q") == q), "s", "y", "w").first()[0] for q in range(1, 5)]
+    got = metrics.evaluate(df, ["aucpr"], "rank:pairwise", ["s"], "y", "w", normalise({"objective": "rank:pairwise"}), "q", "row")
+    assert abs(got["aucpr"] - np.mean(each)) < 1e-9
+    assert abs(got["aucpr"] - metrics.aucpr(df, "s", "y", "w").first()[0]) > 1e-3
+    with pytest.raises(ValueError, match="labels"):
+        ranking.group_aucpr(df.withColumn("y", F.col("y") * 2), "q", "s", "y")
+
+
 def test_aft_gradients_are_derivatives(spark):
     rows = [(m, lo, hi) for m in (0.1, 0.7) for lo, hi in ((2.0, 2.0), (1.0, 3.0), (2.0, float("inf")), (0.0, 2.0))]
     df = spark.createDataFrame(rows, "m double, lo double, hi double")
