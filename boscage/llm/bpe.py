@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields
 from .tables import table
-from .tokens import IDS, PieceCache, byte_characters
-from .words import pieces
+from .tokens import IDS, PART, PieceCache, byte_characters, id_columns
+from .words import buffers, pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _ENCODED = fields(doc_id="long", ids="binary")
@@ -78,7 +78,7 @@ class ByteBpe:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.chars = byte_characters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
-        self.cache = PieceCache(self.encode, self.encode)
+        self.cache = PieceCache(lambda raw: self.encode(raw.decode()))
 
     @classmethod
     def of(cls, path: str | None) -> ByteBpe:
@@ -106,18 +106,18 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     """doc_id and ids (little-endian unsigned 32-bit) of each row.
 
     A null or empty text has no ids; null keys stay null; repeated rows are
-    encoded each.  One pass over the scan without a shuffle.
+    encoded each.  One pass over the scan without a shuffle; memory grows with
+    the longest text and not with the table.
     """
 
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = ByteBpe.of(path).cache
 
-        def found():
-            for batch in arriving:
-                for part in pieces(batch, "text"):
-                    yield from zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True)
-
-        yield from batches(found(), _ENCODED)
+        for batch in arriving:
+            for part in pieces(batch, "text", PART):
+                ids, counts = cache.encode(part.column(1))
+                for use, column in id_columns(ids, counts):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(use.start, use.stop - use.start), column], schema=_ENCODED)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl(_ENCODED))
 
@@ -127,12 +127,15 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(path)
+        decimal = [b"%d," % i for i in range(len(bpe.bytes))]
 
         def found():
             for batch in arriving:
-                for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.frombuffer(raw.as_buffer(), IDS).tolist()
-                    yield doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+                data, offsets = buffers(batch.column(1))
+                ids, at = np.frombuffer(data.tobytes(), IDS), (offsets // IDS.itemsize).tolist()
+                for doc, i, j in zip(batch.column(0).to_pylist(), at, at[1:], strict=False):
+                    own = ids[i:j].tolist()
+                    yield doc, len(own), hashlib.sha256(b"".join(map(decimal.__getitem__, own))[:-1]).hexdigest(), hashlib.sha256(bpe.decode(own)).hexdigest()
 
         yield from batches(found(), _DIGEST)
 

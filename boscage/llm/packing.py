@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batches, ddl, fields
+from .arrow import ddl, fields
 from .tables import table
-from .tokens import IDS, huggingface
+from .tokens import PART, huggingface, id_columns
 from .words import pieces
 
 _PIECES = fields(doc_id="long", start="long", length="long", ids="binary", doc_tokens="long", sequence_id="long", offset="long", bucket="int")
@@ -30,24 +31,36 @@ def lengths(n: int, longest: int) -> list[int]:
     return out + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, length) of the pieces of rows of these lengths, in order: lengths() of each."""
+    rows, sizes = [np.repeat(np.arange(len(counts)), counts // longest)], []
+    sizes.append(np.full(len(rows[0]), longest, np.int64))
+    bit = longest >> 1
+    while bit:
+        own = np.flatnonzero(counts & bit)
+        rows.append(own)
+        sizes.append(np.full(len(own), bit, np.int64))
+        bit >>= 1
+    row, size = np.concatenate(rows), np.concatenate(sizes)
+    order = np.argsort(row, kind="stable")
+    return row[order], size[order]
+
+
 def _cut(longest: int, end_id: int | None, path: str | None):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = huggingface(path)
-        end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        task = TaskContext.get().partitionId() << 33
-
-        def found():
-            k = task
-            for batch in arriving:
-                for part in pieces(batch, "text"):
-                    for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                        ids += end
-                        n, at = len(ids) // IDS.itemsize, 0
-                        for m in lengths(n, longest):
-                            yield doc, at, m, ids[4 * at : 4 * (at + m)], n, k, 0, m.bit_length() - 1
-                            at, k = at + m, k + 1
-
-        yield from batches(found(), _PIECES)
+        k = TaskContext.get().partitionId() << 33
+        for batch in arriving:
+            for part in pieces(batch, "text", PART):
+                ids, counts = encoder.encode(part.column(1), end_id)
+                row, size = decompose(counts, longest)
+                start = np.cumsum(size) - size - (np.cumsum(counts) - counts)[row]
+                for use, column in id_columns(ids, size):
+                    n, own = use.stop - use.start, row[use]
+                    number = np.arange(k + use.start, k + use.stop)
+                    bucket = np.log2(size[use]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(start[use]), pa.array(size[use]), column, pa.array(counts[own]), pa.array(number), pa.array(np.zeros(n, np.int64)), pa.array(bucket)], schema=_PIECES)
+                k += len(size)
 
     return run
 
@@ -59,7 +72,8 @@ def pack(docs: DataFrame, longest: int = 2048, end_id: int | None = 1, path: str
     A null or empty text is its end id alone; null keys stay null; repeated
     rows are packed each.  sequence_id is the partition and a count within it:
     one per piece, and the same on a second run over the same scan or written
-    table.  No shuffle and no state across rows.  longest is a power of two.
+    table.  No shuffle and no state across rows; memory grows with the longest
+    text and not with the table.  longest is a power of two.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")

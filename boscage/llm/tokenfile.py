@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrow import batches, ddl, fields, rows
 from .store import Scratch, width
 from .tables import table
-from .tokens import IDS, huggingface
+from .tokens import IDS, PART, huggingface
 from .words import pieces
 
 _DATA = fields(
@@ -47,42 +47,60 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary; for a compressor digested once instead of for each document."""
+    if not raw:
+        return None
+    out = zstandard.ZstdCompressionDict(raw)
+    if level is not None:
+        out.precompute_compress(level=level)
+    return out
+
+
+#: Bytes of text that the dictionary is trained on at most.
+SAMPLE_BYTES = 8 << 20
 
 
 def _sample(docs: DataFrame, n: int) -> list[str]:
-    """Whole texts of the n rows with the smallest hash of their key."""
-    keys = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
-    return [r[0] or "" for r in docs.where(F.col("doc_id").isin(keys)).orderBy("doc_id", "text").select("text").limit(n).collect()] if keys else []
+    """Whole texts of the n rows with the smallest hash of their key, as far as they fit in SAMPLE_BYTES."""
+    some = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    keys, size = [], 0
+    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(n).collect():
+        if size + r["size"] <= SAMPLE_BYTES:
+            keys.append((r["doc_id"], r["size"]))
+            size += r["size"]
+    if not keys:
+        return []
+    near = docs.where(F.col("doc_id").isin(sorted({k for k, _ in keys})) & (F.octet_length("text") <= max(x for _, x in keys)))
+    return [r[0] for r in near.orderBy("doc_id", "text").select("text").limit(n).collect()]
 
 
 def write(docs: DataFrame, path: str, end_id: int | None = 0, vocabulary: str | None = None, sample: int = 512, level: int = 3, segment: int = 4 << 20, text: str = "text", key: str = "doc_id") -> None:
     """Encode the texts, append end_id to each and write the file set to path.
 
     Null texts are empty; rows without a key come first, equal keys in the
-    order of their texts.  The dictionary is trained on the whole texts of
-    ``sample`` rows, a bound that doesn't grow; all rows are compressed with it.
-    Range partitions keep the order, so a hot key only fills its own shard.
+    order of a hash of their texts, so that a hot key fills many shards.  The dictionary is trained on the whole texts of at
+    most ``sample`` rows and SAMPLE_BYTES, a bound that doesn't grow; all rows
+    are compressed with it.  Memory grows with the longest text and a segment.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     encoder = huggingface(vocabulary)
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
-    kind = np.dtype("<u2")  # 2 bytes where the vocabulary allows it
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     largest = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json")).get_vocab_size()
+    # 2 bytes where the vocabulary allows it
     kind = np.dtype("<u2") if max(largest, end_id or 0) <= 65536 else np.dtype("<u4")
-    raw = train_dictionary([np.frombuffer(x + end, IDS).astype(kind).tobytes() for x in encoder.encode(_sample(own, sample))])
+    ids, counts = encoder.encode(pa.array(_sample(own, sample), pa.string()), end_id)
+    raw = train_dictionary([x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else [])
     digest = hashlib.sha256(raw).hexdigest()
     spark.range(1).select(F.lit(bytearray(raw)).alias("dictionary"), F.lit(digest).alias("sha256"), F.lit(kind.itemsize).alias("id_bytes")).coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = huggingface(vocabulary)
-        pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw), write_content_size=True).compress
+        pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw, level), write_content_size=True).compress
         shard = TaskContext.get().partitionId()
 
         def segments():
@@ -96,12 +114,15 @@ def write(docs: DataFrame, path: str, end_id: int | None = 0, vocabulary: str |
                 )
 
             for batch in arriving:
-                for part in pieces(batch, "text"):
-                    for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                        ids += end
-                        frame = pack(np.frombuffer(ids, IDS).astype(kind).tobytes())
+                for part in pieces(batch, "text", PART):
+                    ids, n_ids = encoder.encode(part.column(1), end_id)
+                    raw_ids = memoryview(ids.astype(kind)).cast("B")
+                    upto = 0
+                    for doc, n in zip(part.column(0).to_pylist(), n_ids.tolist(), strict=True):
+                        frame = pack(raw_ids[upto : upto + n * kind.itemsize])
+                        upto += n * kind.itemsize
                         docs_.append(doc)
-                        counts.append(len(ids) // IDS.itemsize)
+                        counts.append(n)
                         frames.append(frame)
                         size += len(frame)
                         offsets.append(size)
@@ -114,7 +135,7 @@ def write(docs: DataFrame, path: str, end_id: int | None = 0, vocabulary: str |
 
         yield from batches(segments(), _DATA)
 
-    dealt = own.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = own.withColumn("h", F.xxhash64("text")).repartitionByRange(width(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     dealt.mapInArrow(run, ddl(_DATA)).write.option("compression", "uncompressed").parquet(f"{path}/data")
     # a row per shard: as many as range partitions, whatever the input
     shards = spark.read.parquet(f"{path}/data").groupBy("shard").agg(F.min("first_doc_id").alias("first"), F.sum("n_ids").alias("n"), F.sum("n_docs").alias("docs")).orderBy("shard").collect()
