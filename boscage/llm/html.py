@@ -10,6 +10,7 @@ like) are left out, and the blocks are joined.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -25,11 +26,13 @@ from .arrow import batches, ddl, fields
 from .tables import table
 
 _OUT = fields(page_id="long", url="string", text="string", n_chars="long")
-#: Raw-text elements end at their own end tag only; an attribute value may hold '>'.
+#: The rest of a tag: quotes count after '=' only, and may hold '>'.  Possessive, so a tag that never ends costs one scan.
+_REST = r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+"
+#: Raw-text elements end at their own end tag only.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:\s+[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?|[^>])*?)>"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select)(?=[\s/>]){_REST}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<rest>{_REST})>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*\Z"
     r"|(?P<text>[^<]+|<)",
@@ -44,8 +47,11 @@ SAID = frozenset(
     "sidebar aside widget related comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal "
     "share sharing social newsletter subscribe signup login search pagination pager toolbar complementary contentinfo".split()
 )
-#: Of these, what is text inside an article; and first parts of class names that only tell what the page has.
+#: Of these, what is text inside an article; what may wrap a whole page; what never is article text, however long;
+#: and first parts of class names that only tell what the page has.
 OWN = frozenset("header label dialog".split())
+WRAPS = frozenset("form fieldset label dialog header".split())
+NEVER = frozenset("ad ads advert adverts advertisement sponsored related comment comments reply replies respond disqus cookie cookies".split())
 TELLS = frozenset("has with without no not is".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -53,102 +59,143 @@ BLOCK = frozenset(
     "hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+REPEATS = frozenset("li dt dd tr td th option".split())
+#: Elements that hold others: on these a part of a class name counts.
+HOLDS = frozenset("div section ul ol dl table span figure blockquote header center".split())
 
 
-def _said(name: str, rest: str, main: bool) -> bool:
-    """Whether a class, id or role says that the element holds no article text: by a
-    whole name, or by its first or last part."""
-    if name in MAIN or name in ("html", "body"):
-        return False
+def _said(name: str, rest: str, main: bool) -> int:
+    """Whether a class, id or role says that the element holds no article text: 2 by a
+    name that leaves no doubt, 1 by another one or by its first or last part, else 0.
+
+    Parts count on elements that hold others only, and an article only goes by a whole name of NEVER.
+    """
+    if name in ("html", "body", "main"):
+        return 0
+    out = 0
     for a in _MARK.findall(rest):
         for token in "".join(a).lower().split():
             parts = _PART.findall(token)
-            if parts and parts[0] not in TELLS and any(w in SAID and not (main and w in OWN) for w in (parts[0], parts[-1])):
-                return True
-    return False
+            if not parts or parts[0] in TELLS:
+                continue
+            if len(parts) == 1 and parts[0] in NEVER:
+                return 2
+            ends = parts[:1] if len(parts) == 1 else (parts[0], parts[-1]) if name in HOLDS else ()
+            if name != "article" and any(w in SAID and not (main and w in OWN) for w in ends):
+                out = 1
+    return out
 
 
-def _holders(found: list[re.Match]) -> set[int]:
-    """Places of the elements that hold most of the page's words, inside an article
-    or on a page without one; there the weights decide, not the names."""
-    open_: list[tuple[str, int, int]] = []
-    held, within = {}, set()
-    words, some = 0, False
+class _Elements:
+    """Where the elements of a page begin and end, by places in its tokens.
 
-    def shut() -> str:
-        name, k, before = open_.pop()
-        held[k] = words - before
-        return name
+    An end tag ends its element and what is still open inside; a paragraph
+    ends at the next block and a list item at the next one.  What has no end
+    tag of its own ends with the element around it, or at an article.
+    """
 
-    for k, m in enumerate(found):
-        if m["text"] is not None:
-            words += len(m["text"].split())
-        elif m["name"]:
+    def __init__(self, found: list[re.Match]):
+        self.end: dict[int, int] = {}
+        self.words = [0]
+        stack: list[tuple[str, int]] = []
+        open_: Counter[str] = Counter()
+        starts: list[int] = []
+        own: set[int] = set()
+        for k, m in enumerate(found):
+            self.words.append(self.words[-1] + (len(m["text"].split()) if m["text"] is not None else 0))
+            if not m["name"]:
+                continue
             name = m["name"].lower()
             if m["end"]:
-                if any(x == name for x, _, _ in open_):
-                    while shut() != name:
-                        pass
-            elif name not in VOID and not m["rest"].endswith("/"):
-                some |= name in MAIN
-                if any(x in MAIN for x, _, _ in open_):
-                    within.add(k)
-                open_.append((name, k, words))
-    while open_:
-        shut()
-    return {k for k, n in held.items() if 2 * n > words and (k in within or not some)}
+                if open_[name]:
+                    while True:
+                        x, i = stack.pop()
+                        open_[x] -= 1
+                        self.end[i] = k
+                        if x == name:
+                            own.add(i)
+                            break
+                continue
+            while stack and ((stack[-1][0] == "p" and name in BLOCK) or (stack[-1][0] == name and name in REPEATS)):
+                x, i = stack.pop()
+                open_[x] -= 1
+                own.add(i)
+                self.end[i] = k
+            if name in MAIN:
+                starts.append(k)
+            if name not in VOID and not m["rest"].endswith("/"):
+                stack.append((name, k))
+                open_[name] += 1
+        for _, i in stack:
+            self.end[i] = len(found)
+        self.main = {k: self.end[k] for k in starts if k in self.end}
+        for k in self.end.keys() - own:
+            if k not in self.main:
+                i = bisect.bisect_right(starts, k)
+                self.end[k] = min(self.end[k], starts[i] if i < len(starts) else len(found))
+
+    def most(self, k: int) -> bool:
+        """Whether an element holds most of the page's words."""
+        return 2 * (self.words[self.end[k]] - self.words[k]) > self.words[-1]
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, aside): 'tag' with a name (a leading slash at an end), or
-    'text' with its raw characters; aside inside an element without article text."""
+    'text' with its raw characters; aside inside an element without article text.
+
+    An element that holds most of the words, inside an article or with all
+    articles in it, isn't aside for its name: there the weights decide.
+    """
     found = list(_TOKEN.finditer(page))
-    holders: set[int] | None = None
-    stack: list[tuple[str, bool]] = []
-    depth = 0
+    at = _Elements(found)
+    off = [0] * (len(found) + 1)
+    articles = sorted(at.main)
+    inside = 0
+    mains: list[int] = []
+    for k, m in enumerate(found):
+        while mains and mains[-1] <= k:
+            mains.pop()
+        if not m["name"] or m["end"] or k not in at.end:
+            continue
+        name, end, main = m["name"].lower(), at.end[k], bool(mains)
+        sure = _said(name, m["rest"], main)
+        named = name in ASIDE and not (main and name in OWN)
+        if named or sure:
+            free = main or not articles or (k <= articles[0] and end >= max(at.main.values()))
+            spared = sure < 2 and (not named or name in WRAPS) and free and at.most(k)
+            if not spared:
+                off[k] += 1
+                off[end] -= 1
+        if k in at.main:
+            mains.append(end if not mains else min(end, mains[-1]))
     for k, m in enumerate(found):
+        before, inside = inside, inside + off[k]
         if m["text"] is not None:
-            yield "text", m["text"], depth > 0
+            yield "text", m["text"], inside > 0
         elif m["raw"]:
-            yield "tag", m["raw"].lower(), depth > 0
+            yield "tag", m["raw"].lower(), inside > 0
         elif m["name"]:
-            name = m["name"].lower()
-            if m["end"]:
-                inside = depth > 0
-                if any(x == name for x, _ in stack):
-                    while stack:
-                        own, off = stack.pop()
-                        depth -= off
-                        if own == name:
-                            break
-                yield "tag", "/" + name, inside
-                continue
-            if name in MAIN and depth and all(x != "article" for x, _ in stack):
-                stack, depth = [], 0  # what stands open before the article was never closed
-            main = any(x in MAIN for x, _ in stack)
-            off = name in ASIDE and not (main and name in OWN)
-            if not off and _said(name, m["rest"], main):
-                holders = _holders(found) if holders is None else holders
-                off = k not in holders
-            yield "tag", name, depth > 0 or off
-            if name not in VOID and not m["rest"].endswith("/"):
-                stack.append((name, off))
-                depth += off
+            yield "tag", ("/" if m["end"] else "") + m["name"].lower(), before > 0 if m["end"] else inside > 0
 
 
 def _kinds(page: str) -> Iterator[tuple[str, int, str]]:
     """(feature, words, raw text) of each token; a word's feature is its innermost element."""
-    open_: list[str] = []
+    stack: list[str] = []
+    open_: Counter[str] = Counter()
     for kind, value, aside in tokens(page):
         if kind == "text":
-            yield ("aside" if aside else "in a" if "a" in open_ else "word"), len(value.split()), value
+            yield ("aside" if aside else "in a" if open_["a"] else "word"), len(value.split()), value
         else:
             name = value.lstrip("/")
             if value[0] == "/":
-                if name in open_:
-                    del open_[len(open_) - 1 - open_[::-1].index(name) :]
+                while open_[name]:
+                    x = stack.pop()
+                    open_[x] -= 1
+                    if x == name:
+                        break
             elif name not in VOID:
-                open_.append(name)
+                stack.append(name)
+                open_[name] += 1
             yield ("<aside" if aside else "<" + name), 0, value
 
 
@@ -221,7 +268,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the best run, joined by line ends; empty if no word scores."""
+    """Blocks of the best run, joined by line ends; empty if no word scores; of runs
+    that score alike the first.  Time and memory are linear in the page."""
     if not page:
         return ""
     w = weights()
@@ -232,12 +280,12 @@ def main_text(page: str | None) -> str:
     for feature, _, raw in found[start:end]:
         if feature[0] != "<":
             if feature != "aside":
-                now.append(raw)
+                now.append(html.unescape(raw))
         elif raw.lstrip("/") in BLOCK:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))
-    joined = (" ".join(html.unescape(x).split()) for x in blocks)
+    joined = (" ".join(x.split()) for x in blocks)
     return "\n".join(x for x in joined if x)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -84,11 +85,66 @@ def test_best_run_is_brute_force():
         assert abs(sum(x[a:b]) - best) < 1e-12
 
 
-def test_held_out_pages():
-    """Labelled pages beyond those that the weights were counted on."""
-    for before, body, after in html.labelled_pages(200)[120:]:
-        want = html.main_text(f"<article>{body}</article>")
-        assert html.main_text(before + body + after) == want
+def built_page(rng):
+    """A page and its text, made side by side from parts that the weights never saw."""
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9)))
+    say = lambda n: [word() for _ in range(n)]
+    blocks, raw = [], []
+    for _ in range(rng.randint(2, 9)):
+        w = say(rng.randint(12, 60))
+        kind = rng.choice(["p", "p", "p", "h2", "blockquote", "li", "table", "note", "open"])
+        if kind == "li":
+            raw.append("<ul>" + "".join(f"<li>{x}" for x in w[:6]) + "</ul>")
+            blocks += w[:6]
+        elif kind == "table":
+            raw.append(f"<table><tr><td>{w[0]}</td><td class='x'>{w[1]}</td></tr></table>")
+            blocks += w[:2]
+        elif kind == "note":
+            raw.append(rng.choice(["<div class='ad'>{}</div>", "<aside>{}</aside>", "<form><input value='>'>{}</form>", "<script>'</p>'+{}</script>", "<!-- {} -->", "<style>{}</style>", "<nav><a>{}</a></nav>"]).format(" ".join(w[:5])))
+        elif kind == "open":
+            raw.append(f"<p>{w[0]}&amp;{w[1]} <b title='a>b'>{w[2]}</b>\n\t{' '.join(w[3:])}")
+            blocks.append(f"{w[0]}&{w[1]} {w[2]} {' '.join(w[3:])}")
+        else:
+            raw.append(f"<{kind}>{' '.join(w)}</{kind}>")
+            blocks.append(" ".join(w))
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(rng.randint(2, 8))) + "</ul></nav>"
+    head = f"<!doctype html><html><head><title>{word()}</title><meta name=x></head><body><header><div>{word()}</div></header>{menu}"
+    tail = rng.choice(["<section class='comments'><article><p>{}</p></article></section>", "<aside><h3>{}</h3></aside>", "<div id='cookie-notice'><p>{}</p></div>", "<form><label>{}</label></form>"]).format(" ".join(say(9)))
+    wrap = rng.choice(["article", "main"])
+    return f"{head}<{wrap}>{''.join(raw)}</{wrap}>{tail}<footer><p>{' '.join(say(6))}</p></footer></body></html>", "\n".join(blocks)
+
+
+def test_built_pages():
+    rng = random.Random(12)
+    for _ in range(200):
+        page, want = built_page(rng)
+        assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='single has-sidebar'><div class=content><p>one two three</p></div></body>", "one two three"),
+        ("<article><p>one two three four five six</p></article><section class=comments><article><p>reader says a b</p></article></section>", "one two three four five six"),
+        ("<article><p>one two three four</p></article><aside><article><p>related card</p></article></aside>", "one two three four"),
+        ("<article><p class='lead share-me'>one two</p><figure><img><figcaption>cap tion</figcaption></figure><label>lab el</label><object>obj</object></article>", "one two\ncap tion\nlab elobj"),
+        ("<form id=aspnetForm><div><p>one two three four</p></div></form>", "one two three four"),
+        ("<p class=ad>buy<p>one two three", "one two three"),
+        ("<article><p>a &am<b>p;</b> c</p></article>", "a &amp; c"),
+        ("<article><p>one two three</p></article><article class=comment><p>mine</p></article>", "one two three"),
+        ("<article data-x='a>b'><p>one two</p></article>", "one two"),
+        ("<article><p>a<p>b</article>", "a\nb"),
+    ],
+)
+def test_whole_article_and_nothing_else(page, want):
+    assert html.main_text(page) == want
+
+
+def test_broken_pages_take_linear_time():
+    for page in ("<p" + " a" * 200, "<p" + " a" * 50_000, "<a b='" * 30_000, "<div>" * 30_000 + "</x>y" * 30_000, "<!--" * 30_000, "<script>" * 5_000, "<p>x" * 30_000):
+        before = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - before < 10
 
 
 def test_extract(spark):
