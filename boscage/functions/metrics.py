@@ -175,12 +175,20 @@ def evaluate(df: DataFrame, names: list[str], objective: str, margins: list[str]
             v = ranking.group_aucpr(df, qid, margins[0], y).agg(F.avg("aucpr")).first()[0]
         elif base in CURVES:
             v = (auc if base == "auc" else aucpr)(df, margins[0], y, w).first()[0]
-        elif base == "ndcg":
-            v = ranking.ndcg(df, qid, margins[0], y, row, k, q.get("ndcg_exp_gain", True), empty).agg(F.avg("ndcg")).first()[0]
-        elif base == "map":
-            v = ranking.average_precision(df, qid, margins[0], y, row, k, empty).agg(F.avg("map")).first()[0]
-        elif base == "pre":
-            v = ranking.precision(df, qid, margins[0], y, row, k).agg(F.avg("pre")).first()[0]
+        elif base in RANKING:
+            ranking.check_labels(df, y, base, q.get("ndcg_exp_gain", True))
+            own = df
+            if not qid:  # all rows are one group
+                own, group = df.withColumn("_one", F.lit(0)), "_one"
+            else:
+                group = qid
+            if base == "ndcg":
+                per = ranking.ndcg(own, group, margins[0], y, row, k, q.get("ndcg_exp_gain", True), empty)
+            elif base == "map":
+                per = ranking.average_precision(own, group, margins[0], y, row, k, empty)
+            else:
+                per = ranking.precision(own, group, margins[0], y, row, k)
+            v = ranking.weighted_mean(per, base, own, group, w)
         elif base == "cox-nloglik":
             from ..operators import survival
 

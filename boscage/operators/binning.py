@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +90,18 @@ def collect_cuts(table: DataFrame, n_features: int) -> list[list[float]]:
     return out
 
 
+#: Cuts up to which a bin is found by generated comparisons, and names up to which a code is found in one map.
+COMPARED, MAPPED = 400, 200
+#: More categories than this are an error: codes and a bin for missing fit in 16 bits.
+MOST_CATEGORIES = 65_534
+
+
 def bin_of(value: Column, edges: list[float]) -> Column:
     """Number of cuts not over the value; null for missing.  A balanced tree of
-    comparisons, so a row costs the logarithm of the number of bins."""
+    comparisons, so a row costs the logarithm of the number of bins; beyond
+    ``COMPARED`` cuts the same by halving steps over one array literal."""
+    if len(edges) > COMPARED:
+        return search_bin(value, edges)
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -100,28 +112,72 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return F.when(value.isNotNull(), tree(0, len(edges))).cast("short")
 
 
+def _floats(values: list[float]) -> Column:
+    """An array literal from one string, so that a plan of 65,535 numbers stays small."""
+    return F.split(F.lit(",".join(str(np.float32(v)) for v in values)), ",").cast("array<float>")
+
+
 def search_bin(value: Column, edges: list[float]) -> Column:
-    """The same for many cuts: a filter over a literal array, smaller to compile."""
-    at = F.array(*[F.lit(float(e)).cast("float") for e in edges]) if edges else F.array().cast("array<float>")
-    return F.when(value.isNotNull(), F.size(F.filter(at, lambda c: c <= value))).cast("int")
+    """The same for any number of cuts, as an int."""
+    if not edges:
+        return F.when(value.isNotNull(), F.lit(0))
+    top = 1 << (len(edges).bit_length() - 1)
+    steps = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
+    at = _floats(edges)
+
+    def onward(low: Column, step: Column) -> Column:
+        return F.when((low + step <= len(edges)) & (F.get(at, low + step - 1) <= value), low + step).otherwise(low)
+
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), onward))
 
 
 def learn_categories(df: DataFrame, column: str, order: str) -> DataFrame:
-    """(name, code): codes by first appearance in the order column."""
+    """(name, code): codes by first appearance in the order column; more than MOST_CATEGORIES raise."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.min(order).alias("first"))
-    # a row per category, at most 65,534
+    if (n := first.count()) > MOST_CATEGORIES:
+        raise ValueError(f"{column}: {n} categories, more than {MOST_CATEGORIES}")
+    # a row per category, a number that was just checked
     return first.select("name", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", "name")) - 1).alias("code"))
 
 
+def lookup(names: list, column: Column) -> Column:
+    """The place of a value in a list of names, null if it isn't there: one map of few
+    names, else small maps by a checksum of the name, in a literal made from one string."""
+    if not names:
+        return F.lit(None).cast("int")
+    if len(names) <= MAPPED or not all(isinstance(c, str) for c in names):
+        return F.element_at(F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))]), column)
+    maps: list[dict[str, int]] = [{} for _ in range(1 << (len(names) // 8).bit_length())]
+    for i, c in enumerate(names):
+        maps[zlib.crc32(c.encode()) % len(maps)][c] = i
+    held = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return F.element_at(F.get(held, F.pmod(F.crc32(column), F.lit(len(maps))).cast("int")), column)
+
+
+def known_code(names: list, feature: str) -> Column:
+    """The code of a category, null for null; a name that training didn't see fails the job."""
+    c = F.col(feature)
+    failed = F.raise_error(F.concat(F.lit(f"{feature}: unseen category "), c.cast("string"))).cast("int")
+    return F.when(c.isNotNull(), F.coalesce(lookup(names, c), failed))
+
+
+def check_known(df: DataFrame, categories: dict[str, list]) -> None:
+    """Raise for a name that training didn't see; one job for all features."""
+    unseen = {f: F.max(F.when(F.col(f).isNotNull() & lookup(names, F.col(f)).isNull(), F.col(f))).alias(f) for f, names in categories.items()}
+    if unseen:
+        found = df.agg(*unseen.values()).first()
+        for f in unseen:
+            if found[f] is not None:
+                raise ValueError(f"{f}: unseen category {found[f]!r}")
+
+
 def recode(df: DataFrame, column: str, categories: list, out: str, unseen: str = "error") -> DataFrame:
     """Codes of names as a literal lookup; unseen names raise or become null."""
-    if len(categories) > 65534:
+    if len(categories) > MOST_CATEGORIES:
         raise ValueError(f"{column}: more than 65,534 categories")
-    pairs = [x for i, c in enumerate(categories) for x in (F.lit(c), F.lit(i))]
-    code = F.element_at(F.create_map(*pairs), F.col(column)) if pairs else F.lit(None).cast("int")
-    if unseen == "error" and (bad := df.where(F.col(column).isNotNull() & code.isNull()).select(column).first()):
-        raise ValueError(f"{column}: unseen category {bad[0]!r}")
-    return df.withColumn(out, code)
+    if unseen == "error":
+        check_known(df, {column: categories})
+    return df.withColumn(out, lookup(categories, F.col(column)))
 
 
 #: The number grammar of CSV fields: an integer, or a decimal with an exponent or not.

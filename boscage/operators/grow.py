@@ -54,6 +54,7 @@ class Plan:
     sampling: tuple[float, float, float]
     weights: list[float] | None
     key: tuple
+    sizes: list[int] | None = None
 
     def __post_init__(self):
         every = list(range(len(self.cuts)))
@@ -129,23 +130,23 @@ def lossguide(tree: Tree, plan: Plan) -> Grower:
 
 
 def by_symmetry(tree: Tree, plan: Plan) -> Grower:
-    level, depth, leaves = [0], 0, 1
+    level, depth, leaves, path = [(0, UNBOUND)], 0, 1, frozenset()
     while not plan.max_depth or depth < plan.max_depth or not depth:
-        feats = plan.features(depth, 0, frozenset())
-        got = yield [Request(n, UNBOUND, feats) for n in level]
+        feats = plan.features(depth, 0, path)
+        got = yield [Request(n, b, feats) for n, b in level]
         if not depth:
             _root(tree, plan, got[0])
         if plan.max_leaves and 2 * leaves > plan.max_leaves or (plan.max_depth and depth >= plan.max_depth):
             return
-        if any(got[n].hist is None for n in level):
-            chosen = [got[n].best for n in level]
+        if any(got[n].hist is None for n, _ in level):
+            chosen = [got[n].best for n, _ in level]
         else:
-            scans = [Scan(got[n].sums, plan.scale, plan.rules) for n in level]
-            _, chosen = symmetric(scans, [got[n].hist for n in level], sorted(feats))
+            scans = [Scan(got[n].sums, plan.scale, plan.rules, b) for n, b in level]
+            _, chosen = symmetric(scans, [got[n].hist for n, _ in level], sorted(feats), plan.sizes, plan.monotone)
         if chosen is None or chosen[0].feat < 0:
             return
-        level = [c for n, s in zip(level, chosen, strict=True) for c, _ in plan.apply(tree, n, s, UNBOUND)]
-        depth, leaves = depth + 1, 2 * leaves
+        level = [child for (n, b), s in zip(level, chosen, strict=True) for child in plan.apply(tree, n, s, b)]
+        depth, leaves, path = depth + 1, 2 * leaves, path | {chosen[0].feat}
 
 
 GROWERS = {"depthwise": depthwise, "lossguide": lossguide, "symmetric": by_symmetry}

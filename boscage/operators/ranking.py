@@ -28,12 +28,12 @@ def _gain(label: Column, exponential: bool) -> Column:
 
 
 def ndcg(df: DataFrame, qid: str, score: str, label: str, row: str, k: int = 32, exponential: bool = True, empty: float = 1.0) -> DataFrame:
-    """(qid, ndcg) at k; a group without relevant rows counts as `empty`."""
+    """(qid, ndcg, relevant) at k; a group without relevant rows counts as `empty`."""
     r = ranked(df, qid, score, label, row)
     gain = _gain(F.col(label), exponential)
     own = F.sum(F.when(F.col("pos") < k, gain / F.log2(F.col("pos") + 2.0)).otherwise(0.0))
     best = F.sum(F.when(F.col("ideal") < k, gain / F.log2(F.col("ideal") + 2.0)).otherwise(0.0))
-    return r.groupBy(qid).agg(own.alias("dcg"), best.alias("idcg")).select(qid, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(empty)).alias("ndcg"))
+    return r.groupBy(qid).agg(own.alias("dcg"), best.alias("idcg")).select(qid, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(empty)).alias("ndcg"), (F.col("idcg") > 0).alias("relevant"))
 
 
 def average_precision(df: DataFrame, qid: str, score: str, label: str, row: str, k: int = 32, empty: float = 1.0) -> DataFrame:
@@ -52,22 +52,29 @@ def precision(df: DataFrame, qid: str, score: str, label: str, row: str, k: int
     return r.groupBy(qid).agg((hits / F.least(F.lit(k), F.count(F.lit(1)))).alias("pre"))
 
 
+def ordered_share(s: np.ndarray, block: int = 1024) -> float:
+    """Share of the pairs i < j with s[i] > s[j], ties count half: blocks against all before them, sorted."""
+    good, seen = 0.0, s[:0]
+    for at in range(0, len(s), block):
+        x = s[at : at + block]
+        low, high = np.searchsorted(seen, x, "left"), np.searchsorted(seen, x, "right")
+        good += float((len(seen) - high).sum()) + float((high - low).sum()) / 2
+        first, second = np.triu_indices(len(x), 1)
+        good += float((x[first] > x[second]).sum()) + float((x[first] == x[second]).sum()) / 2
+        seen = np.sort(np.concatenate([seen, x]), kind="stable")
+    return good / (len(s) * (len(s) - 1) / 2)
+
+
 def group_auc(df: DataFrame, qid: str, score: str, label: str, row: str) -> DataFrame:
-    """(qid, auc): concordant share of pairs with different labels; groups of one label or under three rows are left out.
-
-    Labels take few values, so pairs are counted per label with running counts
-    over scores rather than by a self join.
-    """
-    s = df.groupBy(qid, label, score).agg(F.count(F.lit(1)).alias("n"))
-    levels = df.select(qid, F.col(label).alias("above")).distinct()
-    pairs = s.join(levels, qid).where(F.col("above") >= F.col(label))
-    per = pairs.groupBy(qid, "above", score).agg(F.sum(F.when(F.col(label) < F.col("above"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col(label) == F.col("above"), F.col("n")).otherwise(0)).alias("high"))
-    w = Window.partitionBy(qid, "above").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("low").over(w), F.lit(0)))
-    sums = per.groupBy(qid, "above").agg(F.sum(F.col("high") * (F.col("under") + F.col("low") / 2.0)).alias("good"), F.sum("low").alias("lows"), F.sum("high").alias("highs"))
-    out = sums.groupBy(qid).agg(F.sum("good").alias("good"), F.sum(F.col("lows") * F.col("highs")).alias("all"))
-    big = df.groupBy(qid).count().where("count >= 3")
-    return out.where(F.col("all") > 0).join(big, qid).select(qid, (F.col("good") / F.col("all")).alias("auc"))
+    """(qid, auc): of all pairs of a group, in the order of falling labels and then of
+    rows, the share whose scores fall too; groups under three rows are left out."""
+
+    def run(key, pdf):
+        own = pdf.sort_values([label, row], ascending=[False, True], kind="stable")[score].to_numpy()
+        return type(pdf)({qid: [key[0]], "auc": [ordered_share(own)]}) if len(own) >= 3 else type(pdf)({qid: pdf[qid][:0], "auc": []})
+
+    kind = df.schema[qid].dataType.simpleString()
+    return df.select(qid, score, label, row).groupBy(qid).applyInPandas(run, f"`{qid}` {kind}, auc double")
 
 
 def pr_step() -> Column:
@@ -161,6 +168,28 @@ def lambda_gradients(df: DataFrame, qid: str, row: str, margin: str, label: str,
     return df.groupBy(qid).applyInPandas(run, out)
 
 
+def weighted_mean(per: DataFrame, value: str, df: DataFrame, qid: str, weight: str) -> float | None:
+    """The mean of a group's values by the groups' weights (each row of a group has the
+    group's).  ndcg of a group without relevant rows is added without its weight."""
+    own = per.join(df.groupBy(qid).agg(F.max(weight).cast("double").alias("_gw")), qid)
+    part = F.col(value) * F.col("_gw")
+    if "relevant" in per.columns:
+        part = F.when(F.col("relevant"), part).otherwise(F.col(value))
+    r = own.agg(F.sum(part).alias("s"), F.sum("_gw").alias("w")).first()
+    return None if r["s"] is None else min(r["s"] / r["w"] if r["w"] and r["w"] > 0 else r["s"], 1.0)
+
+
+def check_labels(df: DataFrame, label: str, kind: str, exponential: bool = True) -> None:
+    """ndcg needs whole grades from 0 to 31 with exponential gains, map and pre need 0 or 1."""
+    y = F.col(label).cast("double")
+    if kind == "ndcg":
+        good = (y >= 0) & (F.abs(y - F.floor(y)) <= 1e-6) & (y < 32) if exponential else F.lit(True)
+    else:
+        good = (F.abs(y) < 1e-6) | (F.abs(y - 1) < 1e-6)
+    if bad := df.where(~F.coalesce(good, F.lit(False))).select(label).first():
+        raise ValueError(f"{kind} doesn't take label {bad[0]!r}")
+
+
 def group_weights(df: DataFrame, qid: str, weight: str) -> DataFrame:
     """(qid, group_weight): one weight per group, scaled to a mean of 1; rows of a group must agree."""
     per = df.groupBy(qid).agg(F.min(weight).alias("w"), F.max(weight).alias("w1"))

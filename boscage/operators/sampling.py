@@ -21,28 +21,37 @@ def importance(g: Column, h: Column) -> Column:
     return F.sqrt(g * g + 0.1 * h * h)
 
 
-def threshold(df: DataFrame, score: str, rate: float) -> float:
-    """tau with sum of min(1, score / tau) = rate * n, by sums over 2048 exponent buckets.
+def threshold(df: DataFrame, score: str, rate: float, steps: int = 3) -> float:
+    """tau with sum of min(1, score / tau) = rate * n.
 
-    One aggregate; the driver sees a row per bucket.  Inside the bucket that
-    holds tau its scores are taken as spread evenly over the two sides.
+    Scores under tau count in proportion and the others whole.  Sums over
+    exponent buckets find the bucket that holds tau; the next aggregates cut
+    that bucket into even parts, until no score lies between the two borders.
+    The driver sees a row per bucket or part.
     """
     s = F.col(score)
-    bucket = F.floor(F.log2(s) * 16).cast("int")
-    found = df.where(s > 0).groupBy(bucket.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("s")).orderBy("k").collect()
-    n = df.count()
+    n, positive = df.agg(F.count(F.lit(1)), F.sum((s > 0).cast("long"))).first()
     target = rate * n
-    if sum(r["n"] for r in found) <= target:
+    if (positive or 0) <= target:
         return 0.0
-    above, below = sum(r["n"] for r in found), 0.0
-    for r in found:  # tau in this bucket: below rows are in proportion, above are certain
-        above -= r["n"]
-        below += r["s"]
-        if target > above:
-            tau = below / (target - above)
-            if tau <= 2 ** ((r["k"] + 1) / 16):
-                return tau
-    return below / target
+    bucket = F.floor(F.log2(s) * 16).cast("int")
+    found = df.where(s > 0).groupBy(bucket.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("s"), F.min(s).alias("lo"), F.max(s).alias("hi")).orderBy("k").collect()
+    above, below = positive, 0.0
+    for step in range(steps):
+        for r in found:  # tau is over a bucket if that bucket's scores, taken in proportion too, leave it there
+            rest = target - (above - r["n"])
+            if rest > 0 and (below + r["s"]) / rest <= r["hi"]:
+                break
+            above -= r["n"]
+            below += r["s"]
+        else:
+            break
+        low, high = r["lo"], r["hi"]
+        if step + 1 == steps or low == high:
+            break
+        part = F.least(F.floor((s - low) * (4096 / (high - low))), F.lit(4095)).cast("int")
+        found = df.where((s >= low) & (s <= high)).groupBy(part.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("s"), F.min(s).alias("lo"), F.max(s).alias("hi")).orderBy("k").collect()
+    return below / (target - above) if target > above else found[-1]["hi"]
 
 
 def gradient_based(df: DataFrame, g: str, h: str, row: str, rate: float, seed: int, tree: int) -> DataFrame:

@@ -44,8 +44,9 @@ def leaf_id(tree: Tree, columns: dict[int, Column], binned: bool = False) -> Col
 
 
 def features_of(df: DataFrame, model: Model, missing: float = float("nan")) -> dict[int, Column]:
-    """Column of each feature that a split uses, as float or code; the whole schema is checked."""
-    from .binning import as_feature
+    """Column of each feature that a split uses, as float or code; the whole schema is
+    checked.  A category that training didn't see fails the job."""
+    from .binning import as_feature, known_code
 
     for f in model.features:
         if f not in df.columns:
@@ -55,9 +56,7 @@ def features_of(df: DataFrame, model: Model, missing: float = float("nan")) -> d
         f = model.features[i]
         names = model.categories.get(f)
         if names:
-            pairs = [x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]
-            known = F.element_at(F.create_map(*pairs), F.col(f))
-            out[i] = F.when(F.col(f).isNull(), F.lit(None)).otherwise(F.coalesce(known, F.lit(2**24 - 1))).cast("float")
+            out[i] = known_code(names, f).cast("float")
         else:
             out[i] = as_feature(f, missing)
     return out

@@ -144,36 +144,69 @@ def child_bounds(s: Split, monotone: int, bounds: tuple[float, float]) -> tuple[
     return ((low, mid), (mid, high)) if monotone > 0 else ((mid, high), (low, mid))
 
 
-def symmetric(scans: list[Scan], found: list[dict[int, tuple]], feats: list[int]) -> tuple[float, list[Split] | None]:
-    """One numeric split for all nodes of a level, with its gain: the largest sum of gains, each node's valid.
+def symmetric(scans: list[Scan], found: list[dict[int, tuple]], feats: list[int], sizes: list[int] | None = None, monotone: list[float] | None = None) -> tuple[float, list[Split] | None]:
+    """One split for all nodes of a level, with its gain: the largest sum of gains, each node's valid.
 
-    found[i]: {feat: (bins, g, h)} of node i.
+    found[i]: {feat: (bins, g, h)} of node i; sizes: categories of each feature,
+    0 for a numeric one.  A category set is the same in all nodes: its order
+    comes from the statistics of the whole level.
     """
     best, out = LEAST_GAIN * len(scans), None
     for f in feats:
-        every = np.unique(np.concatenate([x[f][0] for x in found if f in x] or [np.zeros(0, int)]))
+        n = sizes[f] if sizes else 0
+        every = np.arange(n) if n else np.unique(np.concatenate([x[f][0] for x in found if f in x] or [np.zeros(0, int)]))
         if not len(every):
             continue
-        dense = []
-        for x in found:
-            g, h = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        g, h = np.zeros((len(scans), len(every)), np.int64), np.zeros((len(scans), len(every)), np.int64)
+        for i, x in enumerate(found):
             if f in x:
-                at = np.searchsorted(every, x[f][0])
-                g[at], h[at] = x[f][1], x[f][2]
-            dense.append((g, h))
-        missing = any(int(g.sum()) != s.g or int(h.sum()) != s.h for s, (g, h) in zip(scans, dense, strict=True))
-        for default_left in (False, True) if missing else (False,):
-            left = [(s.g - np.cumsum(g[::-1]), s.h - np.cumsum(h[::-1])) if default_left else (np.cumsum(g), np.cumsum(h)) for s, (g, h) in zip(scans, dense, strict=True)]
-            bins = every[::-1] if default_left else every + 1
-            each = [s.gains(gl, hl) for s, (gl, hl) in zip(scans, left, strict=True)]
+                use = x[f][0] < n if n else slice(None)
+                at = np.searchsorted(every, x[f][0][use])
+                g[i, at], h[i, at] = x[f][1][use], x[f][2][use]
+        way = int(np.sign(monotone[f])) if monotone else 0
+        for default_left, bins, left_g, left_h, cats in (_level_sets if n else _level_cuts)(scans, g, h, every):
+            each = [s.gains(a, b, way) for s, a, b in zip(scans, left_g, left_h, strict=True)]
+            if not len(bins):
+                continue
             total = np.sum([e[0].astype(float) for e in each], axis=0)
             i = int(np.argmax(total))
             if total[i] > best:
                 best = float(total[i])
-                out = [Split(float(e[0][i]), f, int(bins[i]), default_left, (int(gl[i]), int(hl[i])), (s.g - int(gl[i]), s.h - int(hl[i])), None, (float(e[1][i]), float(e[2][i]))) for s, e, (gl, hl) in zip(scans, each, left, strict=True)]
+                own = cats[i] if cats is not None else None
+                side = default_left[i] if isinstance(default_left, list) else default_left
+                out = [Split(float(e[0][i]), f, int(bins[i]), side, (int(a[i]), int(b[i])), (s.g - int(a[i]), s.h - int(b[i])), own, (float(e[1][i]), float(e[2][i]))) for s, e, a, b in zip(scans, each, left_g, left_h, strict=True)]
     return best, out
 
 
+def _level_cuts(scans: list[Scan], g: np.ndarray, h: np.ndarray, every: np.ndarray):
+    """(where missing goes, bins, left sums of each node, no sets) of the cuts of a numeric feature."""
+    yield False, every + 1, np.cumsum(g, axis=1), np.cumsum(h, axis=1), None
+    tops = np.array([s.g for s in scans]), np.array([s.h for s in scans])
+    if (g.sum(axis=1) != tops[0]).any() or (h.sum(axis=1) != tops[1]).any():
+        yield True, every[::-1], tops[0][:, None] - np.cumsum(g[:, ::-1], axis=1), tops[1][:, None] - np.cumsum(h[:, ::-1], axis=1), None
+
+
+def _level_sets(scans: list[Scan], g: np.ndarray, h: np.ndarray, every: np.ndarray):
+    """The same for category sets, which go right: single ones while there are few
+    categories, else prefixes of one order, with missing on either side."""
+    rules, n = scans[0].rules, len(every)
+    tops = np.array([s.g for s in scans])[:, None], np.array([s.h for s in scans])[:, None]
+    if n < rules.max_cat_to_onehot:
+        seen = g.sum(axis=1)[:, None], h.sum(axis=1)[:, None]
+        pair = [np.stack([t - x, s - x], axis=2).reshape(len(scans), 2 * n) for t, s, x in zip(tops, seen, (g, h), strict=True)]
+        yield [True, False] * n, np.zeros(2 * n, int), *pair, [(c,) for c in range(n) for _ in (0, 1)]
+        return
+    limit = min(n, rules.max_cat_threshold)
+    if limit < 2:
+        return
+    order = np.argsort(weight(g.sum(axis=0) / scans[0].sg, h.sum(axis=0) / scans[0].sh, rules), kind="stable")
+    first = [tuple(sorted(int(x) for x in order[:k])) for k in range(n + 1)]
+    right = [np.cumsum(x[:, order[: limit - 1]], axis=1) for x in (g, h)]
+    yield True, np.zeros(limit - 1, int), tops[0] - right[0], tops[1] - right[1], first[1:limit]
+    back = order[::-1][: limit - 1]
+    yield False, np.zeros(limit - 1, int), np.cumsum(g[:, back], axis=1), np.cumsum(h[:, back], axis=1), [first[n - 1 - k] for k in range(limit - 1)]
+
+
 # ---- the same as window expressions over a histogram table
 
 

@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions import params as parameters
 from ..functions.params import ALIASES, DEFAULTS, RESOURCES
 from ..operators import scoring
 from .model import Model
 from .train import train
 
 
+#: More classes than this are an error.
+MOST_CLASSES = 65_535
+
+
 class _Estimator:
     """Parameters by keyword; get_params and set_params as elsewhere."""
 
@@ -52,7 +57,7 @@ class _Estimator:
     def fit(self, df: DataFrame, eval_set: Sequence[tuple[DataFrame, str]] = (), **options: Any):
         p = {"objective": self.default_objective} | self.params | self._objective(df)
         sets = [(self._data(e), name) for e, name in eval_set]
-        self.model = train(p, self._data(df), label=self.label, num_boost_round=self.n_estimators, weight=self.weight, features=self.features, evals=sets, early_stopping_rounds=self.early_stopping_rounds, evals_result=self.evals_result_, **self._options(), **options)
+        self.model = train(p, self._data(df), label=None if any(getattr(self, "bounds", ())) else self.label, num_boost_round=self.n_estimators, weight=self.weight, features=self.features, evals=sets, early_stopping_rounds=self.early_stopping_rounds, evals_result=self.evals_result_, **self._options() | options)
         return self
 
     def _objective(self, df: DataFrame) -> dict[str, Any]:
@@ -92,12 +97,32 @@ class _Estimator:
 
 
 class TreeRegressor(_Estimator):
+    """bounds: the columns of the lower and upper bound of survival:aft."""
+
+    def __init__(self, bounds: tuple[str | None, str | None] = (None, None), **params: Any):
+        super().__init__(**params)
+        self.bounds = bounds
+
+    _own = (*_Estimator._own, "bounds")
+
+    def _options(self) -> dict[str, Any]:
+        return {"label_lower_bound": self.bounds[0], "label_upper_bound": self.bounds[1]} if any(self.bounds) else {}
+
+    def fit(self, df: DataFrame, eval_set: Sequence[tuple[DataFrame, str]] = (), **options: Any):
+        self.bounds = (options.get("label_lower_bound") or self.bounds[0], options.get("label_upper_bound") or self.bounds[1])
+        return super().fit(df, eval_set, **options)
+
     def score(self, df: DataFrame) -> float:
         """R squared; for survival objectives the negative loss."""
         if self.model.objective.startswith("survival:"):
-            own = scoring.predict(df, self.model, output_margin=True).withColumns({"m0": F.col("prediction"), "w": self._weight(), "y": F.col(self.label).cast("double")})
-            name = "cox-nloglik"
-            return -metrics.evaluate(own, [name], self.model.objective, ["m0"], "y", "w", self.model.params)[name]
+            own = scoring.predict(df, self.model, output_margin=True)
+            if self.model.objective == "survival:cox":
+                name, lower, upper = "cox-nloglik", self.label, None
+            else:
+                name, lower, upper = "aft-nloglik", self.bounds[0] or self.label, self.bounds[1] or self.label
+                own = own.withColumn("y_upper", F.col(upper).cast("double"))
+            own = own.withColumns({"m0": F.col("prediction"), "w": self._weight(), "y": F.col(lower).cast("double")})
+            return -metrics.evaluate(own, [name], self.model.objective, ["m0"], "y", "w", parameters.normalise(self.model.params), upper="y_upper" if upper else None)[name]
         p, y, w = F.col("prediction").cast("double"), F.col(self.label).cast("double"), self._weight()
         scored = self.predict(df)
         mean = scored.agg(F.sum(w * y) / F.sum(w)).first()[0]
@@ -113,7 +138,10 @@ class TreeClassifier(_Estimator):
         self.classes_: list = []
 
     def _objective(self, df: DataFrame) -> dict[str, Any]:
-        self.classes_ = [r[0] for r in df.select(self.label).where(F.col(self.label).isNotNull()).distinct().orderBy(self.label).limit(65535).collect()]
+        found = df.select(self.label).where(F.col(self.label).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect()
+        if len(found) > MOST_CLASSES:
+            raise ValueError(f"{self.label}: more than {MOST_CLASSES} classes")
+        self.classes_ = sorted(r[0] for r in found)
         return {"objective": "multi:softprob", "num_class": len(self.classes_)} if len(self.classes_) > 2 else {}
 
     def _data(self, df: DataFrame) -> DataFrame:

@@ -403,7 +403,7 @@ def rank_precision(spark, sf_dir):
     return ranking.precision(_events(spark, sf_dir), "user_id", "score", "y", "event_id", 3).select("user_id", F.round("pre", 6).alias("pre"))
 
 
-@query(f"""WITH t AS ({_EV}), p AS (SELECT a.user_id, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc FROM t a JOIN t b ON a.user_id = b.user_id AND a.y > b.y GROUP BY 1)
+@query(f"""WITH t AS ({_EV}), p AS (SELECT a.user_id, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc FROM t a JOIN t b ON a.user_id = b.user_id AND (a.y > b.y OR a.y = b.y AND a.event_id < b.event_id) GROUP BY 1)
 SELECT user_id, round(auc, 6) AS auc FROM p WHERE user_id IN (SELECT user_id FROM t GROUP BY 1 HAVING count(*) >= 3)""")
 def rank_group_auc(spark, sf_dir):
     return ranking.group_auc(_events(spark, sf_dir), "user_id", "score", "y", "event_id").select("user_id", F.round("auc", 6).alias("auc"))

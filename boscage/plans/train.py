@@ -7,6 +7,7 @@ aggregate per evaluation table; rows never leave their partition.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -19,7 +20,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import metrics, objectives
 from ..functions import params as parameters
 from ..operators import binning, grow, histogram, ranking, sampling, survival
-from ..operators.scoring import leaf_value, with_margins
+from ..operators.scoring import COMPILED_NODES, leaf_value, with_margins
 from ..operators.splits import Rules, Scan, Split, best_of, symmetric
 from ..sources import inputs, shared
 from .model import Model, Tree
@@ -48,22 +49,24 @@ class CustomMetric:
 
 
 class _Table:
-    """A binned table: y, w, row, qid?, upper?, b0..., m0..."""
+    """A binned table: y, w, row, draw, qid?, upper?, b0..., m0..."""
 
     def __init__(self, df: DataFrame, path: str | None):
         self.df, self.held, self.paths, self.rounds = df, None, [path] if path else [], 0
 
-    def update(self, exprs: dict[str, Any]) -> None:
-        """New margins, kept; the older copy goes."""
-        new = self.df.withColumns(exprs)
+    def update(self, step: dict[str, Any] | Callable[[DataFrame], DataFrame]) -> None:
+        """New margins by expressions or by a function, kept; the older copy goes."""
+        new, old = step(self.df) if callable(step) else self.df.withColumns(step), []
         self.rounds += 1
         if self.rounds % CUT_ROUNDS == 0:
-            new, path = shared.written(new)
-            self.paths.append(path)
+            new, path = shared.written(new)  # holds all columns, so the older copy isn't read again
+            old, self.paths = self.paths, [path]
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         new.count()
         if self.held is not None:
             self.held.unpersist()
+        for p in old:
+            shared.delete(self.df.sparkSession, p)
         self.df = self.held = new
 
     def close(self) -> None:
@@ -77,6 +80,9 @@ def prepare(df: DataFrame, model: Model, roles: inputs.Roles, edges: list[list[f
     """The binned table of a data set, written to the shared folder."""
     out = [(F.col(roles.label).cast("double") if roles.label else F.lit(0.0)).alias("y"), (F.col(roles.weight).cast("double") if roles.weight else F.lit(1.0)).alias("w")]
     out.append((F.col(roles.row_id).cast("long") if roles.row_id else F.monotonically_increasing_id()).alias("row"))
+    # what row sampling draws by: the given id, or the row's contents, never its place
+    own = [c for c in (roles.label, roles.upper, roles.weight, roles.qid, *model.features) if c]
+    out.append((F.col(roles.row_id).cast("long") if roles.row_id else F.xxhash64(*own)).alias("draw"))
     if roles.qid:
         out.append(F.col(roles.qid).cast("long").alias("qid"))
     if roles.upper:
@@ -84,9 +90,7 @@ def prepare(df: DataFrame, model: Model, roles: inputs.Roles, edges: list[list[f
     for i, f in enumerate(model.features):
         names = model.categories.get(f)
         if names:
-            pairs = [x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]
-            code = F.coalesce(F.element_at(F.create_map(*pairs), F.col(f)), F.lit(len(names)))
-            out.append(F.when(F.col(f).isNotNull(), code).cast("int").alias(f"b{i}"))
+            out.append(binning.known_code(names, f).alias(f"b{i}"))
         elif model.categorical[i]:
             out.append(binning.as_feature(f, missing).cast("int").alias(f"b{i}"))
         else:
@@ -166,34 +170,82 @@ def _scan(plan: grow.Plan, categorical: list[int], request: grow.Request, sums:
     return scan.numeric(feat, bins, g, h, int(np.sign(plan.monotone[feat])))
 
 
-def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests: dict[int, list[grow.Request]], categorical: list[int], policy: str) -> dict[int, dict[int, grow.Found]]:
-    """Histograms and best splits of the requested nodes of all outputs: one scan."""
-    feats = sorted(set().union(*(r.features for rs in requests.values() for r in rs)))
-    binned = {f: F.col(f"b{f}") for t in trees for n in t.nodes if not n.leaf for f in [n.feat]}
-    cells = []
-    from ..operators.scoring import route
+Held = dict[tuple[int, int], tuple[tuple[int, int], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+
 
+def _siblings(trees: list[Tree], requests: dict[int, list[grow.Request]], held: Held) -> dict[tuple[int, int], int]:
+    """Of two children whose parent's histogram is held, the heavier one (output, node) and
+    its sibling: it is the parent less the sibling."""
+    out = {}
     for k, rs in requests.items():
-        wanted = {r.node for r in rs}
-        node = route(trees[k], binned, lambda i, _, wanted=wanted: F.lit(i) if i in wanted else F.lit(None).cast("int"), binned=True)
-        cells.append(F.struct(F.lit(k).alias("cls"), node.alias("node"), F.col(f"gq{k}").alias("gq"), F.col(f"hq{k}").alias("hq")))
-    own = df.select(*[f"b{f}" for f in feats], F.explode(F.array(*cells)).alias("c")).select(*[f"b{f}" for f in feats], "c.*").where("node is not null")
-    hist = histogram.with_totals(own, {f: f"b{f}" for f in feats}, ["cls", "node"])
+        by = {r.node: r for r in rs}
+        for n, r in by.items():
+            up = trees[k].nodes[n].parent
+            if (k, up) not in held:
+                continue
+            other = trees[k].nodes[up].left + trees[k].nodes[up].right - n
+            if other in by and (k, other) not in out and r.features <= held[k, up][1].keys() and r.features <= by[other].features:
+                mine, its = trees[k].nodes[n].cover, trees[k].nodes[other].cover
+                if mine > its or (mine == its and n > other):
+                    out[k, n] = other
+    return out
+
+
+def _less(parent: tuple, child: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feature's histogram (bins, g, h) less that of one child: exact, as sums are integers."""
+    bins, g, h = parent[0], parent[1].copy(), parent[2].copy()
+    at = np.searchsorted(bins, child[0])
+    g[at] -= child[1]
+    h[at] -= child[2]
+    some = (g != 0) | (h != 0)
+    return bins[some], g[some], h[some]
+
+
+def _tables(hist: DataFrame) -> Held:
+    """A small histogram table as sums and sorted arrays per output, node and feature."""
+    got = hist.toArrow()
+    k, n, f, b, g, h = (got.column(c).to_numpy() for c in ("cls", "node", "feat", "bin", "g", "h"))
+    order = np.lexsort((b, f, n, k))
+    k, n, f, b, g, h = (x[order] for x in (k, n, f, b, g, h))
+    edge = np.flatnonzero((np.diff(k) != 0) | (np.diff(n) != 0) | (np.diff(f) != 0)) + 1
+    out: Held = {}
+    for i, j in zip(np.append(0, edge), np.append(edge, len(k)), strict=True) if len(k) else ():
+        key, feat = (int(k[i]), int(n[i])), int(f[i])
+        sums, t = out.get(key, ((0, 0), {}))
+        if feat < 0:
+            sums = (int(g[i]), int(h[i]))
+        else:
+            t[feat] = (b[i:j].astype(int), g[i:j].astype(np.int64), h[i:j].astype(np.int64))
+        out[key] = (sums, t)
+    return out
+
+
+def _search(df: DataFrame, trees: list[Tree], plans: list[grow.Plan], requests: dict[int, list[grow.Request]], categorical: list[int], policy: str, held: Held) -> dict[int, dict[int, grow.Found]]:
+    """Histograms and best splits of the requested nodes of all outputs: one scan."""
+    feats = sorted(set().union(*(r.features for rs in requests.values() for r in rs)))
     by = {(k, r.node): r for k, rs in requests.items() for r in rs}
-    size = len(by) * sum(len(plans[0].cuts[f]) + 1 if not categorical[f] else categorical[f] for f in feats)
+    sizes = [c or len(e) + 1 for c, e in zip(categorical, plans[0].cuts, strict=True)]
+    size = len(by) * sum(sizes[f] for f in feats)
     out: dict[int, dict[int, grow.Found]] = {k: {} for k in requests}
     if size <= DRIVER_ROWS:
-        pdf = hist.toPandas().sort_values(["cls", "node", "feat", "bin"])
-        pdf[["cls", "node", "feat", "bin"]] = pdf[["cls", "node", "feat", "bin"]].astype(int)
-        tables: dict[tuple[int, int], dict] = {}
-        for (k, n, f), x in pdf.groupby(["cls", "node", "feat"]):
-            tables.setdefault((int(k), int(n)), {})[int(f)] = (x["bin"].to_numpy(), x["g"].to_numpy(np.int64), x["h"].to_numpy(np.int64))
+        derived = _siblings(trees, requests, held)
+        wanted = {k: [r.node for r in rs if (k, r.node) not in derived] for k, rs in requests.items()}
+        found = _tables(histogram.by_batches(df, trees, {k: n for k, n in wanted.items() if n}, feats, sizes))
+        for (k, n), other in derived.items():
+            sums, t = held[k, trees[k].nodes[n].parent]
+            less, own = found.get((k, other), ((0, 0), {}))
+            empty = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found[k, n] = ((sums[0] - less[0], sums[1] - less[1]), {f: _less(t[f], own.get(f, empty)) for f in by[k, n].features if f in t})
         for (k, n), r in by.items():
-            t = tables.get((k, n), {})
-            sums = (int(t[-1][1][0]), int(t[-1][2][0])) if -1 in t else (0, 0)
-            t.pop(-1, None)
+            sums, t = found.get((k, n), ((0, 0), {}))
             out[k][n] = grow.Found(sums, best_of([_scan(plans[k], categorical, r, sums, f, *x) for f, x in sorted(t.items())]), t)
+            held.pop((k, trees[k].nodes[n].parent), None)
+            # features without a present row are held too, as empty
+            held[k, n] = (sums, {f: t.get(f, (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))) for f in feats if f in r.features})
+        while len(held) > 1 and sum(len(x[0]) for _, t in held.values() for x in t.values()) > 2 * DRIVER_ROWS:
+            held.pop(next(iter(held)))  # its children are both read instead
         return out
+    hist = histogram.by_batches(df, trees, {k: [r.node for r in rs] for k, rs in requests.items()}, feats, sizes)
     hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     sums = {(r["cls"], r["node"]): (int(r["g"]), int(r["h"])) for r in hist.where("feat = -1").collect()}
 
@@ -235,12 +287,12 @@ def _level_splits(hist: DataFrame, plans: list[grow.Plan], requests: dict[int, l
         if f in requests[k][0].features:
             own = {int(n): x.sort_values("bin") for n, x in pdf.groupby("node")}
             cells = [{f: (own[n]["bin"].to_numpy(int), own[n]["g"].to_numpy(np.int64), own[n]["h"].to_numpy(np.int64))} if n in own else {} for n in nodes]
-            total, chosen = symmetric([Scan(sums.get((k, n), (0, 0)), plans[k].scale, plans[k].rules) for n in nodes], cells, [f])
-        rows = [] if chosen is None else [(k, f, total, chosen[0].bin, chosen[0].default_left, [s.gain for s in chosen], [s.left[0] for s in chosen], [s.left[1] for s in chosen], [s.weights[0] for s in chosen], [s.weights[1] for s in chosen])]
+            total, chosen = symmetric([Scan(sums.get((k, r.node), (0, 0)), plans[k].scale, plans[k].rules, r.bounds) for r in requests[k]], cells, [f], plans[k].sizes, plans[k].monotone)
+        rows = [] if chosen is None else [(k, f, total, chosen[0].bin, chosen[0].default_left, None if chosen[0].cats is None else list(chosen[0].cats), [s.gain for s in chosen], [s.left[0] for s in chosen], [s.left[1] for s in chosen], [s.weights[0] for s in chosen], [s.weights[1] for s in chosen])]
         return type(pdf)(rows, columns=names)
 
-    names = ["cls", "feat", "total", "bin", "default_left", "gain", "gl", "hl", "wl", "wr"]
-    schema = "cls int, feat int, total double, bin int, default_left boolean, gain array<double>, gl array<long>, hl array<long>, wl array<double>, wr array<double>"
+    names = ["cls", "feat", "total", "bin", "default_left", "cats", "gain", "gl", "hl", "wl", "wr"]
+    schema = "cls int, feat int, total double, bin int, default_left boolean, cats array<int>, gain array<double>, gl array<long>, hl array<long>, wl array<double>, wr array<double>"
     best: dict[int, Any] = {}
     for r in hist.where("feat >= 0").groupBy("cls", "feat").applyInPandas(scan, schema).collect():
         old = best.get(r["cls"])
@@ -249,7 +301,7 @@ def _level_splits(hist: DataFrame, plans: list[grow.Plan], requests: dict[int, l
     out = {}
     for k, r in best.items():
         each = zip(requests[k], r["gain"], r["gl"], r["hl"], r["wl"], r["wr"], strict=True)
-        out[k] = [Split(gain, r["feat"], r["bin"], r["default_left"], (gl, hl), (sums[k, q.node][0] - gl, sums[k, q.node][1] - hl), None, (wl, wr)) for q, gain, gl, hl, wl, wr in each]
+        out[k] = [Split(gain, r["feat"], r["bin"], r["default_left"], (gl, hl), (sums[k, q.node][0] - gl, sums[k, q.node][1] - hl), None if r["cats"] is None else tuple(r["cats"]), (wl, wr)) for q, gain, gl, hl, wl, wr in each]
     return out
 
 
@@ -265,12 +317,13 @@ def _grow_round(df: DataFrame, model: Model, q: dict, edges: list[list[float]],
     groups = parameters.interactions(q["interaction_constraints"], model.features)
     fw = parameters.per_feature(q["feature_weights"], model.features, "feature_weights") if q["feature_weights"] is not None else None
     rates = (q["colsample_bytree"], q["colsample_bylevel"], q["colsample_bynode"])
-    plans = [grow.Plan(rules, scales[i], q["eta"], q["max_depth"], q["max_leaves"], edges, monotone, groups, rates, fw, (q["seed"], round_, i)) for i in range(k)]
+    plans = [grow.Plan(rules, scales[i], q["eta"], q["max_depth"], q["max_leaves"], edges, monotone, groups, rates, fw, (q["seed"], round_, i), sizes) for i in range(k)]
     trees = [Tree() for _ in range(k)]
     growers = {i: grow.GROWERS[q["grow_policy"]](trees[i], plans[i]) for i in range(k)}
     requests = {i: next(g) for i, g in growers.items()}
+    held: Held = {}
     while requests:
-        found = _search(df, trees, plans, requests, sizes, q["grow_policy"])
+        found = _search(df, trees, plans, requests, sizes, q["grow_policy"], held)
         after = {}
         for i in requests:
             try:
@@ -331,6 +384,8 @@ def train(
         if f in text:
             found = binning.learn_categories(df.withColumn("_order", F.col(row_id) if row_id else F.monotonically_increasing_id()), f, "_order")
             categories[f] = prior.categories[f] if prior else [r["name"] for r in found.orderBy("code").collect()]
+            if prior:
+                binning.check_known(df, {f: categories[f]})
             sizes.append(len(categories[f]))
         elif f in cats:
             top = df.agg(F.max(F.col(f).cast("int"))).first()[0]
@@ -358,6 +413,7 @@ def train(
         if features is not None:
             own = own.select(*dict.fromkeys([*features, *[c for c in own.columns if c in roles.excluded()]]))
         inputs.check_same_features(own, names, roles)
+        binning.check_known(own, categories)
         own = own.withColumns({f: binning.as_feature(f, q["missing"]) for f in names if f not in cats})
         # the same data shares the margins of the training table
         sets.append((table if e is data else prepare(own, model, roles, edges, q["missing"], prior), name))
@@ -379,11 +435,11 @@ def train(
             g = _gradients(table.df, objective, custom_objective, q, k, roles, round_)
             if q["subsample"] < 1:
                 if q["sampling_method"] == "gradient_based" and k == 1:
-                    g = sampling.gradient_based(g.withColumns({"g0": F.col("g0").cast("double"), "h0": F.col("h0").cast("double")}), "g0", "h0", "row", q["subsample"], q["seed"], round_)
+                    g = sampling.gradient_based(g.withColumns({"g0": F.col("g0").cast("double"), "h0": F.col("h0").cast("double")}), "g0", "h0", "draw", q["subsample"], q["seed"], round_)
                 elif q["sampling_method"] == "gradient_based":
-                    g = sampling.gradient_based_outputs(g, k, "row", q["subsample"], q["seed"], round_)
+                    g = sampling.gradient_based_outputs(g, k, "draw", q["subsample"], q["seed"], round_)
                 else:
-                    g = g.where(sampling.row_kept(F.col("row"), q["subsample"], q["seed"], round_))
+                    g = g.where(sampling.row_kept(F.col("draw"), q["subsample"], q["seed"], round_))
             joint = objective in objectives.JOINT and not objective.startswith("multi:") or custom_objective is not None or q["sampling_method"] == "gradient_based"
             if joint:  # gradients that cost a shuffle or Python are made once per round
                 g = g.persist(StorageLevel.MEMORY_AND_DISK)
@@ -392,7 +448,10 @@ def train(
                 g.unpersist()
             model.trees += trees
             columns = {i: F.col(f"b{i}") for i in range(len(names))}
-            step = {f"m{i}": (F.col(f"m{i}") + leaf_value(t, columns, binned=True)).cast("float") for i, t in enumerate(trees)}
+            if sum(len(t.nodes) for t in trees) <= COMPILED_NODES:
+                step = {f"m{i}": (F.col(f"m{i}") + leaf_value(t, columns, binned=True)).cast("float") for i, t in enumerate(trees)}
+            else:
+                step = functools.partial(histogram.with_leaf_values, trees=trees)
             table.update(step)
             line = {}
             for own, name in sets:
