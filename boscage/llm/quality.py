@@ -30,6 +30,8 @@ DIMENSIONS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 FLOORS = (0.5, 0.12, 0.35, 0.1, 0.05)
 FIXED = 1 << 12
 BINS_PER_OCTAVE = 16
+#: Groups up to which a table with a row or two per group (some hundred bytes each) is broadcast; beyond it both sides are salted.
+FEW, SALT = 10_000, 32
 
 
 def _let(value: Column, body) -> Column:
@@ -173,7 +175,17 @@ def _distance() -> Column:
     return total
 
 
-def _half(rows: DataFrame, share: float) -> DataFrame:
+def _beside(rows: DataFrame, per_group: DataFrame, few: bool, key: str = "group", how: str = "inner") -> DataFrame:
+    """rows joined with a table that has a row or two per group, without moving a hot group to one task."""
+    other = per_group.withColumnRenamed(key, "__of")
+    if few:
+        return rows.join(F.broadcast(other), F.col(key) == F.col("__of"), how).drop("__of")
+    own = rows.withColumn("__salt", F.pmod(F.xxhash64(*DIMENSIONS), F.lit(SALT)))
+    other = other.withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return own.join(other, (F.col(key) == F.col("__of")) & (F.col("__salt") == F.col("__with")), how).drop("__of", "__salt", "__with")
+
+
+def _half(rows: DataFrame, share: float, few: bool) -> DataFrame:
     """The rows of each group up to the bin of d2 in which its share is reached."""
     binned = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS_PER_OCTAVE).cast("int"))
     counts = binned.groupBy("group", "bin").agg(F.sum("n").alias("k"))
@@ -181,16 +193,16 @@ def _half(rows: DataFrame, share: float) -> DataFrame:
     # a group has at most some hundred bins, however many rows it has
     upto = counts.select("group", "bin", F.sum("k").over(order).alias("upto"), F.sum("k").over(Window.partitionBy("group")).alias("all"))
     cut = upto.where(F.col("upto") >= share * F.col("all")).groupBy("group").agg(F.min("bin").alias("cut_bin"))
-    return binned.join(cut, "group").where(F.col("bin") <= F.col("cut_bin")).drop("bin", "cut_bin", "d2")
+    return _beside(binned, cut, few).where(F.col("bin") <= F.col("cut_bin")).drop("bin", "cut_bin", "d2")
 
 
-def _from_medians(rows: DataFrame) -> DataFrame:
+def _from_medians(rows: DataFrame, few: bool) -> DataFrame:
     """d2 as the squared distance from the coordinatewise medians in units of the floors."""
     # percentile() keeps counts of distinct values, and these are in coarse fixed point: a bounded number
     coarse = [(F.round(F.col(c) * (16.0 / FIXED)) * (FIXED / 16.0)).alias(c) for c in DIMENSIONS]
     med = rows.select("group", "n", *coarse).groupBy("group").agg(*[F.percentile(c, 0.5, F.col("n")).alias(f"med{i}") for i, c in enumerate(DIMENSIONS)])
     d2 = functools.reduce(lambda a, b: a + b, [F.pow((F.col(c) - F.col(f"med{i}")) / (FIXED * FLOORS[i]), F.lit(2.0)) for i, c in enumerate(DIMENSIONS)])
-    return rows.join(med, "group").select(*rows.columns, d2.alias("d2"))
+    return _beside(rows, med, few).select(*rows.columns, d2.alias("d2"))
 
 
 def mcd(rows: DataFrame, scratch: Scratch, steps: int = 3, share: float = 0.75) -> DataFrame:
@@ -201,15 +213,16 @@ def mcd(rows: DataFrame, scratch: Scratch, steps: int = 3, share: float = 0.75)
     concentration steps; the smaller determinant wins.  Both starts run side
     by side as groups of their own.  The result is written, a row per group.
     """
+    few = rows.groupBy("group").count().count() <= FEW
     inflate = 1.0 / _consistency(share, len(DIMENSIONS))
     wide = _estimate(rows, 1.0)
-    near = _estimate(_half(_from_medians(rows), share), inflate)
+    near = _estimate(_half(_from_medians(rows, few), share, few), inflate)
     estimate = wide.withColumn("start", F.lit(0)).unionByName(near.withColumn("start", F.lit(1)))
     for step in range(steps):
         estimate = scratch.save(estimate, f"step{step}")
-        joined = rows.join(estimate.select(F.col("group").alias("of"), "start", "mean", "white"), F.col("group") == F.col("of"))
+        joined = _beside(rows, estimate.select("group", "start", "mean", "white"), few)
         near = joined.select(F.concat_ws("/", F.col("start").cast("string"), "group").alias("group"), *DIMENSIONS, "n", _distance().alias("d2"))
-        estimate = _estimate(_half(near, share), inflate)
+        estimate = _estimate(_half(near, share, few), inflate)
         estimate = estimate.withColumn("start", F.substring("group", 1, 1).cast("int")).withColumn("group", F.expr("substring(group, 3)"))
     best = estimate.groupBy("group").agg(F.min_by(F.struct("n_half", "mean", "white"), F.struct("log_det", "start")).alias("e"))
     return scratch.save(best.select("group", "e.*"), "best")
@@ -244,7 +257,8 @@ def _groups() -> list[Column]:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 50, tail: float = 1e-5) -> DataFrame:
-    """One row per input row: doc_id, rk, lang, source, the statistics, base_failed, distance2, kept.
+    """One row per input row: doc_id, rk, lang, source, the statistics, base_failed,
+    used_level (0: language and source, 1: language, 2: all), distance2, kept.
 
     Rows that fail the base rules don't enter the estimates.  A group of fewer
     than ``least`` rows uses its language's estimate, and one of fewer than
@@ -254,28 +268,34 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", leas
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.save(statistics(docs, text, key).withColumn("base_failed", base_failed()), "statistics")
-    vectors = stats.select("*", *vector(), *[g.alias(f"group{i}") for i, g in enumerate(_groups())])
-    levels = range(len(_groups()))
-    names = [f"group{i}" for i in levels]
-    passed = vectors.where(~F.col("base_failed")).groupBy(*names, *DIMENSIONS).agg(F.count(F.lit(1)).alias("n"))
-    rows = scratch.save(passed.select(F.explode(F.array(*names)).alias("group"), *DIMENSIONS, "n").groupBy("group", *DIMENSIONS).agg(F.sum("n").alias("n")), "vectors")
-    big = rows.groupBy("group").agg(F.sum("n").alias("size")).where((F.col("size") >= least) | (F.col("group") == _groups()[-1]))
-    best = scratch.save(mcd(rows, scratch).join(big, "group").select("group", "mean", "white"), "used")
-    out = vectors
-    for i in levels:
-        own = best.select(F.col("group").alias(f"group{i}"), F.struct("mean", "white").alias(f"e{i}"))
-        out = out.join(own, f"group{i}", "left")
-    out = out.select(*stats.columns, *DIMENSIONS, F.coalesce(*[f"e{i}" for i in levels]).alias("e")).select(*stats.columns, *DIMENSIONS, "e.mean", "e.white")
+    fine, coarse, whole = _groups()
+    vectors = stats.select("*", *vector(), fine.alias("group0"), coarse.alias("group1"))
+    passed = vectors.where(~F.col("base_failed")).groupBy("group0", "group1", *DIMENSIONS).agg(F.count(F.lit(1)).alias("n"))
+    passed = scratch.save(passed, "passed")
+    rows = scratch.save(passed.select(F.explode(F.array("group0", "group1", whole)).alias("group"), *DIMENSIONS, "n").groupBy("group", *DIMENSIONS).agg(F.sum("n").alias("n")), "vectors")
+    big = rows.groupBy("group").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
+    estimates = mcd(rows, scratch).select("group", F.struct("mean", "white").alias("e"))
+    best = scratch.save(estimates.join(big, "group", "left_semi"), "big")
+    total = estimates.where(F.col("group") == whole).first()
+    # a row per language and source: the finest level that has rows enough
+    own = passed.select("group0", "group1").distinct()
+    for i in (0, 1):
+        own = own.join(best.select(F.col("group").alias(f"group{i}"), F.col("e").alias(f"e{i}")), f"group{i}", "left")
+    last = F.struct(*[F.array(*[F.lit(float(x)) for x in total["e"][c]]).alias(c) for c in ("mean", "white")]) if total else F.lit(None).cast(best.schema["e"].dataType)
+    level = F.when(F.col("e0").isNotNull(), 0).when(F.col("e1").isNotNull(), 1).otherwise(2)
+    used = scratch.save(own.select("group0", level.alias("used_level"), F.coalesce("e0", "e1", last).alias("e")), "used")
+    out = _beside(vectors, used, used.count() <= FEW, "group0", "left").select(*stats.columns, *DIMENSIONS, "used_level", "e.mean", "e.white")
     d2 = F.coalesce(_distance(), F.lit(0.0))
-    out = out.select(*stats.columns, F.when(~F.col("base_failed"), d2).alias("distance2"))
+    out = out.select(*stats.columns, F.when(~F.col("base_failed"), F.col("used_level")).alias("used_level"), F.when(~F.col("base_failed"), d2).alias("distance2"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= _chi2_quantile(1 - tail, len(DIMENSIONS)), F.lit(True)))
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the rows that quality_rules() rejects, all columns as they were."""
-    name = "__quality_rk"
-    good = quality_rules(docs, text, key).where("kept").select(F.col("rk").alias(name))
-    return docs.withColumn(name, row_key(text, key)).join(good, name, "left_semi").select(*docs.columns)
+    good = quality_rules(docs, text, key).where("kept").select(F.col("doc_id").alias("__of_id"), F.col("rk").alias("__of_rk"))
+    own = docs.withColumn("__quality_rk", row_key(text, key)).withColumn("__quality_id", F.col(key).cast("long"))
+    same = F.col("__quality_id").eqNullSafe(F.col("__of_id")) & (F.col("__quality_rk") == F.col("__of_rk"))
+    return own.join(good, same, "left_semi").select(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir):
