@@ -21,12 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields, rows
-from .store import width
+from .store import Scratch, join_groups, width
 from .tables import table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def _spill_dir() -> str | None:
+    """Where Spark itself spills in this executor; a task's spill dies with the task."""
+    found = os.environ.get("LOCAL_DIRS") or os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("TMPDIR")
+    return found.split(",")[0] if found else None
+
+
 class _Node:
     """An edge label, the terminal's (smallest id, copies) or None, and children by first byte."""
 
@@ -115,7 +121,7 @@ class PatriciaOwners:
         file.write(b"%d %d %d\n" % (len(text), len(own), copies) + text + own)
 
     def _spill(self, first: int) -> None:
-        file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR"))
+        file = tempfile.TemporaryFile(dir=_spill_dir())
         for text, (owner, copies) in self._walk(self.root.children.pop(first), b""):
             self._write(file, text, owner, copies)
         self.bytes -= self.weight.pop(first)
@@ -225,10 +231,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     t = normalised(F.col(text))
     members = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(t.cast("binary"), 256).alias("text_sha256"))
-    # equal rows are interchangeable: they are counted first and dealt out again
+    owners = Scratch(docs.sparkSession, "exact").save(owner_table(docs, text, key), "owners")
+    # equal rows are interchangeable: they are counted first and dealt out again, some thousand at a time
     counted = members.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    joined = counted.join(owner_table(docs, text, key), "text_sha256")
-    out = joined.select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("nth"), "text_sha256")
+    joined = join_groups(counted, owners, ["text_sha256"], "group_size")
+    blocks = joined.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_rows - 1) div 4096"))).alias("block"))
+    nth = F.sequence(F.col("block") * 4096 + 1, F.least(F.col("block") * 4096 + 4096, F.col("n_rows")))
+    out = blocks.select("doc_id", "keep_id", "group_size", F.explode(nth).alias("nth"), "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", ((F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 

@@ -21,8 +21,10 @@ class, by doc_id and place, stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,13 @@ from .components import components
 from .forest import Labels
 from .jaccard import units
 from .store import Scratch, width
-from .tables import table
-from .words import U, buffers, mix, pieces, powers, prefix_hash, signed, span_hash
+from .tables import marked, replaced, table
+from .words import U, buffers, mix, pieces, powers, prefix_hash, signed, span_digests, span_hash
 
 EDITS, LEAST, LEAST_EXACT = 2, 40, 15
 BAG = 32
+#: Characters of the grams that are counted beside single ones, and their buckets: an edit changes 2 * TRI counts at most.
+TRI, TRI_BAG = 3, 256
 #: Grams of long lines, and how many of them a key is the least of: together GRAM + WINDOW - 1 characters.
 GRAM, WINDOW = 32, 44
 
@@ -73,13 +77,14 @@ class Rule:
 BY_LENGTH = Rule()
 _LINES = fields(doc_id="long", rk="long", line_no="int", a="long", b="long")
 _KEYS = fields(key="long", a="long", index="boolean")
-_TEXTS = fields(a="long", text="string")
-_EDGES = fields(a="long", b="long")
-_CUT = fields(rk="long", text="string")
+_TEXTS = fields(a="long", b="long", text="string")
+_EDGES = fields(a="binary", b="binary")
+_CUT = fields(doc_id="long", rk="long", text="string")
 
 
 class Lines:
-    """Trimmed lines of a column: code points, bounds, row, number in the row."""
+    """Trimmed lines of a column: code points, bounds, row, number in the row, and
+    the halves a and b of a 128-bit hash, by which lines are equal or not."""
 
     def __init__(self, column: pa.Array, least: int):
         data, offsets = buffers(column)
@@ -102,17 +107,22 @@ class Lines:
         use = end - start >= least
         self.start, self.end = start[use], end[use]
         self.row, self.number = row[some][use], number[some][use]
-        self.prefix = prefix_hash(codes)
-        self.a = span_hash(self.prefix, self.start, self.end) if len(self.start) else np.zeros(0, U)
+        self.a, self.b = span_digests(codes.tobytes(), 4 * self.start, 4 * self.end)
+        self._prefix: np.ndarray | None = None
 
-    def second(self) -> np.ndarray:
-        """Another hash, so that equality rests on 128 bits."""
-        if not len(self.start):
-            return self.a
-        p = np.zeros(len(self.codes) + 1, U)
-        c = self.codes.astype(U)
-        np.cumsum((c * c + U(0x9E3779B97F4A7C15)) * (c + c + U(1)) * powers(len(c)), out=p[1:])
-        return span_hash(p, self.start, self.end)
+    @property
+    def prefix(self) -> np.ndarray:
+        if self._prefix is None:
+            self._prefix = prefix_hash(self.codes)
+        return self._prefix
+
+    def once(self) -> np.ndarray:
+        """One place of each distinct line."""
+        order = np.lexsort((self.b, self.a))
+        a, b = self.a[order], self.b[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return np.sort(order[new])
 
 
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -215,44 +225,92 @@ def within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
     return dist <= edits
 
 
+#: Runs of at most this many characters are equal if their hashes are; longer ones are compared.
+TRUSTED = 32
+
+
 def reach(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
-    """within() for larger bounds: how far each diagonal comes with 0, 1, ... edits.
+    """within() for larger bounds: how far each diagonal comes with 0, 1, ... edits;
+    a pair is done when the last one is reached.
 
-    Runs of equal characters are found by bisection over hashes, so the cost
-    grows with the square of the edits rather than with the lengths.
+    Runs of equal characters are found by doubling, then halving, over hashes,
+    so the cost grows with the square of the edits rather than with the lengths.
     """
     out = np.zeros(len(x), bool)
     size = max(1, 2_000_000 // (2 * edits + 1))
     for lo in range(0, len(x), size):
         a, b = x[lo : lo + size], y[lo : lo + size]
         n, m = np.array([len(v) for v in a], np.int64), np.array([len(v) for v in b], np.int64)
-        prefix = prefix_hash(np.concatenate([*a, *b]))
+        codes = np.concatenate([*a, *b])
+        hashes = prefix_hash(codes), powers(len(codes) + 1, True)
         starts = np.cumsum(np.append(n, m)) - np.append(n, m)
-        sx, sy = starts[: len(n), None], starts[len(n) :, None]
+        sx, sy = starts[: len(n)], starts[len(n) :]
+        goal = m - n + edits
+        open_ = np.flatnonzero((goal >= 0) & (goal <= 2 * edits))
         diagonal = np.arange(-edits, edits + 1)[None, :]
-        end = np.minimum(n[:, None], m[:, None] - diagonal)  # the last row of each diagonal
         row = np.full((len(n), 2 * edits + 3), -1, np.int64)  # -1: not reached; a margin on either side
         for e in range(edits + 1):
+            if not len(open_):
+                break
+            end = np.minimum(n[open_, None], m[open_, None] - diagonal)  # the last row of each diagonal
             if e:
-                before, same, after = row[:, :-2], row[:, 1:-1], row[:, 2:]
+                old = row[open_]
+                before, same, after = old[:, :-2], old[:, 1:-1], old[:, 2:]
                 now = np.maximum(np.maximum(before, np.where(same >= 0, same + 1, -1)), np.where(after >= 0, after + 1, -1))
             else:
                 now = np.where(diagonal == 0, 0, np.full_like(end, -1))
             now = np.minimum(now, end)
-            on = (now >= 0) & (now + diagonal >= 0)
-            k, d = np.nonzero(on)
+            # a diagonal too far from the last one can't come back with the edits that are left
+            far = np.abs(diagonal + edits - goal[open_, None]) > edits - e
+            now = np.where((now + diagonal < 0) | far, -1, now)
+            k, d = np.nonzero(now >= 0)
             i = now[k, d]
-            p, q = sx[k, 0] + i, sy[k, 0] + i + d - edits
-            low, high = np.zeros(len(i), np.int64), end[k, d] - i
-            while (low < high).any():
-                mid = (low + high + 1) // 2
-                equal = span_hash(prefix, p, p + mid) == span_hash(prefix, q, q + mid)
-                low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
-            row[:, 1:-1] = np.where(on, now, -1)
-            row[k, d + 1] = i + low
-        goal = m - n + edits
-        fits = (goal >= 0) & (goal <= 2 * edits)
-        out[lo : lo + size] = fits & (row[np.arange(len(n)), np.clip(goal, 0, 2 * edits) + 1] >= n)
+            now[k, d] = i + _runs(codes, hashes, sx[open_[k]] + i, sy[open_[k]] + i + d - edits, end[k, d] - i)
+            row[open_, 1:-1] = now
+            done = now[np.arange(len(open_)), goal[open_]] >= n[open_]
+            out[lo + open_[done]] = True
+            open_ = open_[~done]
+    return out
+
+
+def _runs(codes: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many characters from p and q on are equal, up to most."""
+    prefix, inverse = hashes
+
+    def same(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (prefix[i + n] - prefix[i]) * inverse[i] == (prefix[j + n] - prefix[j]) * inverse[j]
+
+    out = np.zeros(len(p), np.int64)
+    own, step = np.flatnonzero(most > 0), 8
+    own = own[codes[p[own]] == codes[q[own]]]
+    fails: list[tuple[np.ndarray, int]] = []
+    while len(own):
+        at = out[own]
+        take = np.minimum(step, most[own] - at)
+        i, j = p[own] + at, q[own] + at
+        equal = same(i, j, take)
+        out[own[equal]] += take[equal]
+        if step > 1 and not equal.all():
+            fails.append((own[~equal], step))
+        own = own[equal]
+        own = own[out[own] < most[own]]
+        step *= 4
+    for own, step in fails:  # the run ends inside the last step
+        low, high = np.zeros(len(own), np.int64), np.minimum(step, most[own] - out[own]) - 1
+        i, j = p[own] + out[own], q[own] + out[own]
+        while True:
+            some = low < high
+            if not some.any():
+                break
+            mid = (low + high + 1) // 2
+            equal = same(i, j, mid)
+            low, high = np.where(some & equal, mid, low), np.where(some & ~equal, mid - 1, high)
+        out[own] += low
+    for v in np.flatnonzero(out > TRUSTED):  # hashes of longer runs may be equal by design
+        n = int(out[v])
+        differ = codes[p[v] : p[v] + n] != codes[q[v] : q[v] + n]
+        if differ.any():
+            out[v] = int(np.argmax(differ))
     return out
 
 
@@ -272,7 +330,7 @@ def _scan_lines(least: int):
             for part in pieces(batch, "text"):
                 lines = Lines(part.column(2), least)
                 take = pa.array(lines.row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.a)), pa.array(signed(lines.second()))], schema=_LINES)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(signed(lines.a)), pa.array(signed(lines.b))], schema=_LINES)
 
     return run
 
@@ -293,7 +351,9 @@ def _scan_keys(rule: Rule):
 
 
 def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: those of keys that two lines have and one offers."""
+    """Of rows sorted by key: those of keys that two lines have and one offers, named by
+    a hash of the key's lines.  Near copies share many keys, most of them among the
+    same lines: these become one, and a line's text moves once for all of them."""
 
     def whole(key, a, own):
         order = np.lexsort((a, key))
@@ -304,8 +364,18 @@ def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = np.zeros(len(key), np.int64)
         other[1:] = (a[1:] != a[:-1]) & ~new[1:]
         use = (np.add.reduceat(other, start) > 0) & np.logical_or.reduceat(own, start)
-        keep = np.repeat(use, np.diff(np.append(start, len(key))))
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(a[keep]), pa.array(own[keep])], schema=_KEYS)
+        once = np.ones(len(key), bool)
+        once[1:] = new[1:] | (a[1:] != a[:-1])
+        # a line may offer itself and probe under one key: it then counts as offering
+        first = np.flatnonzero(once)
+        offers = np.logical_or.reduceat(own, first)
+        group = np.cumsum(new)[first] - 1
+        total = np.zeros(len(first) + 1, U)
+        np.cumsum(mix(a[first].view(U) ^ (offers.astype(U) * U(0x9E3779B97F4A7C15))), out=total[1:])
+        edge = np.searchsorted(group, np.arange(len(start) + 1))
+        name = mix(total[edge[1:]] - total[edge[:-1]])
+        keep = use[group]
+        return pa.RecordBatch.from_arrays([pa.array(signed(name)[group][keep]), pa.array(a[first][keep]), pa.array(offers[keep])], schema=_KEYS)
 
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
     for batch in arriving:
@@ -321,27 +391,75 @@ def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(*held)
 
 
-def _scan_texts(least: int):
+#: Bits of the map that tells which lines share a key: a fixed size, so beyond some ten million lines more texts move than need to.
+BITS = 1 << 26
+
+
+def _bit(a: np.ndarray) -> np.ndarray:
+    return (mix(a.view(U)) >> U(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _marked(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the map that a task's lines set, and what they hold."""
+    bits = np.zeros(BITS, bool)
+    for batch in arriving:
+        bits[_bit(batch.column(0).to_numpy())] = True
+    held = np.packbits(bits)
+    at = np.flatnonzero(held)
+    for i in range(0, len(at), 1 << 20):
+        own = at[i : i + (1 << 20)]
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[own].astype(np.int32))], names=["at", "bits"])
+
+
+def _map_of(shared: DataFrame) -> np.ndarray:
+    """The map of all lines with a shared key: BITS / 8 bytes for any input."""
+    found = shared.select("a").mapInArrow(_marked, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
+    return out
+
+
+def _scan_texts(least: int, held: Any):
+    """Lines that may share a key, each once per batch; held: a broadcast of _map_of()."""
+
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
             for part in pieces(batch, "text"):
                 lines = Lines(part.column(0), least)
-                _, once = np.unique(lines.a, return_index=True)
+                once = lines.once()
+                bit = _bit(lines.a[once])
+                once = once[(held.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1]
                 texts = [lines.codes[lines.start[i] : lines.end[i]].tobytes().decode("utf-32-le") for i in once]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.a[once])), pa.array(texts, pa.string())], schema=_TEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lines.a[once])), pa.array(signed(lines.b[once])), pa.array(texts, pa.string())], schema=_TEXTS)
 
     return run
 
 
-def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the lines that offer and all lines."""
+def bags(codes: list[np.ndarray], n: int, buckets: int) -> np.ndarray:
+    """How many runs of n characters of each line fall into each bucket of their hash."""
+    count = len(codes)
+    flat = np.concatenate(codes).astype(U) if count else np.zeros(0, U)
+    row = np.repeat(np.arange(count), [len(c) for c in codes])
+    h = mix(flat)
+    for k in range(1, n):
+        h = mix(h[:-1] * U(3) + flat[k:])
+    if n > 1:
+        same = row[: len(h)] == row[n - 1 :] if len(h) else np.zeros(0, bool)
+        h, row = h[same], row[: len(h)][same]
+    place = (h >> U(65 - buckets.bit_length())).astype(np.int64)
+    return np.bincount(row * buckets + place, minlength=count * buckets).reshape(count, buckets).astype(np.int32)
+
+
+def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule, mine: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the lines that offer and all lines.
+
+    Pairs for which mine() is false are another unit's work.
+    """
     codes = [np.frombuffer(x.encode("utf-32-le"), "<u4") for x in texts]
     size = np.array([len(x) for x in codes], np.int64)
     bound = rule.at(size)
     count = len(codes)
-    row = np.repeat(np.arange(count), size)
-    flat = np.concatenate(codes)
-    bag = np.bincount(row * BAG + (mix(flat.astype(U)) >> U(59)).astype(np.int64), minlength=count * BAG).reshape(count, BAG).astype(np.int32)
+    bag, grams = bags(codes, 1, BAG), bags(codes, TRI, TRI_BAG)
     labels = Labels(count)
     across = bool(part.min() != part.max())
     offers = np.flatnonzero(index)
@@ -364,6 +482,10 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule) -> l
             while at < len(p):
                 a, b = x[p[at : at + 4096]], y[q[at : at + 4096]]
                 at += 4096
+                few = np.abs(grams[a] - grams[b]).sum(axis=1) <= 2 * TRI * bound[a]
+                if mine is not None:
+                    few[few] = [mine(v, w) for v, w in zip(a[few].tolist(), b[few].tolist(), strict=True)]
+                a, b = a[few], b[few]
                 # a batch that would tie the same two components again keeps one try of each at a time
                 while len(a):
                     differ = labels.of[a] != labels.of[b]
@@ -381,17 +503,29 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule) -> l
     return labels.edges
 
 
-def _merged(found: list[tuple]) -> list[tuple[int, int, bool, str]]:
-    """(line, part, whether it offers, text) of a unit; a line may come from several tasks."""
-    by: dict[int, tuple[int, int, bool, str]] = {}
-    for _, _, _, part, a, own, text in found:
-        old = by.get(a)
-        by[a] = (a, part, own or bool(old and old[2]), text)
+#: A line in a unit: its name (both halves of its hash, 16 bytes big-endian), part, whether
+#: it offers, text, and all its keys and those that it offers itself under, without their last bit.
+_Row = tuple[bytes, int, bool, str, frozenset[int], frozenset[int]]
+
+
+def _merged(found: list[tuple]) -> list[_Row]:
+    """The lines of a unit; a line may come from several tasks."""
+    by: dict[bytes, _Row] = {}
+    for _, _, _, part, a, b, own, text, keys in found:
+        name = struct.pack(">qq", a, b)
+        if name in by:
+            old = by[name]
+            by[name] = (name, part, own or old[2], text, old[4], old[5])
+        else:
+            every = np.frombuffer(keys, np.int64)
+            by[name] = (name, part, own, text, frozenset((every & -2).tolist()), frozenset((every[every & 1 == 1] & -2).tolist()))
     return list(by.values())
 
 
-def _bag(codes: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(codes.astype(U)) >> U(59)).astype(np.int64), minlength=BAG).astype(np.int32)
+def _first(key: int, x: _Row, y: _Row) -> bool:
+    """Whether key is the least that both lines have and one offers itself under: each
+    pair is looked at in one unit only."""
+    return min((x[4] & y[5]) | (x[5] & y[4]), default=None) == key & -2
 
 
 class _Pairs:
@@ -399,26 +533,35 @@ class _Pairs:
 
     def __init__(self, rule: Rule):
         self.rule = rule
-        self.texts: dict[int, str] = {}
-        self.pairs: set[tuple[int, int]] = set()
+        self.texts: dict[bytes, str] = {}
+        self.pairs: set[tuple[bytes, bytes]] = set()
         self.size = 0
 
-    def add(self, rows: list[tuple[int, int, bool, str]]) -> None:
+    def add(self, key: int, rows: list[_Row]) -> None:
         across = len({r[1] for r in rows}) > 1
         bound = self.rule.at(np.array([len(r[3]) for r in rows])).tolist()
         for i, x in enumerate(rows):
             for j, y in enumerate(rows[:i]):
-                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= min(bound[i], bound[j]) and not (across and x[1] == y[1]):
+                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= min(bound[i], bound[j]) and not (across and x[1] == y[1]) and _first(key, x, y):
                     short, long = (x, y) if len(x[3]) <= len(y[3]) else (y, x)
                     if (short[0], long[0]) not in self.pairs:
                         self.pairs.add((short[0], long[0]))
                         self.texts[short[0]], self.texts[long[0]] = short[3], long[3]
                         self.size += len(long[3])
 
-    def verified(self) -> Iterator[tuple[int, int]]:
-        codes = {a: np.frombuffer(t.encode("utf-32-le"), "<u4") for a, t in self.texts.items()}
-        bags = {a: _bag(c) for a, c in codes.items()}
-        use = [(a, b) for a, b in self.pairs if np.abs(bags[a] - bags[b]).sum() <= 2 * self.rule.one(len(codes[a]))]
+    def verified(self) -> Iterator[tuple[bytes, bytes]]:
+        place = {a: i for i, a in enumerate(self.texts)}
+        every = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in self.texts.values()]
+        codes = dict(zip(self.texts, every, strict=True))
+        pairs = list(self.pairs)
+        p, q = (np.array([place[x[k]] for x in pairs], np.int64) for k in (0, 1))
+        bound = self.rule.at(np.array([len(c) for c in every], np.int64))[p] if pairs else p
+        use = []
+        bag, grams = bags(every, 1, BAG), bags(every, TRI, TRI_BAG)
+        for i in range(0, len(pairs), 4096):
+            a, b, most = p[i : i + 4096], q[i : i + 4096], bound[i : i + 4096]
+            near = (np.abs(bag[a] - bag[b]).sum(axis=1) <= 2 * most) & (np.abs(grams[a] - grams[b]).sum(axis=1) <= 2 * TRI * most)
+            use += [pairs[i + v] for v in np.flatnonzero(near)]
         use.sort(key=lambda p: len(codes[p[1]]))
         at = 0
         while at < len(use):  # pairs of like length, so that little is padding
@@ -433,24 +576,34 @@ class _Pairs:
 SMALL = 12
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its last column, a list of longs, as binary values over the same bytes."""
+    lists = batch.column(batch.num_columns - 1)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    data = np.ascontiguousarray(lists.values.to_numpy()[offsets[0] : offsets[-1]])
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer((offsets - offsets[0]) * 8), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], held], names=batch.schema.names)
+
+
 def _verify(rule: Rule):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Pairs(rule)
 
         def done(found):
             nonlocal held
-            got = _merged(found)
+            got, key = _merged(found), found[0][0]
             if len(got) <= SMALL:
-                held.add(got)
+                held.add(key, got)
                 if held.size > 2_000_000:
                     now, held = held, _Pairs(rule)
                     yield from now.verified()
                 return
-            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), rule):
+            mine = lambda v, w: _first(key, got[v], got[w])
+            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), rule, mine):
                 yield got[i][0], got[j][0]
 
         def every():
-            yield from units(arriving, 3, done)
+            yield from units(map(_packed, arriving), 3, done)
             yield from held.verified()
 
         yield from batches(every(), _EDGES)
@@ -486,14 +639,16 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_
     shared = scratch.save(offered.mapInArrow(_shared, ddl(_KEYS)).distinct(), "shared")
     heavy = shared.groupBy("key").agg(F.ceil(F.countDistinct("a") / unit).cast("int").alias("parts")).where("parts > 1")
     shares = shared.join(heavy, "key", "left").groupBy("a").agg(F.collect_list(F.struct("key", "index", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("keys"))
-    texts = own.select("text").mapInArrow(_scan_texts(rule.least), ddl(_TEXTS)).join(shares, "a")
-    dealt = texts.select("a", "text", F.explode("keys").alias("k"))
+    held = spark.sparkContext.broadcast(_map_of(shared))
+    texts = own.select("text").mapInArrow(_scan_texts(rule.least, held), ddl(_TEXTS)).join(shares, "a")
+    dealt = texts.select("a", "b", "text", F.transform("keys", lambda k: k["key"].bitwiseAND(-2).bitwiseOR(k["index"].cast("long"))).alias("all"), F.explode("keys").alias("k"))
     part = F.pmod(F.xxhash64("a"), F.col("k.parts")).cast("int")
-    dealt = dealt.select("a", "text", "k.key", "k.index", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("k.parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "index", "text")
+    dealt = dealt.select("a", "b", "text", "all", "k.key", "k.index", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("k.parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "b", "index", "text", "all")
     near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(rule), ddl(_EDGES))
-    roots = components(near, scratch, "near").withColumnRenamed("node", "a")
-    named = classes.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("a", "b")]))
+    roots = components(near, scratch, "near")
+    named = classes.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.save(named.select("a", "b", "root", "first", "n"), "named")
     whole = named.groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_size")).where("class_size > 1")
     used = named.join(whole, "root").select("a", "b", "class_first", "class_size")
@@ -504,9 +659,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_
 def _cut(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found():
         for batch in arriving:
-            for rk, text, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, rk, text, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 gone = set(gone)
-                yield rk, "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                yield doc, rk, "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
     yield from batches(found(), _CUT)
 
@@ -516,13 +671,10 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     left blank by that goes.  Others are untouched, with all columns; n_chars,
     where there is one, follows the text."""
     scratch = Scratch(docs.sparkSession, "cutlines")
-    gone = scratch.save(line_classes(docs, text=text, key=key, **options).where("not kept").groupBy("rk").agg(F.collect_set("line_no").alias("gone")), "gone")
-    rk = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    marked = docs.withColumn("__cut_rk", rk).join(gone.select(F.col("rk").alias("__cut_rk"), F.col("gone").alias("__cut_gone")), "__cut_rk", "left")
-    hit = marked.where("__cut_gone is not null")
-    new = scratch.save(hit.select(F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_gone").alias("gone")).dropDuplicates(["rk"]).mapInArrow(_cut, ddl(_CUT)), "texts")
-    changed = hit.drop(text, "__cut_gone").join(new.select(F.col("rk").alias("__cut_rk"), F.col("text").alias(text)), "__cut_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    out = marked.where("__cut_gone is null").drop("__cut_gone").unionByName(changed).select(*docs.columns)
+    gone = scratch.save(line_classes(docs, text=text, key=key, **options).where("not kept").groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("gone")), "gone")
+    rest, hit = marked(docs, gone, "gone", text, key)
+    cut = hit.select(F.col("__cut_id").alias("doc_id"), F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_gone").alias("gone")).dropDuplicates(["doc_id", "rk"])
+    out = replaced(docs, rest, hit, scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts"), text)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields, rows
-from .store import Scratch, width
-from .tables import table
+from .store import Scratch, join_groups, width
+from .tables import marked, replaced, table
 from .words import U, Words, mix, pieces, signed
 
 _ANCHORS = fields(kh="long", rk="long", pos="int")
@@ -37,7 +37,7 @@ _CONTEXTS = fields(kh="long", suffix="binary", left="binary", doc_id="long", rk=
 _MARKS = fields(rk="long", doc_id="long", lo="int", hi="int", drop="boolean", first_doc_id="long")
 _WINDOWS = fields(w1="long", w2="long", doc_id="long", rk="long", pos="int")
 _SPANS = fields(doc_id="long", rk="long", span_start="long", span_end="long", n_words="long", n_dropped="long", first_doc_id="long")
-_CUT = fields(rk="long", text="string")
+_CUT = fields(doc_id="long", rk="long", text="string")
 
 
 def _slide(x: np.ndarray, w: int, of) -> np.ndarray:
@@ -115,6 +115,11 @@ def _contexts(k: int, least: int):
                 lists = part.column(3)
                 pos = lists.flatten().to_numpy()
                 row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                # places of another text with the same hash aren't places of this one
+                at = words.row_ptr[row] + pos
+                q = np.minimum(np.searchsorted(start, at), max(len(start) - 1, 0))
+                use = (pos < words.count[row]) & (start[q] == at if len(start) else False)
+                pos, row = pos[use], row[use]
                 for i in range(0, len(pos), 20_000):
                     p, r = pos[i : i + 20_000].astype(np.int64), row[i : i + 20_000]
                     at = words.row_ptr[r] + p
@@ -236,12 +241,12 @@ def _windows(k: int, least: int):
     return run
 
 
-def _counted(contexts: DataFrame, k: int, least: int) -> DataFrame:
+def _counted(contexts: DataFrame, scratch: Scratch, k: int, least: int) -> DataFrame:
     """The marks of anchors that are too frequent for one task."""
-    w = contexts.mapInArrow(_windows(k, least), ddl(_WINDOWS)).distinct()
+    w = scratch.save(contexts.mapInArrow(_windows(k, least), ddl(_WINDOWS)).distinct(), "windows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
-    firsts = w.groupBy("w1", "w2").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last")
-    joined = w.join(firsts, ["w1", "w2"])
+    firsts = w.groupBy("w1", "w2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = join_groups(w, scratch.save(firsts, "firsts"), ["w1", "w2"], "n")
     drop = ~(key.eqNullSafe(F.col("first")))
     return joined.select("rk", "doc_id", F.col("pos").alias("lo"), (F.col("pos") + least).alias("hi"), drop.alias("drop"), F.col("first.doc_id").alias("first_doc_id"))
 
@@ -292,7 +297,7 @@ def _merge(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(found(), schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "text", key: str = "doc_id", hot: int = 200_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "text", key: str = "doc_id", hot: int = 20_000) -> DataFrame:
     """One row per span of repeated words: doc_id, rk, span_start, span_end (word
     numbers), n_words, n_dropped, first_doc_id, dropped (start and end pairs).
 
@@ -310,8 +315,9 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     anchors = scratch.save(own.select("rk", "text").mapInArrow(_anchors(k, least - k + 1), ddl(_ANCHORS)), "anchors")
     at = F.struct("rk", "pos")
     counts = anchors.groupBy("kh").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("kh", "n")
-    hits = scratch.save(anchors.join(counts, "kh").select("rk", "pos", (F.col("n") > hot).alias("hot")), "hits")
-    scratch.drop("anchors")
+    hits = join_groups(anchors, scratch.save(counts, "counts"), ["kh"], "n")
+    hits = scratch.save(hits.select("rk", "pos", (F.col("n") > hot).alias("hot")), "hits")
+    scratch.drop("anchors", "counts")
     lists = hits.groupBy("rk", "hot").agg(F.collect_set("pos").alias("positions"))
     joined = own.join(lists, "rk").select("rk", "text", "doc_id", "positions", "hot")
 
@@ -321,7 +327,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     some = contexts(joined.where(~F.col("hot"))).repartition(width(spark), "kh").sortWithinPartitions("kh", "suffix", "doc_id", "rk", "pos")
     marks = some.mapInArrow(_compare(k, least), ddl(_MARKS))
     if hits.where("hot").limit(1).count():
-        marks = marks.unionByName(_counted(contexts(joined.where("hot")), k, least))
+        marks = marks.unionByName(_counted(contexts(joined.where("hot")), scratch, k, least))
     grouped = marks.groupBy("rk", "doc_id").agg(F.collect_list(F.struct("lo", "hi", "drop", "first_doc_id")).alias("marks"))
     return grouped.mapInArrow(_merge, ddl(_SPANS) + ", dropped array<int>")
 
@@ -330,14 +336,14 @@ def _cut(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found():
         for batch in arriving:
             for part in pieces(batch, "text"):
-                words = Words(part.column(1))
-                for r, (rk, text, spans) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                words = Words(part.column("text"))
+                for r, (doc, rk, text, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "rk", "text", "dropped")), strict=True)):
                     raw, base, ptr, at, out = text.encode(), words.offsets[r], words.row_ptr, 0, []
                     for lo, hi in sorted(zip(spans[::2], spans[1::2], strict=True)):
                         out.append(raw[at : words.start[ptr[r] + lo] - base])
                         at = words.start[ptr[r] + hi] - base if hi < words.count[r] else len(raw)
                     out.append(raw[at:])
-                    yield rk, b"".join(out).decode()
+                    yield doc, rk, b"".join(out).decode()
 
     yield from batches(found(), _CUT)
 
@@ -347,16 +353,11 @@ def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: st
     is left goes.  Texts without dropped words are untouched, with all columns;
     n_chars, where there is one, follows the text."""
     scratch = Scratch(docs.sparkSession, "cut")
-    spans = scratch.save(repeated_spans(docs, least=least, text=text, key=key).where("n_dropped > 0").select("rk", "dropped"), "spans")
-    gone = spans.groupBy("rk").agg(F.flatten(F.collect_list("dropped")).alias("dropped"))
-    rk = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    marked = docs.withColumn("__cut_rk", rk).join(gone.select(F.col("rk").alias("__cut_rk"), F.col("dropped").alias("__cut_dropped")), "__cut_rk", "left")
-    hit = marked.where("__cut_dropped is not null")
-    cut = hit.select(F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_dropped").alias("dropped")).dropDuplicates(["rk"])
-    new = scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts")
-    rest = marked.where("__cut_dropped is null").drop("__cut_dropped")
-    changed = hit.drop(text, "__cut_dropped").join(new.select(F.col("rk").alias("__cut_rk"), F.col("text").alias(text)), "__cut_rk").where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    out = rest.unionByName(changed).select(*docs.columns)
+    spans = scratch.save(repeated_spans(docs, least=least, text=text, key=key).where("n_dropped > 0").select("doc_id", "rk", "dropped"), "spans")
+    gone = spans.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("dropped")).alias("dropped"))
+    rest, hit = marked(docs, gone, "dropped", text, key)
+    cut = hit.select(F.col("__cut_id").alias("doc_id"), F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_dropped").alias("dropped")).dropDuplicates(["doc_id", "rk"])
+    out = replaced(docs, rest, hit, scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts"), text)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -1,9 +1,30 @@
-"""Reading the text tables by Spark, from any store that Spark can read."""
+"""Reading the text tables by Spark, and putting rewritten texts back into a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def marked(docs: DataFrame, found: DataFrame, what: str, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs without and with a row of found (doc_id, rk, what), as columns
+    __cut_id, __cut_rk and __cut_<what> beside their own.
+
+    A row is named by its id and by a hash of id and text, so a hash that two
+    documents share by chance mixes nothing up.
+    """
+    own = docs.withColumn("__cut_id", F.col(key).cast("long")).withColumn("__cut_rk", F.xxhash64(F.col(key).cast("long"), F.col(text)))
+    other = found.select(F.col("doc_id").alias("__of_id"), F.col("rk").alias("__of_rk"), F.col(what).alias(f"__cut_{what}"))
+    both = own.join(other, F.col("__cut_id").eqNullSafe(F.col("__of_id")) & (F.col("__cut_rk") == F.col("__of_rk")), "left").drop("__of_id", "__of_rk")
+    return both.where(f"__cut_{what} is null"), both.where(f"__cut_{what} is not null")
+
+
+def replaced(docs: DataFrame, rest: DataFrame, hit: DataFrame, new: DataFrame, text: str) -> DataFrame:
+    """docs of rest and of hit with the texts of new (doc_id, rk, text), without those left blank."""
+    other = new.select(F.col("doc_id").alias("__of_id"), F.col("rk").alias("__of_rk"), F.col("text").alias("__of_text"))
+    both = hit.join(other, F.col("__cut_id").eqNullSafe(F.col("__of_id")) & (F.col("__cut_rk") == F.col("__of_rk"))).withColumn(text, F.col("__of_text"))
+    return rest.select(*docs.columns).unionByName(both.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 2 << 20
 U = np.uint64
@@ -48,18 +49,38 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of codes[i:j] times base powers from i on."""
+    """H with H[j] - H[i] = sum of codes[i:j] times base powers from i on, modulo 2^64.
+
+    Equal spans have equal hashes, but long spans can be built that differ and
+    have equal ones too: this finds candidates and never decides equality.
+    """
     out = np.zeros(len(codes) + 1, U)
     np.cumsum((codes.astype(U) + U(1)) * powers(len(codes)), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Content hashes of [start, end); equal content gives equal hashes anywhere."""
+    """Hashes of [start, end); equal content gives equal hashes anywhere (see prefix_hash)."""
     raw = (prefix[end] - prefix[start]) * powers(len(prefix), True)[start]
     return mix(raw ^ ((end - start).astype(U) * _STEP))
 
 
+def distinct_hash(column: pa.Array) -> np.ndarray:
+    """64-bit content hashes (XXH3) of binary values, made once for each distinct value."""
+    held = column.dictionary_encode()
+    data, offsets = buffers(held.dictionary)
+    raw, at, of = data.tobytes(), offsets.tolist(), xxhash.xxh3_64_intdigest
+    known = np.fromiter((of(raw[i:j]) for i, j in zip(at, at[1:], strict=False)), U, len(at) - 1)
+    return known[held.indices.to_numpy()] if len(held) else known
+
+
+def span_digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of the 128-bit content hashes (XXH3) of raw[start:end]."""
+    of, view = xxhash.xxh3_128_digest, memoryview(raw)
+    both = np.frombuffer(b"".join([of(view[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets from 0); a null is an empty text."""
     if column.null_count:
@@ -87,7 +108,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[pa.
 
 
 class Words:
-    """Words of a column: byte starts and ends, row pointer and 64-bit hashes."""
+    """Words of a column: byte starts and ends, row pointer and 64-bit content hashes."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
         data, self.offsets = buffers(column)
@@ -103,7 +124,7 @@ class Words:
         before[edge[edge < n]] = True
         last = self.offsets[1:] - 1
         after[last[(last >= 0) & (self.offsets[1:] > self.offsets[:-1])]] = True
-        word = ~space
+        self._word = word = ~space
         self.start = np.flatnonzero(word & before)
         self.end = np.flatnonzero(word & after) + 1
         self.row_ptr = np.searchsorted(self.start, self.offsets)
@@ -114,7 +135,9 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(prefix_hash(self.data), self.start, self.end)
+            upto = np.append(0, np.cumsum(self.end - self.start))
+            ink = np.ascontiguousarray(self.data[self._word])
+            self._hash = distinct_hash(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(upto), pa.py_buffer(ink)]))
         return self._hash
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +145,8 @@ class Words:
         h = self.hash
         if len(h) < k:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        # a rolling polynomial over the word hashes, so the cost doesn't grow with k
+        # a rolling polynomial over the word hashes, so the cost doesn't grow with k; for the short runs
+        # that are used here no pattern of two words cancels more than a few bits of it
         p = np.zeros(len(h) + 1, U)
         np.cumsum(h * powers(len(h)), out=p[1:])
         at = np.flatnonzero(self.row[: len(h) - k + 1] == self.row[k - 1 :])
