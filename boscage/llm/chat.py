@@ -86,7 +86,10 @@ def prefix_examples(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, then text, so ties and repeated rows
     have one order and are all kept.  Null roles and texts are empty; turns
     without a number come first; turns without a conv_id form one conversation.
-    Other columns are not read.
+    Other columns are not read.  A conversation is built in one task, from its
+    turns in order: memory is that of its longest example, and its examples
+    together are as long as the square of its turns, which is what the method
+    asks for.  Very long texts are kept whole.
     """
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text"))
     dealt = own.repartition(width(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -126,6 +129,21 @@ def digests(examples: DataFrame) -> DataFrame:
     return examples.mapInArrow(_read_back, ddl(_DIGEST))
 
 
+ORACLE = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok', CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(i)),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+    + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')) + 14 AS own,
+  row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)),
+u AS (SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM u GROUP BY 1
+"""
+
+
 def op3_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(

@@ -401,5 +401,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS s FROM w),
+h AS (SELECT doc_id, hash(s) AS a, hash(s || '#') AS b FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+p AS (SELECT x.doc_id AS d, y.doc_id AS e, count(*) AS c FROM h x JOIN h y ON x.a = y.a AND x.b = y.b AND x.doc_id < y.doc_id GROUP BY 1, 2),
+k AS (SELECT d, e FROM p JOIN n nd ON nd.doc_id = d JOIN n ne ON ne.doc_id = e WHERE 100 * c >= 80 * (nd.n + ne.n - c)),
+r(d, e) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.d, CASE WHEN k.d = r.e THEN k.e ELSE k.d END FROM r JOIN k ON k.d = r.e OR k.e = r.e)
+SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.e) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.d = doc_id GROUP BY doc_id
+"""
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_groups(table(spark, sf_dir, "documents"))

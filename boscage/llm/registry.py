@@ -16,4 +16,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_token_file": tokenfile.op9_token_file,
 }
-ORACLES = {"op4_exact_dedup": exact.ORACLE}
+ORACLES = {"op3_chat_format": chat.ORACLE, "op4_exact_dedup": exact.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
