@@ -58,8 +58,10 @@ def normalise(params: Mapping[str, Any]) -> dict[str, Any]:
         raise ValueError("lossguide needs max_leaves or max_depth")
     if out["grow_policy"] == "symmetric" and (out["monotone_constraints"] or out["interaction_constraints"]):
         raise ValueError("symmetric growth takes no monotone or interaction constraints")
-    if not math.isnan(out["missing"]) and math.isinf(out["missing"]):
-        raise ValueError("missing must be NaN or finite")
+    if not math.isnan(out["missing"]) and abs(out["missing"]) >= 3.4028234663852886e38:
+        raise ValueError("missing must be NaN or under the largest float")
+    if out["lambdarank_unbiased"] or out["lambdarank_bias_norm"] != 1.0:
+        raise ValueError("lambdarank_unbiased and lambdarank_bias_norm are not supported")
     out["quantile_alpha"] = quantile_alpha(out["quantile_alpha"], out["objective"])
     if out["objective"].startswith("multi:") and (not out["num_class"] or out["num_class"] < 2):
         raise ValueError("num_class of at least 2 is needed")

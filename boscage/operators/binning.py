@@ -50,27 +50,44 @@ def midpoint(a: Column, b: Column) -> Column:
     return F.when(m > a, m).otherwise(b)
 
 
-def cuts(weights: DataFrame, max_bin: int = 255) -> DataFrame:
+#: Distinct values of a feature beyond which its windows are cut into ranges, and values of a range.
+WHOLE, RANGE = 1_000_000, 500_000
+
+
+def cuts(weights: DataFrame, max_bin: int = 255, whole: int = WHOLE, range_: int = RANGE) -> DataFrame:
     """(feat, idx, cut) from value_weights().
 
     Up to max_bin - 1 distinct values: midpoints of neighbours.  More: for each
-    k the first value whose mid-rank reaches k / max_bin of the weight.
+    k the first value whose mid-rank reaches k / max_bin of the weight.  A
+    feature of more than ``whole`` distinct values is cut into ranges at
+    approximate quantiles; sums run inside a range and start from the totals of
+    the ranges before it, so no task holds all values of a feature.
     """
-    by = Window.partitionBy("feat").orderBy("value")
-    whole = Window.partitionBy("feat")
-    ranked = weights.select(
-        "feat", "value", "w",
-        F.lead("value").over(by).alias("next"),
-        F.count(F.lit(1)).over(whole).alias("n"),
-        F.sum("w").over(whole).alias("total"),
-        (F.sum("w").over(by) - F.col("w") / 2).alias("mid"),
+    totals = weights.groupBy("feat").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
+    top = totals.agg(F.max("n")).first()[0] or 0
+    if top <= whole:
+        ranged = weights.withColumn("part", F.lit(0))
+    else:
+        parts = min(4096, -(-top // range_))
+        levels = [i / parts for i in range(1, parts)]
+        at = weights.groupBy("feat").agg(F.percentile_approx(F.col("value"), levels, max(10_000, 16 * parts)).alias("at"))
+        # a row per feature, of at most 4,096 numbers
+        ranged = weights.join(F.broadcast(at), "feat").withColumn("part", F.size(F.filter("at", lambda c: c < F.col("value")))).drop("at")
+    by = Window.partitionBy("feat", "part").orderBy("value")
+    sums = ranged.groupBy("feat", "part").agg(F.sum("w").alias("w"), F.min("value").alias("first"))
+    order = Window.partitionBy("feat").orderBy("part")  # at most 4,096 rows of a feature
+    starts = sums.select("feat", "part", (F.sum("w").over(order) - F.col("w")).alias("before"), F.lead("first").over(order).alias("after"), F.lag("w").over(order).alias("_"))
+    starts = starts.drop("_").join(totals, "feat")
+    ranked = ranged.join(starts if top > whole else F.broadcast(starts), ["feat", "part"]).select(
+        "feat", "part", "value", "w", "n", "total",
+        F.coalesce(F.lead("value").over(by), "after").alias("next"),
+        (F.sum("w").over(by) + F.col("before") - F.col("w") / 2).alias("mid"),
     )
     low = ranked.where((F.col("n") <= max_bin - 1) & F.col("next").isNotNull()).select("feat", midpoint(F.col("value"), F.col("next")).alias("cut"))
-    # the bin edges that a value's mid-rank passes beyond the value before it: no join with a table of targets
-    step = F.floor(F.col("mid") * max_bin / F.col("total"))
-    stepped = ranked.where(F.col("n") > max_bin - 1).withColumn("k", F.least(step, F.lit(max_bin - 1)))
-    before = F.coalesce(F.lag("k").over(by), F.lit(0))
-    high = stepped.select("feat", "value", "k", before.alias("k0")).where("k > k0 and k > 0").select("feat", F.col("value").alias("cut"))
+    # the bin edges that a value's mid-rank passes: the first value of each is a cut
+    step = F.least(F.floor(F.col("mid") * max_bin / F.col("total")), F.lit(max_bin - 1))
+    # a step is first passed by its least value; steps that none stops at belong to the next value's
+    high = ranked.where(F.col("n") > max_bin - 1).withColumn("k", step).where("k > 0").groupBy("feat", "k").agg(F.min("value").alias("cut")).select("feat", "cut")
     every = low.unionByName(high).distinct()
     return every.select("feat", (F.row_number().over(Window.partitionBy("feat").orderBy("cut")) - 1).alias("idx"), "cut")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import Model, Tree
-from .scoring import Walker, features_of, matrix
+from .scoring import Walker, _some_rounds, features_of, matrix
 
 
 def _paths(tree: Tree) -> list[tuple[int, dict[int, list[tuple[int, bool]]], dict[int, float]]]:
@@ -125,9 +125,16 @@ class Explainer:
         return out
 
 
-def explain(df: DataFrame, model: Model, kind: str = "shap", missing: float = float("nan")) -> DataFrame:
+def explain(df: DataFrame, model: Model, kind: str = "shap", missing: float = float("nan"), rounds: tuple[int, int] | None = None, n_trees: int | None = None, base_margin: list[str] | None = None) -> DataFrame:
     """df with an array column contributions: outputs x (features + 1) values, or
-    their square for interactions, in row-major order."""
+    their square for interactions, in row-major order.
+
+    rounds or n_trees explain a part of the model.  base_margin names a column
+    per output that takes the place of the intercept in the bias term.
+    """
+    model = _some_rounds(model, rounds, n_trees)
+    if base_margin and len(base_margin) != model.outputs:
+        raise ValueError(f"base_margin needs {model.outputs} columns")
     if kind not in ("shap", "saabas", "interactions"):
         raise ValueError(f"unknown explanation {kind!r}")
     used = model.used_features()
@@ -139,7 +146,10 @@ def explain(df: DataFrame, model: Model, kind: str = "shap", missing: float = fl
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                y = getattr(explainer, kind)(matrix(b, names, len(model.features), used)).reshape(b.num_rows, -1)
+                y = getattr(explainer, kind)(matrix(b, names, len(model.features), used)).reshape(b.num_rows, model.outputs, -1)
+                for k, c in enumerate(base_margin or ()):
+                    y[:, k, -1] += b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) - model.base_margins[k]
+                y = y.reshape(b.num_rows, -1)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel().astype(np.float32)), y.shape[1]).cast(pa.list_(pa.float32()))
                 keep = [i for i, f in enumerate(b.schema) if f.name not in names]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], lists], names=[*[b.schema.field(i).name for i in keep], "contributions"])

@@ -16,6 +16,43 @@ def ranked(df: DataFrame, qid: str, score: str, label: str, row: str) -> DataFra
     return df.withColumns({"pos": F.row_number().over(by_score) - 1, "ideal": F.row_number().over(by_label) - 1})
 
 
+def with_sizes(df: DataFrame, sizes: list[int], row: str, qid: str = "qid") -> DataFrame:
+    """df with a group number: the first sizes[0] rows by the row column are group 0, and so on.
+
+    Rows are numbered by running counts, without a global sort in one task.
+    """
+    from .binning import search_bin
+    from .ordered import running
+
+    if not sizes or any(not isinstance(x, int) or x < 1 for x in sizes):
+        raise ValueError("group sizes must be whole numbers from 1 on")
+    counted = running(df, row, {"_upto": F.lit(1)})
+    n, distinct = df.agg(F.count(F.lit(1)), F.countDistinct(row)).first()
+    if n != sum(sizes):
+        raise ValueError(f"group sizes sum to {sum(sizes)}, not to {n} rows")
+    if distinct != n:
+        raise ValueError(f"{row} must differ in all rows")
+    if n >= 1 << 24:  # the borders are compared as floats
+        raise ValueError("use a query column for tables of this size")
+    edges = [float(x) for x in np.cumsum(sizes)[:-1]]
+    return counted.withColumn(qid, search_bin((F.col("_upto") - 1).cast("float"), edges).cast("long")).drop("_upto")
+
+
+def check_qid(df: DataFrame, qid: str) -> None:
+    """Query numbers are whole and present."""
+    q = F.col(qid).cast("double")
+    if df.where(q.isNull() | F.isnan(q) | (q != F.floor(q))).limit(1).count():
+        raise ValueError(f"{qid}: query numbers must be whole and present")
+
+
+def rank_score(df: DataFrame, qid: str, score: str, label: str, row: str, metric: str = "ndcg", weight: str | None = None) -> float | None:
+    """One ranking metric of scores that a table holds."""
+    from ..functions import metrics
+
+    own = df.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    return metrics.evaluate(own, [metric], "rank:ndcg", [score], label, "_w", {}, qid, row)[metric]
+
+
 def check_order(df: DataFrame, qid: str, row: str) -> None:
     """Each group's rows must be one run of row numbers: compared by sums, without a global sort."""
     runs = df.groupBy(qid).agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count(F.lit(1)).alias("n")).where("b - a + 1 <> n")
@@ -102,7 +139,7 @@ def group_aucpr(df: DataFrame, qid: str, score: str, label: str) -> DataFrame:
     return per.where((F.col("p") > 0) & (F.col("n") > 0)).select(qid, (F.col("area") / F.col("p")).alias("aucpr"))
 
 
-def lambda_arrays(score: np.ndarray, label: np.ndarray, kind: str, q: dict, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def lambda_arrays(score: np.ndarray, label: np.ndarray, kind: str, q: dict, seed: int | list[int] = 0) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of one group from its pairs (the top ones against all, or sampled partners)."""
     n = len(score)
     g, h = np.zeros(n), np.zeros(n)
@@ -161,7 +198,8 @@ def lambda_gradients(df: DataFrame, qid: str, row: str, margin: str, label: str,
 
     def run(pdf):
         pdf = pdf.sort_values(row, kind="stable")
-        g, h = lambda_arrays(pdf[margin].to_numpy(), pdf[label].to_numpy(), kind, q, seed)
+        own = [abs(int(seed)), abs(int(pdf[qid].iloc[0]))]  # sampled pairs differ by round and by group
+        g, h = lambda_arrays(pdf[margin].to_numpy(), pdf[label].to_numpy(), kind, q, own)
         return pdf.assign(g0=g.astype(np.float32), h0=h.astype(np.float32))
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", g0 float, h0 float"

@@ -167,9 +167,9 @@ def with_leaves(df: DataFrame, model: Model, missing: float = float("nan")) -> D
     return _walked(df, model, None, missing, "leaves")
 
 
-def prediction(model: Model, margins_: Column, output_margin: bool = False) -> Column:
-    """A float, or an array for several outputs."""
-    link = objectives.link_of(model.objective)
+def prediction(model: Model, margins_: Column, output_margin: bool = False, named: str | None = None) -> Column:
+    """A float, or an array for several outputs; ``named`` replaces the objective's own link."""
+    link = named or objectives.link_of(model.objective)
     if output_margin:
         return F.get(margins_, F.lit(0)) if model.outputs == 1 else margins_
     if link == "softmax":
@@ -177,13 +177,45 @@ def prediction(model: Model, margins_: Column, output_margin: bool = False) -> C
     if link == "argmax":
         return objectives.argmax(margins_)
     if model.outputs > 1:
+        if named:
+            return F.transform(margins_, lambda m: objectives.apply_link(m, link))
         return F.array_sort(margins_)  # quantiles don't cross
     return objectives.apply_link(F.get(margins_, F.lit(0)), link)
 
 
-def predict(df: DataFrame, model: Model, output_margin: bool = False, base_margin: list[str] | None = None, missing: float = float("nan"), rounds: tuple[int, int] | None = None, n_trees: int | None = None, column: str = "prediction") -> DataFrame:
-    """df with a prediction column; no shuffle, and only columns that a split uses are read."""
+#: Links that a prediction may be asked for by name.
+LINKS = ("identity", "sigmoid", "exp", "softmax")
+
+
+def _some_rounds(model: Model, rounds: tuple[int, int] | None, n_trees: int | None) -> Model:
     if rounds is not None and n_trees is not None:
         raise ValueError("give rounds or n_trees, not both")
-    m = model.rounds(*rounds) if rounds is not None else model.first_trees(n_trees) if n_trees is not None else model
-    return with_margins(df, m, base_margin, missing).withColumn(column, prediction(m, F.col("margins"), output_margin)).drop("margins")
+    return model.rounds(*rounds) if rounds is not None else model.first_trees(n_trees) if n_trees is not None else model
+
+
+def predict(
+    df: DataFrame, model: Model, output_margin: bool = False, base_margin: list[str] | None = None, missing: float = float("nan"), rounds: tuple[int, int] | None = None, n_trees: int | None = None,
+    column: str = "prediction", strict_shape: bool = False, link: str | None = None,
+) -> DataFrame:
+    """df with a prediction column; no shuffle, and only columns that a split uses are read.
+
+    strict_shape gives an array for one output too; link is one of LINKS and
+    replaces the objective's own.
+    """
+    if link is not None and (link not in LINKS or output_margin):
+        raise ValueError(f"link must be one of {', '.join(LINKS)}, without output_margin")
+    m = _some_rounds(model, rounds, n_trees)
+    p = prediction(m, F.col("margins"), output_margin, link)
+    if strict_shape and (m.outputs == 1 or objectives.link_of(m.objective) == "argmax" and not output_margin and link is None) and link != "softmax":
+        p = F.array(p)
+    return with_margins(df, m, base_margin, missing).withColumn(column, p).drop("margins")
+
+
+def predict_array(x: np.ndarray, model: Model, base_margin: np.ndarray | None = None, missing: float = float("nan"), rounds: tuple[int, int] | None = None, n_trees: int | None = None) -> np.ndarray:
+    """Margins, rows x outputs, of a dense array whose columns are the model's features, on the driver."""
+    if x.ndim != 2 or x.shape[1] != len(model.features):
+        raise ValueError(f"an array of {len(model.features)} columns is needed")
+    own = x.astype(np.float32)
+    if not np.isnan(missing):
+        own = np.where(own == np.float32(missing), np.float32("nan"), own)
+    return Walker(_some_rounds(model, rounds, n_trees)).margins(own, None if base_margin is None else np.asarray(base_margin).reshape(len(x), -1))

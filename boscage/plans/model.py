@@ -6,6 +6,7 @@ import json
 import math
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -148,6 +149,7 @@ class Model:
             "version": [3, 0, 0],
             "learner": {
                 "attributes": attributes,
+                "cats": _cats_dict(self.features, self.categories),
                 "feature_names": names,
                 "feature_types": types,
                 "gradient_booster": {
@@ -160,16 +162,28 @@ class Model:
                     },
                 },
                 "learner_model_param": {"base_score": repr(self.base_score), "num_class": str(k if self.objective.startswith("multi:") else 0), "num_feature": str(len(names)), "num_target": str(1 if self.objective.startswith("multi:") else k)},
-                "objective": {"name": self.objective},
+                "objective": {"name": self.objective} | _objective_dict(self.objective, self.params),
             },
         }
 
     def save_model(self, path: str) -> None:
-        """Whole file or none: written beside and moved."""
+        """Whole file or none: written beside and moved.  A path with a scheme goes to that store."""
+        text = json.dumps(self.to_dict())
+        if "://" in path:
+            fs, at, beside = _store(path)
+            out = fs.create(beside, True)
+            try:
+                out.write(bytearray(text.encode()))
+            finally:
+                out.close()
+            fs.delete(at, False)
+            if not fs.rename(beside, at):
+                raise OSError(f"{path} could not be written")
+            return
         handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
         try:
             with os.fdopen(handle, "w") as file:
-                json.dump(self.to_dict(), file)
+                file.write(text)
                 file.flush()
                 os.fsync(file.fileno())
             os.replace(temporary, path)
@@ -179,6 +193,11 @@ class Model:
 
     @classmethod
     def load_model(cls, path: str) -> Model:
+        if "://" in path:
+            from pyspark.sql import SparkSession
+
+            # a model is one small file; wholetext makes it one row
+            return cls.from_dict(json.loads(SparkSession.getActiveSession().read.text(path, wholetext=True).first()[0]))
         with open(path) as file:
             return cls.from_dict(json.load(file))
 
@@ -196,12 +215,97 @@ class Model:
         attributes = own.get("attributes", {})
         k = max([1, *(i + 1 for i in inner["tree_info"])], default=1)
         margins = json.loads(attributes["base_margins"]) if "base_margins" in attributes else [objectives.to_margin(objective, base)] * k if len(score) == 1 else [float(x) for x in score]
-        out = cls(objective, names, trees, base, margins, json.loads(attributes.get("parameters", "{}")), json.loads(attributes.get("categories", "{}")), [t == "c" for t in own.get("feature_types") or ["float"] * n])
+        params = _objective_params(own["objective"]) | json.loads(attributes.get("parameters", "{}"))
+        categories = json.loads(attributes["categories"]) if "categories" in attributes else _cats_of(names, own.get("cats") or {})
+        out = cls(objective, names, trees, base, margins, params, categories, [t == "c" for t in own.get("feature_types") or ["float"] * n])
         if "best_iteration" in attributes:
             out.best_iteration, out.best_score = int(attributes["best_iteration"]), float(attributes.get("best_score", "nan"))
         return out
 
 
+#: The block that a model file keeps an objective's parameters in.
+OBJECTIVE_BLOCKS = {
+    "reg_loss_param": (("reg:squarederror", "binary:logistic", "reg:logistic", "binary:logitraw", "reg:squaredlogerror", "reg:gamma"), ("scale_pos_weight",)),
+    "poisson_regression_param": (("count:poisson",), ("max_delta_step",)),
+    "tweedie_regression_param": (("reg:tweedie",), ("tweedie_variance_power",)),
+    "pseudo_huber_param": (("reg:pseudohubererror",), ("huber_slope",)),
+    "quantile_loss_param": (("reg:quantileerror",), ("quantile_alpha",)),
+    "expectile_loss_param": (("reg:expectileerror",), ("expectile_alpha",)),
+    "softmax_multiclass_param": (("multi:softprob", "multi:softmax"), ("num_class",)),
+    "aft_loss_param": (("survival:aft",), ("aft_loss_distribution", "aft_loss_distribution_scale")),
+    "lambdarank_param": (("rank:ndcg", "rank:map", "rank:pairwise"), ("lambdarank_pair_method", "lambdarank_num_pair_per_sample", "lambdarank_normalization", "lambdarank_score_normalization", "ndcg_exp_gain")),
+}
+
+
+def _objective_dict(objective: str, params: dict[str, Any]) -> dict:
+    for block, (names, keys) in OBJECTIVE_BLOCKS.items():
+        if objective in names:
+            return {block: {k: _as_text(params[k]) for k in keys if params.get(k) is not None}}
+    return {}
+
+
+def _as_text(value: Any) -> str:
+    if isinstance(value, bool):
+        return str(int(value))
+    if isinstance(value, list | tuple):
+        return "[" + ",".join(str(x) for x in value) + "]"
+    return str(value)
+
+
+def _objective_params(block: dict) -> dict[str, Any]:
+    """Parameters from the objective's block: numbers, lists of numbers or names."""
+    out = {}
+    for name, (objectives_, keys) in OBJECTIVE_BLOCKS.items():
+        for k in keys if block.get("name") in objectives_ else ():
+            text = block.get(name, {}).get(k)
+            if text is None:
+                continue
+            if text.startswith("["):
+                out[k] = [float(x) for x in text.strip("[]").split(",") if x]
+                out[k] = out[k][0] if k == "expectile_alpha" and len(out[k]) == 1 else out[k]
+            else:
+                try:
+                    out[k] = int(text) if text.lstrip("-").isdigit() else float(text)
+                except ValueError:
+                    out[k] = text
+    return out
+
+
+def _cats_dict(features: list[str], categories: dict[str, list]) -> dict:
+    """Category names of each feature: their bytes, signed, end
+    to end with offsets, features' ends, and their order by those bytes."""
+    enc, ends, order = [], [0], []
+    for f in features if categories else []:
+        names = [str(c).encode() for c in categories.get(f, [])]
+        offsets = np.append(0, np.cumsum([len(c) for c in names])).astype(int).tolist() if names else []
+        signed = [[b if b < 128 else b - 256 for b in c] for c in names]
+        enc.append({"offsets": offsets, "values": [b for c in signed for b in c]})
+        order += sorted(range(len(names)), key=lambda i, signed=signed: signed[i])
+        ends.append(ends[-1] + len(names))
+    return {"enc": enc, "feature_segments": ends if enc else [], "sorted_idx": order}
+
+
+def _cats_of(features: list[str], cats: dict) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for f, own in zip(features, cats.get("enc", []), strict=bool(cats.get("enc"))):
+        raw, at = bytes(b & 255 for b in own.get("values", [])), own.get("offsets")
+        if at:
+            out[f] = [raw[i:j].decode() for i, j in zip(at, at[1:], strict=False)]
+        elif own.get("values"):
+            out[f] = list(own["values"])
+    return out
+
+
+def _store(path: str) -> tuple:
+    """The file system of a path, the path, and one beside it."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = make(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, make(f"{path}.{uuid.uuid4().hex}.part")
+
+
 def _tree_dict(t: Tree, i: int, n_features: int) -> dict:
     cats = [(j, n.cats) for j, n in enumerate(t.nodes) if not n.leaf and n.cats is not None]
     flat = [c for _, x in cats for c in x]

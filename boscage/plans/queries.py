@@ -565,3 +565,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _train_table(spark, sf_dir)
     model = train({"max_depth": 3}, data, label="y", num_boost_round=3)
     return scoring.predict(data, model)
+
+
+from . import api_queries  # noqa: E402, F401  (registers its queries)

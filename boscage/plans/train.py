@@ -339,12 +339,15 @@ def train(
     evals_result: dict | None = None, verbose_eval: bool = False, callbacks: Sequence[Callable] = (), header: bool = True, weight: str | None = None, feature_types: dict[str, str] | Sequence[str] | None = None,
     base_margin: str | list[str] | None = None, init_model: Model | str | None = None, qid: str | None = None, label_lower_bound: str | None = None, label_upper_bound: str | None = None,
     features: Sequence[str] | None = None, row_id: str | None = None, custom_objective: CustomObjective | None = None, custom_metrics: Sequence[CustomMetric] = (), spark: SparkSession | None = None,
-    exact_cuts: bool = True, given_cuts: list[list[float]] | None = None,
+    exact_cuts: bool = True, given_cuts: list[list[float]] | None = None, group: list[int] | None = None, eval_qid: Sequence[str] | None = None, eval_group: Sequence[list[int]] | None = None,
 ) -> Model:
     """A boosted model of a DataFrame, of files, or of what createDataFrame takes.
 
     features: the columns to use; without it all that have no role.  Cuts are
-    exact by default; exact_cuts=False takes mergeable sketches instead.
+    exact by default; exact_cuts=False takes mergeable sketches instead.  Columns
+    may be given by number.  Queries are a column (qid) or group sizes in the
+    order of row_id; eval_qid and eval_group say the same of the evaluation
+    tables, in their order.
     """
     q = parameters.normalise(params)
     objective = q["objective"]
@@ -353,6 +356,23 @@ def train(
     roles = inputs.Roles(label or label_lower_bound, weight, qid, label_upper_bound, [base_margin] if isinstance(base_margin, str) else list(base_margin or []), row_id)
     declared = feature_types if isinstance(feature_types, dict) else {}
     df = inputs.read(spark, data, header, [c for c, t in declared.items() if t == "c"])
+    named = {c: df.columns[c] for c in (label, weight, qid, label_lower_bound, label_upper_bound, row_id) if isinstance(c, int) and not isinstance(c, bool)}
+    if named:
+        label, weight, qid, label_lower_bound, label_upper_bound, row_id = (named.get(c, c) for c in (label, weight, qid, label_lower_bound, label_upper_bound, row_id))
+        roles = inputs.Roles(label or label_lower_bound, weight, qid, label_upper_bound, roles.base_margin, row_id)
+    whole = data
+    if group is not None or eval_group is not None:
+        if qid or not row_id or (group is None) != (eval_group is None and bool(evals)) and evals:
+            raise ValueError("group sizes need row_id, no qid, and eval_group for evaluation tables")
+        qid = roles.qid = "_query"
+        df = ranking.with_sizes(df, list(group or ()), row_id, qid)
+        evals = [(ranking.with_sizes(inputs.read(spark, e, header, [c for c, t in declared.items() if t == "c"]), list(s), row_id, qid), name) for (e, name), s in zip(evals, eval_group or (), strict=True)]
+    if eval_qid is not None:
+        if len(eval_qid) != len(evals):
+            raise ValueError("eval_qid needs a column for each evaluation table")
+        evals = [(e if c == qid else inputs.read(spark, e, header, [x for x, t in declared.items() if t == "c"]).withColumnRenamed(c, qid), name) for (e, name), c in zip(evals, eval_qid, strict=True)]
+    if qid:
+        ranking.check_qid(df, qid)
     if features is not None:
         df = df.select(*dict.fromkeys([*features, *[c for c in df.columns if c in roles.excluded()]]))
     if not isinstance(declared, dict) or (feature_types is not None and not declared and not isinstance(feature_types, dict)):
@@ -370,8 +390,21 @@ def train(
     if weight:
         inputs.check_weight(df, weight)
     prior = Model.load_model(init_model) if isinstance(init_model, str) else init_model
-    if prior is not None and (prior.objective != objective or prior.features != names):
-        raise ValueError("init_model has another objective or other features")
+    if prior is not None:
+        if len(prior.features) == len(names) and prior.features == [f"f{i}" for i in range(len(names))]:
+            prior.features = list(names)  # a model without names takes those of the table
+        if prior.objective != objective or prior.features != names:
+            raise ValueError("init_model has another objective or other features")
+        if objective.startswith("multi:") and prior.outputs != q["num_class"]:
+            raise ValueError(f"init_model has {prior.outputs} classes")
+        if any(a != (f in cats) for a, f in zip(prior.categorical, names, strict=False)):
+            raise ValueError("init_model has other feature types")
+    if custom_objective is None and objective in ("rank:ndcg", "rank:map"):
+        ranking.check_labels(df, roles.label, objective[5:], q["ndcg_exp_gain"])
+    for c in roles.base_margin:
+        m = F.col(c).cast("double")
+        if df.where(m.isNull() | F.isnan(m) | (F.abs(m) == float("inf"))).limit(1).count():
+            raise ValueError(f"{c}: start margins must be finite")
     if not objective.startswith("survival:"):
         bad = df.where(~F.coalesce(objectives.label_rule(objective, F.col(roles.label), q["num_class"]), F.lit(False))).limit(1)
         if custom_objective is None and bad.count():
@@ -388,6 +421,7 @@ def train(
                 binning.check_known(df, {f: categories[f]})
             sizes.append(len(categories[f]))
         elif f in cats:
+            inputs.check_codes(df, f, q["missing"])
             top = df.agg(F.max(F.col(f).cast("int"))).first()[0]
             sizes.append(int(top or 0) + 1)
         else:
@@ -416,7 +450,7 @@ def train(
         binning.check_known(own, categories)
         own = own.withColumns({f: binning.as_feature(f, q["missing"]) for f in names if f not in cats})
         # the same data shares the margins of the training table
-        sets.append((table if e is data else prepare(own, model, roles, edges, q["missing"], prior), name))
+        sets.append((table if e is whole and group is None else prepare(own, model, roles, edges, q["missing"], prior), name))
     wanted = q["eval_metric"] or [objectives.default_metric(objective)]
     wanted = [wanted] if isinstance(wanted, str) else list(wanted)
     if custom_objective is None:
@@ -500,7 +534,7 @@ def _intercept(df: DataFrame, model: Model, roles: inputs.Roles, q: dict, prior:
         model.base_margins = [float(q["base_score"])] * len(levels) if q["base_score"] is not None else label_quantiles(own, "y", "w", levels, bool(roles.weight))
         model.base_score = model.base_margins[0]
     else:
-        default = 0.5 if objective.startswith("rank:") else None
+        default = 0.0 if objective.startswith("rank:") else None  # the gradients of a pair cancel
         score = q["base_score"] if q["base_score"] is not None else default if default is not None else objectives.base_score(own, objective, "y", "w", q)
         model.base_score = float(np.float32(score))
         model.base_margins = [float(np.float32(objectives.to_margin(objective, model.base_score)))]

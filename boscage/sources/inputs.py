@@ -67,7 +67,7 @@ def read(spark: SparkSession, spec: Any, header: bool = True, text_columns: Sequ
     if isinstance(spec, DataFrame):
         return spec
     if not isinstance(spec, str | os.PathLike | list | tuple):
-        return spark.createDataFrame(spec)
+        return spark.createDataFrame(_plain(spec))
     paths, kind = resolve(spark, spec)
     if kind == "parquet":
         first = spark.read.parquet(paths[0]).schema
@@ -79,6 +79,24 @@ def read(spark: SparkSession, spec: Any, header: bool = True, text_columns: Sequ
     return typed_csv(raw, text_columns)
 
 
+def _plain(data: Any) -> Any:
+    """pandas categories and Arrow dictionaries as their values; other data as they are."""
+    import pandas as pd
+    import pyarrow as pa
+
+    if isinstance(data, pa.RecordBatchReader):
+        data = data.read_all()
+    if isinstance(data, pa.RecordBatch):
+        data = pa.Table.from_batches([data])
+    if isinstance(data, pa.Table):
+        for i, f in enumerate(data.schema):
+            if pa.types.is_dictionary(f.type):
+                data = data.set_column(i, f.name, data.column(i).cast(f.type.value_type))
+    elif isinstance(data, pd.DataFrame):
+        data = data.assign(**{c: data[c].astype(object).where(data[c].notna(), None) for c in data.columns if isinstance(data[c].dtype, pd.CategoricalDtype)})
+    return data
+
+
 def typed_csv(raw: DataFrame, text_columns: Sequence[str] = ()) -> DataFrame:
     """Columns as double; text stays only where it was declared, and one field that isn't a number makes it so."""
     out = []
@@ -125,6 +143,15 @@ def check_same_features(df: DataFrame, features: Sequence[str], roles: Roles) ->
         raise ValueError(f"features differ: {sorted(own ^ set(features))[:5]}")
 
 
+def check_codes(df: DataFrame, feature: str, missing: float = float("nan")) -> None:
+    """Category codes are whole numbers from 0 to 65,533; null, NaN and the sentinel are missing."""
+    from ..operators.binning import MOST_CATEGORIES, as_feature
+
+    v = as_feature(feature, missing).cast("double")
+    if bad := df.where((v < 0) | (v != F.floor(v)) | (v >= MOST_CATEGORIES)).select(feature).first():
+        raise ValueError(f"{feature}: {bad[0]!r} is no category code")
+
+
 def check_weight(df: DataFrame, weight: str) -> None:
     w = F.col(weight).cast("double")
     if df.where(w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf"))).limit(1).count():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..plans.model import Model
+from . import inputs
 
 
 def predict_to_parquet(df: DataFrame, model: Model, path: str, ordered_by: str | None = None, **options) -> None:
@@ -24,3 +27,9 @@ def predict_to_parquet(df: DataFrame, model: Model, path: str, ordered_by: str |
     if ordered_by:
         out = out.orderBy(ordered_by).drop(ordered_by)
     out.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+
+
+def predict_files(spark: SparkSession, spec: Any, model: Model, path: str, header: bool = True, ordered_by: str | None = None, **options) -> None:
+    """Predictions of files (a path, folder, pattern or list), written as predict_to_parquet() does."""
+    text = [f for f in model.categories]
+    predict_to_parquet(inputs.read(spark, spec, header, text), model, path, ordered_by, **options)
