@@ -10,8 +10,8 @@ on the sets themselves.
 An R-tree holds one unit of work.  Units come from an exact filter: two sets
 above the threshold share one of their first n - ceil(t n) + 1 shingles in any
 fixed order of all shingles.  The order puts rare cells of a fixed-size count
-sketch first, so that frequent passages seldom meet.  Sets that share such a
-shingle meet twice.  First only their points do: an R-tree per shingle links
+sketch first, so that frequent passages seldom meet; shingles of the same sets
+count as one.  Sets that share such a shingle meet twice.  First only their points do: an R-tree per shingle links
 those whose bound allows it, and what is linked, directly or through others,
 forms a block.  Then the sets of a block meet, and an R-tree over them with
 verification gives the links.  A heavy block or shingle is cut by a hash and
@@ -172,7 +172,9 @@ def _entry_batches(key: np.ndarray, node: np.ndarray, step: int = 200_000) -> It
 
 
 def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node: those of keys that two sets have, once each."""
+    """Of rows sorted by key and node: those of keys that two sets have, once each, named
+    by a hash of the key's sets.  Near copies share most of their rare shingles among
+    the same sets: these meet once for all of them."""
 
     def whole(key, node):
         new = np.ones(len(key), bool)
@@ -182,7 +184,13 @@ def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.zeros(len(key), bool)
         use[1:] |= same
         use[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(node[use])], schema=_ENTRIES)
+        key, node = key[use], node[use]
+        if not len(key):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], schema=_ENTRIES)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        total = np.add.reduceat(mix(node.view(U)), np.flatnonzero(new))
+        return pa.RecordBatch.from_arrays([pa.array(signed(mix(total))[np.cumsum(new) - 1]), pa.array(node)], schema=_ENTRIES)
 
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for batch in arriving:
@@ -381,7 +389,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("node").alias("node"), F.max("point").alias("point"))
     classes = scratch.save(classes, "classes")
     dealt = own.mapInArrow(_entries(k, percent, levels), ddl(_ENTRIES)).repartition(width(spark), "key").sortWithinPartitions("key", "node")
-    shared = scratch.save(dealt.mapInArrow(_shared, ddl(_ENTRIES)), "shared")
+    shared = scratch.save(dealt.mapInArrow(_shared, ddl(_ENTRIES)).distinct(), "shared")
     heavy = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / meeting).cast("int").alias("parts")).where("parts > 1")
     # two sets under one node are both kept: their points may meet either way
     met = shared.join(classes.select("node", "n", "point"), "node").join(heavy, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
