@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as
 Parquet and read again as the next one's docs.
+
+Null, empty and blank texts have no words and go in the first stage.  Rows
+without a doc_id are kept like others, but link with nothing in jaccard_join.
+Rows equal in id and text are one document: what one of them loses all lose,
+and all of them stay.  Of texts that tie, the one with the smallest doc_id
+stays.  Other columns pass through whatever their names.  An empty table gives
+empty tables.  Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -56,7 +63,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = len(Scratch.opened)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        for own in Scratch.opened[before:]:  # the written table needs nothing of them
+            own.remove()
+        del Scratch.opened[before:]
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
