@@ -33,3 +33,21 @@ def test_stages(spark, tmp_path):
             assert suffix.repeated_spans(docs).where("n_dropped > 0").count() == 0
     assert Counter(r.doc_id for r in docs.collect()).keys() >= set(range(60))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rk long, gone string, `group` string"
+    text = lambda i: "\n".join(" ".join(f"q{i}x{j}y{k * 7 % 13}z{k}" for k in range(9 + j % 3)) for j in range(9))
+    rows = [(i, text(i), "en", None, 1, i, "x", "g") for i in range(55)]
+    rows += [(None, text(90), "en", None, 1, None, None, None), (7, text(7), "en", None, 1, 7, "x", "g"), (91, " \n\t", "en", None, 1, None, None, None)]
+    folder = tmp_path / "odd"
+    spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(folder))
+        assert docs.columns == spark.createDataFrame([], schema).columns
+    found = Counter(r.doc_id for r in docs.collect())
+    assert found[7] == 2 and found[None] == 1 and found[91] == 0 and set(range(55)) <= found.keys()
+    none = tmp_path / "none"
+    spark.createDataFrame([], schema).write.parquet(str(none / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
