@@ -11,6 +11,7 @@ from ..functions import metrics, objectives
 from ..operators import binning, explain, histogram, ranking, sampling, scoring, splits, survival
 from .model import Model, Node, Tree
 from .train import label_quantiles, train
+from .tree_sql import Grown, nodes_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -409,10 +410,22 @@ def rank_group_auc(spark, sf_dir):
     return ranking.group_auc(_events(spark, sf_dir), "user_id", "score", "y", "event_id").select("user_id", F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(f"""WITH t AS ({_EV}), r AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, max(CAST(score AS REAL)) OVER (PARTITION BY user_id) <> min(CAST(score AS REAL)) OVER (PARTITION BY user_id) AS spread,
+  row_number() OVER (PARTITION BY user_id ORDER BY y DESC) - 1 AS ideal FROM t WINDOW w AS (PARTITION BY user_id ORDER BY CAST(score AS REAL) DESC, event_id)),
+i AS (SELECT user_id, sum(CASE WHEN ideal < 32 THEN (pow(2, y) - 1) / log2(ideal + 2) ELSE 0 END) AS idcg FROM r GROUP BY 1),
+p AS (SELECT a.user_id, CASE WHEN a.y > b.y THEN a.event_id ELSE b.event_id END AS hi, CASE WHEN a.y > b.y THEN b.event_id ELSE a.event_id END AS lo,
+  CAST(CASE WHEN a.y > b.y THEN CAST(a.score AS REAL) - CAST(b.score AS REAL) ELSE CAST(b.score AS REAL) - CAST(a.score AS REAL) END AS DOUBLE) AS d,
+  abs((pow(2, a.y) - pow(2, b.y)) * (1 / log2(a.pos + 2) - 1 / log2(b.pos + 2))) / idcg AS delta, a.spread
+  FROM r a JOIN r b ON a.user_id = b.user_id AND a.pos < b.pos AND a.pos < 32 AND a.y <> b.y JOIN i ON i.user_id = a.user_id),
+q AS (SELECT user_id, hi, lo, 1 / (1 + exp(-d)) AS sig, CASE WHEN spread THEN delta / (abs(d) + 0.01) ELSE delta END AS delta FROM p),
+l AS (SELECT user_id, hi, lo, CAST(CAST((sig - 1) * delta AS REAL) AS DOUBLE) AS lam, CAST(CAST(greatest(sig * (1 - sig), 1e-16) * delta * 2 AS REAL) AS DOUBLE) AS hes FROM q),
+z AS (SELECT user_id, -2 * sum(lam) AS total FROM l GROUP BY 1),
+e AS (SELECT hi AS event_id, user_id, lam AS g, hes AS h FROM l UNION ALL SELECT lo, user_id, -lam, hes FROM l),
+s AS (SELECT event_id, sum(g) * max(CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END) AS g, sum(h) * max(CASE WHEN total > 0 THEN log2(1 + total) / total ELSE 1 END) AS h FROM e JOIN z USING (user_id) GROUP BY 1)
+SELECT event_id, round(coalesce(g, 0), 4) + 0.0 AS g, round(coalesce(h, 0), 4) + 0.0 AS h FROM t LEFT JOIN s USING (event_id)""")
 def rank_lambda_gradients(spark, sf_dir):
     own = _events(spark, sf_dir).withColumn("m", F.col("score").cast("float"))
-    return ranking.lambda_gradients(own, "user_id", "event_id", "m", "y", "rank:ndcg", {}).select("event_id", F.round("g0", 5).alias("g"), F.round("h0", 5).alias("h"))
+    return ranking.lambda_gradients(own, "user_id", "event_id", "m", "y", "rank:ndcg", {}).select("event_id", *[(F.round(F.col(f"{x}0").cast("double"), 4) + 0.0).alias(x) for x in "gh"])
 
 
 # ---- a fixed model: scoring, leaves, importance, explanation
@@ -516,15 +529,45 @@ def train_stump(spark, sf_dir):
 
 
 def _nodes(spark: SparkSession, m: Model) -> DataFrame:
-    rows = [(i, j, n.feat, float(n.cond), round(n.value, 5), round(n.cover, 2)) for i, t in enumerate(m.trees) for j, n in enumerate(t.nodes)]
+    rows = [(i, j, n.feat, round(float(n.cond), 4), round(n.value, 4), round(n.cover, 1)) for i, t in enumerate(m.trees) for j, n in enumerate(t.nodes)]
     return spark.createDataFrame(rows, "tree int, node int, feat int, cond double, value double, cover double")
 
 
-def _training(name: str, params: dict, rounds: int = 2, make=_train_table, **options):
+def _training(name: str, params: dict, rounds: int = 2, make=_train_table, sql: str | None = None, **options):
     def run(spark, sf_dir):
         return _nodes(spark, train(params, make(spark, sf_dir), num_boost_round=rounds, **options))
 
-    query(None, name)(run)
+    query(sql, name)(run)
+
+
+_BINARY = Grown(
+    "SELECT l_quantity AS f0, nullif(l_discount, 0) AS f1, l_tax AS f2, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem",
+    3, "1 / (1 + exp(-m)) - y", "1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m)))", "(SELECT ln(avg(y) / (1 - avg(y))) FROM t)",
+)
+_LIFE = Grown(
+    "SELECT o_custkey % 11 AS f0, o_orderkey % 5 AS f1, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * (o_custkey % 40 + 1) AS y FROM orders",
+    2, "exp(m) * a - CASE WHEN y > 0 THEN 1 ELSE 0 END", "exp(m) * a - exp(2 * m) * b", "0",
+    extra=(
+        "SELECT *, sum(exp(m)) OVER (ORDER BY abs(y) RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM {source}",
+        "SELECT *, sum(CASE WHEN y > 0 THEN 1 / risk ELSE 0 END) OVER (ORDER BY abs(y) RANGE UNBOUNDED PRECEDING) AS a, sum(CASE WHEN y > 0 THEN 1 / risk / risk ELSE 0 END) OVER (ORDER BY abs(y) RANGE UNBOUNDED PRECEDING) AS b FROM {source}",
+    ), added=("risk", "a", "b"),
+)
+_F = "(1 / (1 + exp(m - ln(y))))"
+_BOUNDED = Grown(
+    "SELECT o_custkey % 11 AS f0, o_orderkey % 5 AS f1, o_totalprice / 1000 AS y, o_orderstatus = 'F' AS seen FROM orders",
+    2, f"CASE WHEN seen THEN 1 - 2 * {_F} ELSE -{_F} END", f"CASE WHEN seen THEN 2 ELSE 1 END * {_F} * (1 - {_F})", "ln(0.5)",
+)
+
+
+def _level(a: float) -> Grown:
+    """Trees of one quantile: smoothed by the scale of the residuals, from the label's quantile on."""
+    s = "(SELECT pow(avg(sqrt(abs(m - y))), 2) FROM {source})"
+    x = f"((m - y) / (0.04 * {s}))"
+    th = f"((exp(least(2 * {x}, 60)) - 1) / (exp(least(2 * {x}, 60)) + 1))"
+    at = f"({a} * ((SELECT count(*) FROM t) + 1))"
+    nth = "(SELECT y FROM (SELECT y, row_number() OVER (ORDER BY y) AS r FROM t) WHERE r = floor({x}) + {k})"
+    low, high = nth.format(x=at, k=0), nth.format(x=at, k=1)
+    return Grown("SELECT o_custkey % 11 AS f0, o_totalprice / 100000 AS y FROM orders", 1, f"0.5 * {s} * ({th} + 1 - 2 * {a})", f"12.5 * greatest(CASE WHEN {x} = 0 THEN 1 ELSE {th} / {x} END, 3e-4)", f"{low} + ({at} - floor({at})) * ({high} - {low})")
 
 
 def _rank_table(spark, sf_dir) -> DataFrame:
@@ -541,23 +584,24 @@ def _bounds_table(spark, sf_dir) -> DataFrame:
 
 def _classes_table(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(*[F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(4)], F.least("label", F.lit(2)).alias("y"))
+    wide = len(e.first()["embedding"])
+    return e.select(*[F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(wide)], F.col("label").alias("y"))
 
 
 def _category_table(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderpriority", "o_custkey % 11 as a", "o_totalprice / 100000 as y", "o_orderkey")
 
 
-_training("train_depthwise", {"max_depth": 3}, label="y")
-_training("train_lossguide", {"grow_policy": "lossguide", "max_depth": 0, "max_leaves": 5}, label="y")
-_training("train_symmetric", {"grow_policy": "symmetric", "max_depth": 2}, label="y")
+_training("train_depthwise", {"max_depth": 3}, label="y", sql=nodes_sql([_BINARY], "depthwise", 3, 2))
+_training("train_lossguide", {"grow_policy": "lossguide", "max_depth": 0, "max_leaves": 5}, label="y", sql=nodes_sql([_BINARY], "lossguide", 4, 2))
+_training("train_symmetric", {"grow_policy": "symmetric", "max_depth": 2}, label="y", sql=nodes_sql([_BINARY], "symmetric", 2, 2))
 _training("train_constrained", {"max_depth": 3, "monotone_constraints": {"l_quantity": 1}, "interaction_constraints": [["disc", "l_tax"]], "subsample": 0.8, "colsample_bynode": 0.7}, label="y")
-_training("train_multiclass", {"objective": "multi:softprob", "num_class": 3, "max_depth": 2, "max_bin": 32}, make=_classes_table, label="y")
-_training("train_quantiles", {"objective": "reg:quantileerror", "quantile_alpha": [0.1, 0.9], "max_depth": 2}, make=_category_table, label="y", features=["a"])
+_training("train_multiclass", {"objective": "multi:softprob", "num_class": 10, "max_depth": 2, "max_bin": 32}, make=_classes_table, label="y")
+_training("train_quantiles", {"objective": "reg:quantileerror", "quantile_alpha": [0.1, 0.9], "max_depth": 2}, make=_category_table, label="y", features=["a"], sql=nodes_sql([_level(0.1), _level(0.9)], "depthwise", 2, 2))
 _training("train_categories", {"objective": "reg:gamma", "max_depth": 2, "enable_categorical": True}, make=_category_table, label="y", row_id="o_orderkey")
 _training("train_ranking", {"objective": "rank:ndcg", "max_depth": 2, "max_bin": 32}, make=_rank_table, label="y", qid="user_id", row_id="event_id")
-_training("train_cox", {"objective": "survival:cox", "max_depth": 2}, make=_survival_table, label="t")
-_training("train_aft", {"objective": "survival:aft", "aft_loss_distribution": "logistic", "max_depth": 2}, make=_bounds_table, label_lower_bound="lo", label_upper_bound="hi")
+_training("train_cox", {"objective": "survival:cox", "max_depth": 2}, make=_survival_table, label="t", sql=nodes_sql([_LIFE], "depthwise", 2, 2))
+_training("train_aft", {"objective": "survival:aft", "aft_loss_distribution": "logistic", "max_depth": 2}, make=_bounds_table, label_lower_bound="lo", label_upper_bound="hi", sql=nodes_sql([_BOUNDED], "depthwise", 2, 2))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
