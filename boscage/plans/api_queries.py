@@ -271,6 +271,17 @@ def train_stump_positive_weight(spark, sf_dir):
     return _stump(spark, train({"max_depth": 1, "scale_pos_weight": 3.0, "base_score": 0.25}, own, label="y", num_boost_round=1))
 
 
+@query(_stump_sql(_PRICE, "m - y", "1", "avg(y)", out="SELECT 1 AS tables, round(cond, 4) AS cond, round(lv, 4) AS left_value, round(rv, 4) AS right_value FROM r"))
+def train_cached(spark, sf_dir):
+    """Two trainings over one binned table in a folder of the user's."""
+    path = _folder(spark, "cache")
+    p = {"max_depth": 1, "objective": "reg:squarederror", "cache_path": path}
+    own = _quantities(spark, sf_dir, _PRICE).drop("w")
+    train(p, own, label="y", num_boost_round=1)
+    got = _stump(spark, train(p, own, label="y", num_boost_round=1))
+    return got.withColumn("tables", F.lit(len(inputs._listing(spark, path))))
+
+
 @query(_stump_sql(_PRICE, "m - y", "1", "avg(y)", out=", e AS (SELECT avg(pow(y - m - CASE WHEN q < cond THEN lv ELSE rv END, 2)) AS mse FROM t, s, r) SELECT 0 AS round, round(sqrt(mse), 3) AS rmse FROM e"))
 def train_history(spark, sf_dir):
     """The history of an evaluation table that is the training table itself."""

@@ -22,7 +22,7 @@ from ..functions import params as parameters
 from ..operators import binning, grow, histogram, ranking, sampling, survival
 from ..operators.scoring import COMPILED_NODES, leaf_value, with_margins
 from ..operators.splits import Rules, Scan, Split, best_of, symmetric
-from ..sources import inputs, shared
+from ..sources import cache, inputs, shared
 from .model import Model, Tree
 
 #: Histogram rows up to which a level is searched on the driver; beyond it tasks search and send a row per node and feature.
@@ -76,8 +76,9 @@ class _Table:
             shared.delete(self.df.sparkSession, p)
 
 
-def prepare(df: DataFrame, model: Model, roles: inputs.Roles, edges: list[list[float]], missing: float, prior: Model | None) -> _Table:
-    """The binned table of a data set, written to the shared folder."""
+def prepare(df: DataFrame, model: Model, roles: inputs.Roles, edges: list[list[float]], missing: float, prior: Model | None, folder: str | None = None) -> _Table:
+    """The binned table of a data set, written to the shared folder, or held in the folder given."""
+    source = df
     out = [(F.col(roles.label).cast("double") if roles.label else F.lit(0.0)).alias("y"), (F.col(roles.weight).cast("double") if roles.weight else F.lit(1.0)).alias("w")]
     out.append((F.col(roles.row_id).cast("long") if roles.row_id else F.monotonically_increasing_id()).alias("row"))
     # what row sampling draws by: the given id, or the row's contents, never its place
@@ -99,7 +100,11 @@ def prepare(df: DataFrame, model: Model, roles: inputs.Roles, edges: list[list[f
     if prior is not None:
         df = with_margins(df, prior, roles.base_margin or None, missing)
         start = [F.get("margins", F.lit(k)) for k in range(model.outputs)]
-    written, path = shared.written(df.select(*out, *[m.alias(f"m{k}") for k, m in enumerate(start)]))
+    binned = df.select(*out, *[m.alias(f"m{k}") for k, m in enumerate(start)])
+    if folder:
+        what = {"features": model.features, "categories": model.categories, "categorical": model.categorical, "edges": edges, "missing": missing, "roles": vars(roles), "margins": model.base_margins, "prior": prior.to_dict() if prior else None}
+        return _Table(cache.held(binned, folder, cache.name_of(source, what)), None)
+    written, path = shared.written(binned)
     return _Table(written, path)
 
 
@@ -440,7 +445,7 @@ def train(
     _intercept(df, model, roles, q, prior)
     if roles.base_margin and len(roles.base_margin) != model.outputs:
         raise ValueError(f"base_margin needs {model.outputs} columns")
-    table = prepare(clean, model, roles, edges, q["missing"], prior)
+    table = prepare(clean, model, roles, edges, q["missing"], prior, q["cache_path"])
     sets = []
     for e, name in evals:
         own = inputs.read(spark, e, header, cats)
@@ -450,7 +455,7 @@ def train(
         binning.check_known(own, categories)
         own = own.withColumns({f: binning.as_feature(f, q["missing"]) for f in names if f not in cats})
         # the same data shares the margins of the training table
-        sets.append((table if e is whole and group is None else prepare(own, model, roles, edges, q["missing"], prior), name))
+        sets.append((table if e is whole and group is None else prepare(own, model, roles, edges, q["missing"], prior, q["cache_path"]), name))
     wanted = q["eval_metric"] or [objectives.default_metric(objective)]
     wanted = [wanted] if isinstance(wanted, str) else list(wanted)
     if custom_objective is None:
