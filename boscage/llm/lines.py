@@ -140,6 +140,7 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
 def keys(lines: Lines, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(key, line, whether the line offers itself under it)."""
     n = lines.end - lines.start
+    inverse = powers(len(lines.prefix), True)
     for shorter in range(max(e for _, e in rule.steps) + 1):
         every = n - shorter
         bound = rule.at(every)
@@ -155,9 +156,9 @@ def keys(lines: Lines, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.
                     at = offset + move
                     use = np.flatnonzero((at >= 0) & (at + size <= n[own]))
                     start = lines.start[own[use]] + at[use]
-                    content = span_hash(lines.prefix, start, start + size[use])
-                    tag = mix((length[use].astype(U) << U(3)) + U(i + 1))
-                    yield mix(content ^ tag), own[use], np.full(len(use), shorter == 0 and move == 0)
+                    content = (lines.prefix[start + size[use]] - lines.prefix[start]) * inverse[start]
+                    # lengths are under 2^32 and segments few: a number of its own for each pair of them
+                    yield mix(content ^ ((length[use].astype(U) << U(3)) + U(i + 1)) * U(0xC2B2AE3D27D4EB4F)), own[use], np.full(len(use), shorter == 0 and move == 0)
     long = np.flatnonzero(rule.anchored(n))
     if len(long):
         yield from _anchors(lines, rule, long)
@@ -480,8 +481,12 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule, mine
             p, q = np.nonzero(open_)
             at = 0
             while at < len(p):
-                a, b = x[p[at : at + 4096]], y[q[at : at + 4096]]
-                at += 4096
+                a, b = x[p[at : at + 512]], y[q[at : at + 512]]
+                at += 512
+                apart = labels.of[a] != labels.of[b]  # what the pairs before have tied is not looked at again
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    continue
                 few = np.abs(grams[a] - grams[b]).sum(axis=1) <= 2 * TRI * bound[a]
                 if mine is not None:
                     few[few] = [mine(v, w) for v, w in zip(a[few].tolist(), b[few].tolist(), strict=True)]
@@ -503,9 +508,21 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule, mine
     return labels.edges
 
 
-#: A line in a unit: its name (both halves of its hash, 16 bytes big-endian), part, whether
-#: it offers, text, and all its keys and those that it offers itself under, without their last bit.
-_Row = tuple[bytes, int, bool, str, frozenset[int], frozenset[int]]
+class _Row:
+    """A line in a unit: its name (both halves of its hash, 16 bytes big-endian), part,
+    whether it offers, text, and its keys, whose last bit tells whether it offers under them."""
+
+    __slots__ = ("name", "part", "own", "text", "raw", "sets")
+
+    def __init__(self, name: bytes, part: int, own: bool, text: str, raw: bytes):
+        self.name, self.part, self.own, self.text, self.raw, self.sets = name, part, own, text, raw, None
+
+    def keys(self) -> tuple[frozenset[int], frozenset[int]]:
+        """All keys and those that the line offers itself under, without their last bit."""
+        if self.sets is None:
+            every = np.frombuffer(self.raw, np.int64)
+            self.sets = frozenset((every & -2).tolist()), frozenset((every[every & 1 == 1] & -2).tolist())
+        return self.sets
 
 
 def _merged(found: list[tuple]) -> list[_Row]:
@@ -514,18 +531,17 @@ def _merged(found: list[tuple]) -> list[_Row]:
     for _, _, _, part, a, b, own, text, keys in found:
         name = struct.pack(">qq", a, b)
         if name in by:
-            old = by[name]
-            by[name] = (name, part, own or old[2], text, old[4], old[5])
+            by[name].own |= own
         else:
-            every = np.frombuffer(keys, np.int64)
-            by[name] = (name, part, own, text, frozenset((every & -2).tolist()), frozenset((every[every & 1 == 1] & -2).tolist()))
+            by[name] = _Row(name, part, own, text, keys)
     return list(by.values())
 
 
 def _first(key: int, x: _Row, y: _Row) -> bool:
     """Whether key is the least that both lines have and one offers itself under: each
     pair is looked at in one unit only."""
-    return min((x[4] & y[5]) | (x[5] & y[4]), default=None) == key & -2
+    (p, q), (r, s) = x.keys(), y.keys()
+    return min((p & s) | (q & r), default=None) == key & -2
 
 
 class _Pairs:
@@ -538,16 +554,17 @@ class _Pairs:
         self.size = 0
 
     def add(self, key: int, rows: list[_Row]) -> None:
-        across = len({r[1] for r in rows}) > 1
-        bound = self.rule.at(np.array([len(r[3]) for r in rows])).tolist()
+        across = len({r.part for r in rows}) > 1
+        size = [len(r.text) for r in rows]
+        bound = self.rule.at(np.array(size)).tolist()
         for i, x in enumerate(rows):
             for j, y in enumerate(rows[:i]):
-                if (x[2] or y[2]) and abs(len(x[3]) - len(y[3])) <= min(bound[i], bound[j]) and not (across and x[1] == y[1]) and _first(key, x, y):
-                    short, long = (x, y) if len(x[3]) <= len(y[3]) else (y, x)
-                    if (short[0], long[0]) not in self.pairs:
-                        self.pairs.add((short[0], long[0]))
-                        self.texts[short[0]], self.texts[long[0]] = short[3], long[3]
-                        self.size += len(long[3])
+                if (x.own or y.own) and abs(size[i] - size[j]) <= min(bound[i], bound[j]) and not (across and x.part == y.part) and _first(key, x, y):
+                    short, long = (x, y) if size[i] <= size[j] else (y, x)
+                    if (short.name, long.name) not in self.pairs:
+                        self.pairs.add((short.name, long.name))
+                        self.texts[short.name], self.texts[long.name] = short.text, long.text
+                        self.size += len(long.text)
 
     def verified(self) -> Iterator[tuple[bytes, bytes]]:
         place = {a: i for i, a in enumerate(self.texts)}
@@ -599,8 +616,8 @@ def _verify(rule: Rule):
                     yield from now.verified()
                 return
             mine = lambda v, w: _first(key, got[v], got[w])
-            for i, j in link([g[3] for g in got], np.array([g[2] for g in got]), np.array([g[1] for g in got]), rule, mine):
-                yield got[i][0], got[j][0]
+            for i, j in link([g.text for g in got], np.array([g.own for g in got]), np.array([g.part for g in got]), rule, mine):
+                yield got[i].name, got[j].name
 
         def every():
             yield from units(map(_packed, arriving), 3, done)
