@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from boscage.llm import bpe, exact, jaccard, lines, packing, quality, suffix, tokenfile, tokens
+from boscage.llm import bpe, exact, jaccard, lines, packing, quality, suffix, tokenfile, tokens, words
 from boscage.llm.store import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, rk long, `group` string"
@@ -521,3 +521,20 @@ def test_sentencepiece_model_is_plain():
     own = bpe.ByteBpe.of(None)
     every = bytes(range(256)) * 2
     assert own.decode([i for b in every for i in [own.ranks[bytes([b])]]]) == every
+
+
+def test_patterns_that_cancel_have_hashes_of_their_own():
+    """Thue-Morse strings over two letters and their complements have equal polynomial hashes modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    codes = [np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (one, two)]
+    assert len({int(words.prefix_hash(c)[-1]) for c in codes}) == 1  # what candidates may be found by
+    h = words.Words(pa.array([one, two])).hash
+    assert h[0] != h[1]
+    found = lines.Lines(pa.array([one, two]), 1)
+    assert found.a[0] != found.a[1] and found.b[0] != found.b[1]
+    assert not lines.reach([codes[0]], [codes[1]], 20)[0] and lines.reach([codes[0]], [codes[0]], 20)[0]
+    padded = [np.concatenate([c, codes[0][:700]]) for c in codes]
+    assert not lines.close([padded[0]], [padded[1]], lines.BY_LENGTH)[0]
+    n, shingle = words.Words(pa.array([one + " w x y z", two + " w x y z"])).shingles(5)
+    assert shingle[0] != shingle[1]
