@@ -538,3 +538,14 @@ def test_patterns_that_cancel_have_hashes_of_their_own():
     assert not lines.close([padded[0]], [padded[1]], lines.BY_LENGTH)[0]
     n, shingle = words.Words(pa.array([one + " w x y z", two + " w x y z"])).shingles(5)
     assert shingle[0] != shingle[1]
+
+
+def test_join_groups_with_hot_ones(spark):
+    from boscage.llm.store import join_groups
+
+    rows = [(k, i) for i in range(120) for k in ([0] if i % 2 else [i % 40])] + [(999, 1)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    groups = Scratch(spark, "test").save(df.where("k <> 999").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n"), "groups")
+    got = sorted(tuple(r) for r in join_groups(df, groups, ["k"], "n", share=5).select("k", "v", "n").collect())
+    sizes = Counter(k for k, _ in rows)
+    assert max(sizes.values()) * 5 > sum(sizes.values()) and got == sorted((k, v, sizes[k]) for k, v in rows if k != 999)
