@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .arrow import batches, ddl, fields, rows
 from .store import Scratch, join_groups, width
 from .tables import marked, replaced, table
-from .words import U, Words, mix, pieces, signed
+from .words import U, Words, buffers, mix, pieces, signed
 
 _ANCHORS = fields(kh="long", rk="long", pos="int")
 _CONTEXTS = fields(kh="long", suffix="binary", left="binary", doc_id="long", rk="long", pos="int", near="int", far="int")
@@ -39,6 +39,9 @@ _WINDOWS = fields(w1="long", w2="long", doc_id="long", rk="long", pos="int")
 _SPANS = fields(doc_id="long", rk="long", span_start="long", span_end="long", n_words="long", n_dropped="long", first_doc_id="long")
 _CUT = fields(doc_id="long", rk="long", text="string")
 
+#: Bytes of text and number of anchors that a task works on at a time.
+TEXTS, STEP = 1 << 19, 8_000
+
 
 def _slide(x: np.ndarray, w: int, of) -> np.ndarray:
     """out[i] = of over x[i : i + w], for each i with a whole window."""
@@ -76,7 +79,7 @@ def minimisers(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(k: int, w: int):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", TEXTS):
                 words = Words(part.column(1))
                 h, at = minimisers(words, k, w)
                 row = words.row[at]
@@ -94,9 +97,12 @@ def _ragged(matrix: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def _matrix(column: pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    from .words import buffers
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
+
+def _matrix(column: pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = buffers(column)
     length = np.diff(offsets) // 4
     out = np.zeros((len(length), wide), np.uint32)
@@ -107,7 +113,7 @@ def _matrix(column: pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(k: int, least: int):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", TEXTS):
                 words = Words(part.column(1))
                 short = (words.hash >> U(32)).astype(np.uint32)
                 w = least - k + 1
@@ -119,9 +125,14 @@ def _contexts(k: int, least: int):
                 at = words.row_ptr[row] + pos
                 q = np.minimum(np.searchsorted(start, at), max(len(start) - 1, 0))
                 use = (pos < words.count[row]) & (start[q] == at if len(start) else False)
-                pos, row = pos[use], row[use]
-                for i in range(0, len(pos), 20_000):
-                    p, r = pos[i : i + 20_000].astype(np.int64), row[i : i + 20_000]
+                pos, row, at, q = pos[use], row[use], at[use], q[use]
+                # a window that holds its least run twice or more belongs to the first of them
+                order = np.lexsort((at, gram[q]))
+                again = (gram[q[order[1:]]] == gram[q[order[:-1]]]) & (row[order[1:]] == row[order[:-1]])
+                alone = np.full(len(pos), w, np.int64)
+                alone[order[1:][again]] = np.maximum(np.diff(at[order])[again], 1)
+                for i in range(0, len(pos), STEP):
+                    p, r = pos[i : i + STEP].astype(np.int64), row[i : i + STEP]
                     at = words.row_ptr[r] + p
                     right = np.minimum(words.row_ptr[r + 1] - at, least)
                     left = np.minimum(p, least - k)
@@ -133,9 +144,11 @@ def _contexts(k: int, least: int):
                     begin = q[:, None] - np.arange(w)
                     own = (begin >= 0) & (begin < len(low)) & (low[np.clip(begin, 0, len(low) - 1)] == gram[q][:, None])
                     near, far = np.argmax(own, axis=1), w - 1 - np.argmax(own[:, ::-1], axis=1)
-                    kh = signed(gram[q])
-                    meta = [part.column(c).take(pa.array(r)) for c in (0, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(kh), _ragged(after, right), _ragged(before, left), meta[0], meta[1], *[pa.array(x.astype(np.int32)) for x in (p, near, far)]], schema=_CONTEXTS)
+                    far = np.minimum(far, alone[i : i + STEP] - 1)
+                    some = near <= far
+                    kh = signed(gram[q[some]])
+                    meta = [part.column(c).take(pa.array(r[some])) for c in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(kh), _ragged(after[some], right[some]), _ragged(before[some], left[some]), meta[0], meta[1], *[pa.array(x[some].astype(np.int32)) for x in (p, near, far)]], schema=_CONTEXTS)
 
     return run
 
@@ -147,37 +160,52 @@ def _left_hashes(left: np.ndarray) -> np.ndarray:
     return out
 
 
+def _prefixes(column: pa.Array, kh: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each suffix shares with the one before (0: of another run), and its length."""
+    n = len(kh)
+    lcp, length = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    for i in range(0, n, STEP):
+        right, rl = _matrix(column.slice(max(i - 1, 0), STEP + (i > 0)), least)
+        same = (right[1:] == right[:-1]) & (np.arange(least) < np.minimum(rl[1:], rl[:-1])[:, None])
+        to = min(i + STEP, n)
+        lcp[max(i, 1) : to] = np.where(same.all(axis=1), least, np.argmin(same, axis=1))
+        length[i:to] = rl[1:] if i else rl
+    lcp[1:n][kh[1:] != kh[:-1]] = 0
+    return lcp, length
+
+
 def _mark(table_: pa.Table, k: int, least: int) -> pa.RecordBatch | None:
-    """Marks of a sorted table of contexts that holds whole runs of kh."""
-    table_ = table_.combine_chunks()
-    kh, doc, rk, pos, near, far = (table_.column(c).to_numpy() if c != "doc_id" else table_.column(c) for c in ("kh", "doc_id", "rk", "pos", "near", "far"))
-    doc_null = doc.is_null().to_numpy().astype(bool)
+    """Marks of a sorted table of contexts that holds whole runs of kh.  Beside the
+    table itself it takes some numbers for each context, however long a run is."""
+    kh, doc, rk, pos, near, far = (table_.column(c).to_numpy() if c != "doc_id" else table_.column(c).combine_chunks() for c in ("kh", "doc_id", "rk", "pos", "near", "far"))
+    doc_null = doc.is_null().to_numpy(zero_copy_only=False).astype(bool)
     doc = doc.fill_null(0).to_numpy()
     again = np.zeros(len(kh), bool)  # one position of one text once: rows may repeat
     again[1:] = (kh[1:] == kh[:-1]) & (rk[1:] == rk[:-1]) & (pos[1:] == pos[:-1])
     if again.any():
         return _mark(table_.filter(pa.array(~again)), k, least)
     n = len(kh)
-    right, rl = _matrix(table_.column("suffix").combine_chunks() if isinstance(table_.column("suffix"), pa.ChunkedArray) else table_.column("suffix"), least)
-    left, ll = _matrix(table_.column("left").combine_chunks() if isinstance(table_.column("left"), pa.ChunkedArray) else table_.column("left"), least - k)
-    same = (right[1:] == right[:-1]) & (np.arange(least) < np.minimum(rl[1:], rl[:-1])[:, None])
-    lcp = np.zeros(n + 1, np.int64)
-    lcp[1:n] = np.where(kh[1:] == kh[:-1], np.where(same.all(axis=1), least, np.argmin(same, axis=1)), 0)
-    before = _left_hashes(left)
+    lcp, rl = _prefixes(_whole(table_.column("suffix")), kh, least)
+    ink, offsets = buffers(_whole(table_.column("left")))
+    ink, first_word, ll = ink.view(">u4"), offsets[:-1] // 4, np.diff(offsets) // 4
+    before = np.zeros(n, U)
     order = np.empty(n, np.int64)
     order[np.lexsort((pos, rk, doc, doc_null))] = np.arange(n)
     big = np.iinfo(np.int32).max
     lo, hi = np.full((2, n), big, np.int64), np.full((2, n), -1, np.int64)
     owner = np.full(n, -1, np.int64)
-    for r in range(k, least + 1):
+    for r in range(least, k - 1, -1):
         j = least - r
+        if j:  # a hash of the j words before, where there are as many
+            has = np.flatnonzero(ll >= j)
+            before[has] = mix(before[has] * U(0x9E3779B97F4A7C15) + ink[first_word[has] + (j - 1)].astype(U) + U(1))
         run = np.cumsum(lcp[:n] < r).astype(U)
         use = np.flatnonzero((near <= j) & (j <= far) & (rl >= r) & (ll >= j) & ((lcp[:n] >= r) | (lcp[1:] >= r)))
         if len(use) < 2:
             continue
-        key = mix(run[use] * U(0xC2B2AE3D27D4EB4F) ^ before[use, j])
+        key = mix(run[use] * U(0xC2B2AE3D27D4EB4F) ^ before[use])
         use = use[np.lexsort((order[use], key))]
-        key = mix(run[use] * U(0xC2B2AE3D27D4EB4F) ^ before[use, j])
+        key = mix(run[use] * U(0xC2B2AE3D27D4EB4F) ^ before[use])
         new = np.ones(len(use), bool)
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
@@ -204,16 +232,20 @@ def _compare(k: int, least: int, chunk: int = 20_000):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in arriving:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= chunk:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                kh = whole.column("kh").to_numpy()
+            for i in range(0, batch.num_rows, chunk):
+                part = batch.slice(i, chunk)
+                kh = part.column(0).to_numpy()
                 cut = int(np.searchsorted(kh, kh[-1]))  # the last run may go on
-                if cut:
-                    yield _mark(whole.slice(0, cut), k, least)
-                held = whole.slice(cut).to_batches()
-                size = len(kh) - cut
+                if not cut and held and held[-1].column(0)[-1].as_py() != kh[0]:
+                    held, size, whole = [], 0, held
+                elif cut and size + cut >= chunk // 2:
+                    held, size, whole, part = [], 0, [*held, part.slice(0, cut)], part.slice(cut)
+                else:
+                    whole = []
+                if whole:
+                    yield _mark(pa.Table.from_batches(whole), k, least)
+                held.append(part)
+                size += part.num_rows
         if size:
             yield _mark(pa.Table.from_batches(held), k, least)
 

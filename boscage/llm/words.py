@@ -38,7 +38,8 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, PIECE + 1)
+        size = max(1 << 16, 1 << n.bit_length())
+        size = n if size > 4 * PIECE else size
         row = np.full(size, _BASE_INVERSE if inverse else _BASE, U)
         row[0] = 1
         have = np.multiply.accumulate(row)

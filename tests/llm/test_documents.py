@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +129,40 @@ def test_suffix_spans(docs, rows, empty):
     assert suffix.repeated_spans(empty).count() == 0
 
 
+def test_suffix_windows_of_repeating_words_are_made_once():
+    """A window that holds its least run many times belongs to the first of them."""
+    text = " ".join(["a", "b"] * 200 + [f"w{i}" for i in range(100)])
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([5])], names=["text", "rk"])
+    at = [r["pos"] for b in suffix._anchors(16, 35)([pa.RecordBatch.from_arrays([batch["rk"], batch["text"]], names=["rk", "text"])]) for r in b.to_pylist()]
+    sent = pa.RecordBatch.from_arrays([pa.array([1]), batch["text"], batch["rk"], pa.array([at], pa.list_(pa.int32()))], names=["doc_id", "text", "rk", "positions"])
+    starts = [c["pos"] - j for b in suffix._contexts(16, 50)([sent]) for c in b.to_pylist() for j in range(c["near"], c["far"] + 1)]
+    assert sorted(starts) == list(range(500 - 50 + 1))
+
+
+def test_suffix_compares_long_runs_in_little_memory():
+    n, k, least = 30_000, 16, 50
+    right = np.random.default_rng(1).integers(0, 3, (n, least), np.uint32)
+    right[:, : k + 20] = 7
+    right = right[np.lexsort(right.T[::-1])]
+    left = np.full((n, least - k), 9, np.uint32)
+    whole = [suffix._ragged(x, np.full(n, x.shape[1])) for x in (right, left)]
+    ints = [pa.array(np.full(n, v, np.int32)) for v in (0, least - k)]
+    run = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *whole, pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.full(n, 40, np.int32)), *ints], schema=suffix._CONTEXTS)
+    tracemalloc.start()
+    try:
+        marks = [m for b in suffix._compare(k, least)([run.slice(i, 10_000) for i in range(0, n, 10_000)]) for m in b.to_pylist() if m["drop"]]
+        marks = len(marks)
+        tracemalloc.clear_traces()
+        tracemalloc.reset_peak()
+        for _ in suffix._compare(k, least)([run.slice(i, 10_000) for i in range(0, n, 10_000)]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert marks == n - 1  # all but the first context share at least one window with an earlier one
+    assert peak < 500 * n
+
+
 def test_suffix_removal(docs, rows, empty):
     out = suffix.remove_repeats(docs)
     assert out.columns == docs.columns
