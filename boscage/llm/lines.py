@@ -168,15 +168,17 @@ def _anchors(lines: Lines, rule: Rule, long: np.ndarray) -> Iterator[tuple[np.nd
     """Keys of long lines: the least gram hash of each run of GRAM + WINDOW - 1 characters, by classes of length."""
     if GRAM + WINDOW - 1 > -(-99 * 3 * rule.share // 400):
         raise ValueError("runs are too short for this share")
-    at = np.arange(len(lines.codes) - GRAM + 1)
+    n = (lines.end - lines.start)[long]
+    grams = n - (GRAM - 1)
+    before = np.cumsum(grams) - grams
+    at = np.arange(int(grams.sum())) + np.repeat(lines.start[long] - before, grams)
     least, span = span_hash(lines.prefix, at, at + GRAM), 1
     while span < WINDOW:
         step = min(span, WINDOW - span)
         least, span = np.minimum(least[:-step], least[step:]), span + step
-    n = (lines.end - lines.start)[long]
     count = n - (GRAM + WINDOW - 2)
     line = np.repeat(np.arange(len(long)), count)
-    run = least[np.arange(len(line)) + np.repeat(lines.start[long] - (np.cumsum(count) - count), count)]
+    run = least[np.arange(len(line)) + np.repeat(before - (np.cumsum(count) - count), count)]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (line[1:] != line[:-1])
     run, line = run[new], line[new]
@@ -336,8 +338,32 @@ def _scan_lines(least: int):
     return run
 
 
-def _scan_keys(rule: Rule):
+#: Keys that a task holds before it deals them out, and that are compared at a time.
+HELD, AT_ONCE = 1 << 20, 1 << 18
+_DEALT = fields(bucket="int", keys="binary", lines="binary")
+
+
+def _longs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """data[at[i] : at[i + 1]], 8 bytes each, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _scan_keys(rule: Rule, buckets: int):
+    """The keys of the lines by ranges of keys, many in a row: a row for each would cost
+    more to move and sort than to make.  The last bit of a key tells whether the line
+    offers itself under it."""
+
+    def dealt(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, line = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = ((key >> U(32)) * U(buckets)) >> U(32)
+        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+        count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(count)
+        at = np.append(0, np.cumsum(count[some]))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _longs(key[order], at), _longs(line[order], at)], schema=_DEALT)
+
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in arriving:
             for part in pieces(batch, "text"):
                 lines = Lines(part.column(0), rule.least)
@@ -346,50 +372,68 @@ def _scan_keys(rule: Rule):
                 _, once = np.unique(lines.a, return_index=True)
                 lines.start, lines.end, lines.a = lines.start[once], lines.end[once], lines.a[once]
                 for key, use, own in keys(lines, rule):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(lines.a[use])), pa.array(own)], schema=_KEYS)
+                    found.append(((key & ~U(1)) | own.astype(U), lines.a[use]))
+                    size += len(key)
+                    if size >= HELD:
+                        yield dealt(found)
+                        found, size = [], 0
+        if size:
+            yield dealt(found)
 
     return run
 
 
-def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: those of keys that two lines have and one offers, named by
-    a hash of the key's lines.  Near copies share many keys, most of them among the
+def _named(key: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """Of all entries of some keys: those of keys that two lines have and one offers, named
+    by a hash of the key's lines.  Near copies share many keys, most of them among the
     same lines: these become one, and a line's text moves once for all of them."""
+    order = np.argsort(key)
+    own = key[order] >> U(1)
+    twin = np.zeros(len(order) + 1, bool)
+    twin[1:-1] = own[1:] == own[:-1]
+    order = order[twin[1:] | twin[:-1]]  # most keys have one line
+    own, key, a = key[order] & U(1) == 1, key[order] >> U(1), a[order].view(np.int64)
+    order = np.lexsort((a, key))
+    key, a, own = key[order], a[order], own[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(new)
+    if not len(start):
+        return pa.RecordBatch.from_pylist([], schema=_KEYS)
+    other = np.zeros(len(key), np.int64)
+    other[1:] = (a[1:] != a[:-1]) & ~new[1:]
+    use = (np.add.reduceat(other, start) > 0) & np.logical_or.reduceat(own, start)
+    once = np.ones(len(key), bool)
+    once[1:] = new[1:] | (a[1:] != a[:-1])
+    # a line may offer itself and probe under one key: it then counts as offering
+    first = np.flatnonzero(once)
+    offers = np.logical_or.reduceat(own, first)
+    group = np.cumsum(new)[first] - 1
+    total = np.zeros(len(first) + 1, U)
+    np.cumsum(mix(a[first].view(U) ^ (offers.astype(U) * U(0x9E3779B97F4A7C15))), out=total[1:])
+    edge = np.searchsorted(group, np.arange(len(start) + 1))
+    name = mix(total[edge[1:]] - total[edge[:-1]])
+    keep = use[group]
+    return pa.RecordBatch.from_arrays([pa.array(signed(name)[group][keep]), pa.array(a[first][keep]), pa.array(offers[keep])], schema=_KEYS)
 
-    def whole(key, a, own):
-        order = np.lexsort((a, key))
-        key, a, own = key[order], a[order], own[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(new)
-        other = np.zeros(len(key), np.int64)
-        other[1:] = (a[1:] != a[:-1]) & ~new[1:]
-        use = (np.add.reduceat(other, start) > 0) & np.logical_or.reduceat(own, start)
-        once = np.ones(len(key), bool)
-        once[1:] = new[1:] | (a[1:] != a[:-1])
-        # a line may offer itself and probe under one key: it then counts as offering
-        first = np.flatnonzero(once)
-        offers = np.logical_or.reduceat(own, first)
-        group = np.cumsum(new)[first] - 1
-        total = np.zeros(len(first) + 1, U)
-        np.cumsum(mix(a[first].view(U) ^ (offers.astype(U) * U(0x9E3779B97F4A7C15))), out=total[1:])
-        edge = np.searchsorted(group, np.arange(len(start) + 1))
-        name = mix(total[edge[1:]] - total[edge[:-1]])
-        keep = use[group]
-        return pa.RecordBatch.from_arrays([pa.array(signed(name)[group][keep]), pa.array(a[first][keep]), pa.array(offers[keep])], schema=_KEYS)
-
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+def _shared(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that lines share, from rows sorted by bucket."""
+
+    def done():
+        return _named(*(np.frombuffer(b"".join(x), U) for x in (held, lines)))
+
+    held, lines, size, last = [], [], 0, None
     for batch in arriving:
-        if not batch.num_rows:
-            continue
-        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        now = [np.concatenate(x) for x in zip(held, own, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
-        if cut:
-            yield whole(*(x[:cut] for x in now))
-        held = [x[cut:] for x in now]
-    if len(held[0]):
-        yield whole(*held)
+        for bucket, key, line in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if size >= AT_ONCE and bucket != last:
+                yield done()
+                held, lines, size = [], [], 0
+            held.append(key.as_buffer())
+            lines.append(line.as_buffer())
+            size, last = size + held[-1].size // 8, bucket
+    if size:
+        yield done()
 
 
 #: Bits of the map that tells which lines share a key: a fixed size, so beyond some ten million lines more texts move than need to.
@@ -460,7 +504,8 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule, mine
     size = np.array([len(x) for x in codes], np.int64)
     bound = rule.at(size)
     count = len(codes)
-    bag, grams = bags(codes, 1, BAG), bags(codes, TRI, TRI_BAG)
+    bag = bags(codes, 1, BAG)
+    grams, made = np.zeros((count, TRI_BAG), np.int32), np.zeros(count, bool)
     labels = Labels(count)
     across = bool(part.min() != part.max())
     offers = np.flatnonzero(index)
@@ -487,6 +532,10 @@ def link(texts: list[str], index: np.ndarray, part: np.ndarray, rule: Rule, mine
                 a, b = a[apart], b[apart]
                 if not len(a):
                     continue
+                new = np.unique(np.concatenate([a, b]))
+                new = new[~made[new]]
+                if len(new):  # counted for lines that single characters don't tell apart only
+                    grams[new], made[new] = bags([codes[v] for v in new], TRI, TRI_BAG), True
                 few = np.abs(grams[a] - grams[b]).sum(axis=1) <= 2 * TRI * bound[a]
                 if mine is not None:
                     few[few] = [mine(v, w) for v, w in zip(a[few].tolist(), b[few].tolist(), strict=True)]
@@ -550,7 +599,7 @@ class _Pairs:
     def __init__(self, rule: Rule):
         self.rule = rule
         self.texts: dict[bytes, str] = {}
-        self.pairs: set[tuple[bytes, bytes]] = set()
+        self.pairs: dict[tuple[bytes, bytes], tuple[_Row, _Row, list[int]]] = {}
         self.size = 0
 
     def add(self, key: int, rows: list[_Row]) -> None:
@@ -559,13 +608,20 @@ class _Pairs:
         bound = self.rule.at(np.array(size)).tolist()
         for i, x in enumerate(rows):
             for j, y in enumerate(rows[:i]):
-                if (x.own or y.own) and abs(size[i] - size[j]) <= min(bound[i], bound[j]) and not (across and x.part == y.part) and _first(key, x, y):
+                if (x.own or y.own) and abs(size[i] - size[j]) <= min(bound[i], bound[j]) and not (across and x.part == y.part):
                     short, long = (x, y) if size[i] <= size[j] else (y, x)
-                    if (short.name, long.name) not in self.pairs:
-                        self.pairs.add((short.name, long.name))
+                    pair = short.name, long.name
+                    if pair in self.pairs:
+                        self.pairs[pair][2].append(key)
+                    else:
+                        self.pairs[pair] = short, long, [key]
                         self.texts[short.name], self.texts[long.name] = short.text, long.text
                         self.size += len(long.text)
 
+    def mine(self, pair: tuple[bytes, bytes]) -> bool:
+        x, y, found = self.pairs[pair]
+        return any(_first(key, x, y) for key in found)
+
     def verified(self) -> Iterator[tuple[bytes, bytes]]:
         place = {a: i for i, a in enumerate(self.texts)}
         every = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in self.texts.values()]
@@ -574,11 +630,18 @@ class _Pairs:
         p, q = (np.array([place[x[k]] for x in pairs], np.int64) for k in (0, 1))
         bound = self.rule.at(np.array([len(c) for c in every], np.int64))[p] if pairs else p
         use = []
-        bag, grams = bags(every, 1, BAG), bags(every, TRI, TRI_BAG)
+        bag, near = bags(every, 1, BAG), []
         for i in range(0, len(pairs), 4096):
             a, b, most = p[i : i + 4096], q[i : i + 4096], bound[i : i + 4096]
-            near = (np.abs(bag[a] - bag[b]).sum(axis=1) <= 2 * most) & (np.abs(grams[a] - grams[b]).sum(axis=1) <= 2 * TRI * most)
-            use += [pairs[i + v] for v in np.flatnonzero(near)]
+            near.append(i + np.flatnonzero(np.abs(bag[a] - bag[b]).sum(axis=1) <= 2 * most))
+        near = np.concatenate(near) if near else np.zeros(0, np.int64)
+        some, place = np.unique(np.concatenate([p[near], q[near]]), return_inverse=True)
+        grams = bags([every[v] for v in some], TRI, TRI_BAG)
+        for i in range(0, len(near), 4096):
+            own = near[i : i + 4096]
+            a, b = grams[place[i : i + len(own)]], grams[place[len(near) + i : len(near) + i + len(own)]]
+            own = own[np.abs(a - b).sum(axis=1) <= 2 * TRI * bound[own]]
+            use += [pairs[v] for v in own if self.mine(pairs[v])]
         use.sort(key=lambda p: len(codes[p[1]]))
         at = 0
         while at < len(use):  # pairs of like length, so that little is padding
@@ -652,7 +715,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_
     lines = scratch.save(own.mapInArrow(_scan_lines(least_exact), ddl(_LINES)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "line_no")
     classes = scratch.save(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    offered = own.select("text").mapInArrow(_scan_keys(rule), ddl(_KEYS)).repartition(width(spark), "key").sortWithinPartitions("key")
+    buckets = max(4096, 8 * width(spark))
+    offered = own.select("text").mapInArrow(_scan_keys(rule, buckets), ddl(_DEALT)).repartition(width(spark), "bucket").sortWithinPartitions("bucket")
     shared = scratch.save(offered.mapInArrow(_shared, ddl(_KEYS)).distinct(), "shared")
     heavy = shared.groupBy("key").agg(F.ceil(F.countDistinct("a") / unit).cast("int").alias("parts")).where("parts > 1")
     shares = shared.join(heavy, "key", "left").groupBy("a").agg(F.collect_list(F.struct("key", "index", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("keys"))

@@ -239,6 +239,28 @@ def brute_lines(rows):
     return {(p[1], p[2]): (min(at)[1], min(at)[2], len(at)) for at in classes.values() if len(at) > 1 for p in at}
 
 
+def test_line_keys_move_many_in_a_row(monkeypatch):
+    """A row holds a range of keys, and the keys that lines share are those of brute force."""
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([12, 45, 330]))) for _ in range(60)]
+    made += [x[:5] + "#" + x[6:] for x in made[:40]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(made[i : i + 20]) for i in range(0, len(made), 20)])], names=["text"])
+    dealt = list(lines._scan_keys(lines.BY_LENGTH, 16)([batch]))
+    entries = [e for b in dealt for r in b.to_pylist() for e in zip(*(np.frombuffer(r[c], np.uint64).tolist() for c in ("keys", "lines")), strict=True)]
+    assert sum(b.num_rows for b in dealt) <= 16 * len(dealt) and len(entries) > 500
+    by = defaultdict(lambda: defaultdict(bool))
+    for key, line in entries:
+        by[key >> 1][line] |= bool(key & 1)
+    want = {frozenset(x.items()) for x in by.values() if len(x) > 1 and any(x.values())}
+    for at_once in (1, 1 << 18):
+        monkeypatch.setattr(lines, "AT_ONCE", at_once)
+        got = defaultdict(dict)
+        for b in lines._shared(pa.Table.from_batches(dealt).sort_by("bucket").to_batches(max_chunksize=3)):
+            for r in b.to_pylist():
+                got[r["key"]][r["a"] % 2**64] = r["index"]
+        assert {frozenset(x.items()) for x in got.values()} == want and want
+
+
 @pytest.mark.parametrize("unit", [2000, 5])
 def test_line_classes(docs, rows, empty, unit):
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.class_size) for r in lines.line_classes(docs, unit=unit).collect() if r.doc_id is not None}
