@@ -36,7 +36,7 @@ from .components import components
 from .forest import Labels
 from .jaccard import units
 from .store import Scratch, width
-from .tables import marked, replaced, table
+from .tables import rewritten, table
 from .words import U, buffers, mix, pieces, powers, prefix_hash, signed, span_digests, span_hash
 
 EDITS, LEAST, LEAST_EXACT = 2, 40, 15
@@ -79,7 +79,6 @@ _LINES = fields(doc_id="long", rk="long", line_no="int", a="long", b="long")
 _KEYS = fields(key="long", a="long", index="boolean")
 _TEXTS = fields(a="long", b="long", text="string")
 _EDGES = fields(a="binary", b="binary")
-_CUT = fields(doc_id="long", rk="long", text="string")
 
 
 class Lines:
@@ -737,14 +736,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_
     return out.select("doc_id", "rk", "line_no", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.line_no").cast("int").alias("class_line_no"), "class_size", place.eqNullSafe(F.col("class_first")).alias("kept"))
 
 
-def _cut(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found():
-        for batch in arriving:
-            for doc, rk, text, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = set(gone)
-                yield doc, rk, "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-
-    yield from batches(found(), _CUT)
+def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for x, lines in zip(text, gone, strict=True):
+        own = x.as_py()
+        if lines.is_valid:
+            drop = set(lines.as_py())
+            own = "\n".join(line for i, line in enumerate(own.split("\n")) if i not in drop)
+        out.append(own)
+    return pa.array(out, pa.string())
 
 
 def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -753,9 +753,7 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     where there is one, follows the text."""
     scratch = Scratch(docs.sparkSession, "cutlines")
     gone = scratch.save(line_classes(docs, text=text, key=key, **options).where("not kept").groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("gone")), "gone")
-    rest, hit = marked(docs, gone, "gone", text, key)
-    cut = hit.select(F.col("__cut_id").alias("doc_id"), F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_gone").alias("gone")).dropDuplicates(["doc_id", "rk"])
-    out = replaced(docs, rest, hit, scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts"), text)
+    out = rewritten(docs, gone, "gone", _cut, text, key)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow import batches, ddl, fields, rows
 from .store import Scratch, join_groups, width
-from .tables import marked, replaced, table
+from .tables import parted, rewritten, table
 from .words import U, Words, buffers, mix, pieces, signed
 
 _ANCHORS = fields(kh="long", rk="long", pos="int")
@@ -37,7 +37,6 @@ _CONTEXTS = fields(kh="long", suffix="binary", left="binary", doc_id="long", rk=
 _MARKS = fields(rk="long", doc_id="long", lo="int", hi="int", drop="boolean", first_doc_id="long")
 _WINDOWS = fields(w1="long", w2="long", doc_id="long", rk="long", pos="int")
 _SPANS = fields(doc_id="long", rk="long", span_start="long", span_end="long", n_words="long", n_dropped="long", first_doc_id="long")
-_CUT = fields(doc_id="long", rk="long", text="string")
 
 #: Bytes of text and number of anchors that a task works on at a time.
 TEXTS, STEP = 1 << 19, 8_000
@@ -351,7 +350,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     hits = scratch.save(hits.select("rk", "pos", (F.col("n") > hot).alias("hot")), "hits")
     scratch.drop("anchors", "counts")
     lists = hits.groupBy("rk", "hot").agg(F.collect_set("pos").alias("positions"))
-    joined = own.join(lists, "rk").select("rk", "text", "doc_id", "positions", "hot")
+    joined = parted(own, "rk", hits, "rk")[0].join(lists, "rk").select("rk", "text", "doc_id", "positions", "hot")
 
     def contexts(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "text", "rk", "positions").mapInArrow(_contexts(k, least), ddl(_CONTEXTS))
@@ -364,20 +363,22 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     return grouped.mapInArrow(_merge, ddl(_SPANS) + ", dropped array<int>")
 
 
-def _cut(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found():
-        for batch in arriving:
-            for part in pieces(batch, "text"):
-                words = Words(part.column("text"))
-                for r, (doc, rk, text, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "rk", "text", "dropped")), strict=True)):
-                    raw, base, ptr, at, out = text.encode(), words.offsets[r], words.row_ptr, 0, []
-                    for lo, hi in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                        out.append(raw[at : words.start[ptr[r] + lo] - base])
-                        at = words.start[ptr[r] + hi] - base if hi < words.count[r] else len(raw)
-                    out.append(raw[at:])
-                    yield doc, rk, b"".join(out).decode()
-
-    yield from batches(found(), _CUT)
+def _cut(text: pa.Array, dropped: pa.Array) -> pa.Array:
+    out = []
+    for part in pieces(pa.RecordBatch.from_arrays([text, dropped], names=["text", "dropped"]), "text", TEXTS):
+        words = Words(part.column(0))
+        for r, (own, spans) in enumerate(zip(part.column(0), part.column(1), strict=True)):
+            own = own.as_py()
+            if spans.is_valid:
+                spans = spans.as_py()
+                raw, base, ptr, at, left = own.encode(), words.offsets[r], words.row_ptr, 0, []
+                for lo, hi in sorted(zip(spans[::2], spans[1::2], strict=True)):
+                    left.append(raw[at : words.start[ptr[r] + lo] - base])
+                    at = words.start[ptr[r] + hi] - base if hi < words.count[r] else len(raw)
+                left.append(raw[at:])
+                own = b"".join(left).decode()
+            out.append(own)
+    return pa.array(out, pa.string())
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -385,11 +386,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: st
     is left goes.  Texts without dropped words are untouched, with all columns;
     n_chars, where there is one, follows the text."""
     scratch = Scratch(docs.sparkSession, "cut")
-    spans = scratch.save(repeated_spans(docs, least=least, text=text, key=key).where("n_dropped > 0").select("doc_id", "rk", "dropped"), "spans")
-    gone = spans.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("dropped")).alias("dropped"))
-    rest, hit = marked(docs, gone, "dropped", text, key)
-    cut = hit.select(F.col("__cut_id").alias("doc_id"), F.col("__cut_rk").alias("rk"), F.col(text).alias("text"), F.col("__cut_dropped").alias("dropped")).dropDuplicates(["doc_id", "rk"])
-    out = replaced(docs, rest, hit, scratch.save(cut.mapInArrow(_cut, ddl(_CUT)), "texts"), text)
+    spans = repeated_spans(docs, least=least, text=text, key=key).where("n_dropped > 0")
+    gone = scratch.save(spans.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("dropped")).alias("dropped")), "spans")
+    out = rewritten(docs, gone, "dropped", _cut, text, key)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
 
 

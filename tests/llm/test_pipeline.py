@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 
-from boscage.llm import jaccard, lines, suffix
+from boscage.llm import jaccard, lines, suffix, tables
 
 
 def test_stages(spark, tmp_path):
@@ -51,3 +51,17 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
     none = tmp_path / "none"
     spark.createDataFrame([], schema).write.parquet(str(none / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
+def test_only_rewritten_rows_move(spark, tmp_path):
+    rows = [(i, f"a {i}\nb", "x") for i in range(5000)] + [(7, "a 7\nb", "y"), (None, "only", "z"), (8, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    named = docs.selectExpr("doc_id", "xxhash64(doc_id, text) rk", "array(0) lines").where("text = 'only' or doc_id in (7, 9, 4999)").distinct()
+    named.write.parquet(str(tmp_path / "named"))
+    named = spark.read.parquet(str(tmp_path / "named"))
+    some, rest = tables.parted(docs.selectExpr("*", "xxhash64(doc_id, text) rk"), "rk", named, "rk")
+    ids = Counter(r.doc_id for r in some.collect())
+    assert ids[7] == 2 and ids[None] == ids[9] == ids[4999] == 1 and some.count() < 300 and some.count() + rest.count() == len(rows)
+    got = Counter(tuple(r) for r in tables.rewritten(docs, named, "lines", lines._cut, "text", "doc_id").collect())
+    want = [(d, "b" if d in (7, 9, 4999) else t, g) for d, t, g in rows if t != "only"]
+    assert got == Counter(want)
