@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -44,3 +45,19 @@ def fields(**kinds: str) -> pa.Schema:
     """fields(a='long', b='string') as an Arrow schema."""
     by = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "short": pa.int16()}
     return pa.schema([(k, by[v]) for k, v in kinds.items()])
+
+
+def thrifty(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a task's freed memory goes back to the system: Python workers
+    outlive their tasks, and several of them wait beside each executor's own process."""
+
+    def kept(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(arriving)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return kept

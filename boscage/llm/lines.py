@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batches, ddl, fields
+from .arrow import batches, ddl, fields, thrifty
 from .components import components
 from .forest import Labels
 from .jaccard import units
@@ -711,21 +711,21 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_
     scratch = Scratch(spark, "lines")
     rule = rule or Rule(((least, edits),), 0)
     own = _own(docs, text, key)
-    lines = scratch.save(own.mapInArrow(_scan_lines(least_exact), ddl(_LINES)), "lines")
+    lines = scratch.save(own.mapInArrow(thrifty(_scan_lines(least_exact)), ddl(_LINES)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "line_no")
     classes = scratch.save(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     buckets = max(4096, 8 * width(spark))
-    offered = own.select("text").mapInArrow(_scan_keys(rule, buckets), ddl(_DEALT)).repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-    shared = scratch.save(offered.mapInArrow(_shared, ddl(_KEYS)).distinct(), "shared")
+    offered = own.select("text").mapInArrow(thrifty(_scan_keys(rule, buckets)), ddl(_DEALT)).repartition(width(spark), "bucket").sortWithinPartitions("bucket")
+    shared = scratch.save(offered.mapInArrow(thrifty(_shared), ddl(_KEYS)).distinct(), "shared")
     heavy = shared.groupBy("key").agg(F.ceil(F.countDistinct("a") / unit).cast("int").alias("parts")).where("parts > 1")
     shares = shared.join(heavy, "key", "left").groupBy("a").agg(F.collect_list(F.struct("key", "index", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("keys"))
     held = spark.sparkContext.broadcast(_map_of(shared))
-    texts = own.select("text").mapInArrow(_scan_texts(rule.least, held), ddl(_TEXTS)).join(shares, "a")
+    texts = own.select("text").mapInArrow(thrifty(_scan_texts(rule.least, held)), ddl(_TEXTS)).join(shares, "a")
     dealt = texts.select("a", "b", "text", F.transform("keys", lambda k: k["key"].bitwiseAND(-2).bitwiseOR(k["index"].cast("long"))).alias("all"), F.explode("keys").alias("k"))
     part = F.pmod(F.xxhash64("a"), F.col("k.parts")).cast("int")
     dealt = dealt.select("a", "b", "text", "all", "k.key", "k.index", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("k.parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "b", "index", "text", "all")
-    near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(rule), ddl(_EDGES))
+    near = dealt.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(thrifty(_verify(rule)), ddl(_EDGES))
     name = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("a", "b")]))
     roots = components(near, scratch, "near")
     named = classes.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -16,13 +16,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ddl, fields
+from .arrow import ddl, fields, thrifty
 from .tables import table
 from .tokens import PART, huggingface, id_columns
 from .words import pieces
 
 _PIECES = fields(doc_id="long", start="long", length="long", ids="binary", doc_tokens="long", sequence_id="long", offset="long", bucket="int")
 
+#: Bytes of known cuts that a Python worker holds on to, after its task too.
+HELD = 64 << 20
+
 
 def lengths(n: int, longest: int) -> list[int]:
     """Powers of two, longest first, that sum to n; none is over longest."""
@@ -48,10 +51,10 @@ def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
 
 def _cut(longest: int, end_id: int | None, path: str | None):
     def run(arriving: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = huggingface(path)
+        encoder = huggingface(path, HELD)
         k = TaskContext.get().partitionId() << 33
         for batch in arriving:
-            for part in pieces(batch, "text", PART):
+            for part in pieces(batch, "text", PART // 4):
                 ids, counts = encoder.encode(part.column(1), end_id)
                 row, size = decompose(counts, longest)
                 start = np.cumsum(size) - size - (np.cumsum(counts) - counts)[row]
@@ -78,7 +81,7 @@ def pack(docs: DataFrame, longest: int = 2048, end_id: int | None = 1, path: str
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(_cut(longest, end_id, path), ddl(_PIECES))
+    return own.mapInArrow(thrifty(_cut(longest, end_id, path)), ddl(_PIECES))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batches, ddl, fields, rows
+from .arrow import batches, ddl, fields, rows, thrifty
 from .store import Scratch, join_groups, width
 from .tables import parted, rewritten, table
 from .words import U, Words, buffers, mix, pieces, signed
@@ -274,7 +274,7 @@ def _windows(k: int, least: int):
 
 def _counted(contexts: DataFrame, scratch: Scratch, k: int, least: int) -> DataFrame:
     """The marks of anchors that are too frequent for one task."""
-    w = scratch.save(contexts.mapInArrow(_windows(k, least), ddl(_WINDOWS)).distinct(), "windows")
+    w = scratch.save(contexts.mapInArrow(thrifty(_windows(k, least)), ddl(_WINDOWS)).distinct(), "windows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
     firsts = w.groupBy("w1", "w2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = join_groups(w, scratch.save(firsts, "firsts"), ["w1", "w2"], "n")
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     scratch = Scratch(spark, "suffix")
     rk = F.xxhash64(F.col(key).cast("long"), F.col(text))
     own = docs.select(rk.alias("rk"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"))
-    anchors = scratch.save(own.select("rk", "text").mapInArrow(_anchors(k, least - k + 1), ddl(_ANCHORS)), "anchors")
+    anchors = scratch.save(own.select("rk", "text").mapInArrow(thrifty(_anchors(k, least - k + 1)), ddl(_ANCHORS)), "anchors")
     at = F.struct("rk", "pos")
     counts = anchors.groupBy("kh").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("kh", "n")
     hits = join_groups(anchors, scratch.save(counts, "counts"), ["kh"], "n")
@@ -353,10 +353,10 @@ def repeated_spans(docs: DataFrame, least: int = 50, k: int = 16, text: str = "t
     joined = parted(own, "rk", hits, "rk")[0].join(lists, "rk").select("rk", "text", "doc_id", "positions", "hot")
 
     def contexts(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "text", "rk", "positions").mapInArrow(_contexts(k, least), ddl(_CONTEXTS))
+        return df.select("doc_id", "text", "rk", "positions").mapInArrow(thrifty(_contexts(k, least)), ddl(_CONTEXTS))
 
     some = contexts(joined.where(~F.col("hot"))).repartition(width(spark), "kh").sortWithinPartitions("kh", "suffix", "doc_id", "rk", "pos")
-    marks = some.mapInArrow(_compare(k, least), ddl(_MARKS))
+    marks = some.mapInArrow(thrifty(_compare(k, least)), ddl(_MARKS))
     if hits.where("hot").limit(1).count():
         marks = marks.unionByName(_counted(contexts(joined.where("hot")), scratch, k, least))
     grouped = marks.groupBy("rk", "doc_id").agg(F.collect_list(F.struct("lo", "hi", "drop", "first_doc_id")).alias("marks"))

@@ -159,9 +159,10 @@ def id_columns(ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[slice, pa.
 _made: dict[tuple[str, str], PieceCache] = {}
 
 
-def huggingface(path: str | None = None) -> PieceCache:
+def huggingface(path: str | None = None, limit: int = 160 << 20) -> PieceCache:
     """By the tokenizers library with add_special_tokens=False: an added token's
-    string in a text has that token's id.  One for each file and Python process."""
+    string in a text has that token's id.  One for each file and Python process, which
+    holds limit bytes from its last call on."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if ("hf", path) not in _made:
         from tokenizers import Tokenizer
@@ -177,4 +178,5 @@ def huggingface(path: str | None = None) -> PieceCache:
 
         added = tuple(x.content.encode() for x in whole.get_added_tokens_decoder().values())
         _made["hf", path] = PieceCache(piece, unbroken=added)
+    _made["hf", path].limit = limit
     return _made["hf", path]

@@ -3,9 +3,12 @@ empty and long texts, ties, repeated rows and columns with clashing names."""
 
 import base64
 import hashlib
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -19,6 +22,7 @@ import xxhash
 from boscage.llm import bpe, exact, jaccard, lines, packing, quality, suffix, tokenfile, tokens, words
 from boscage.llm.store import Scratch
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, rk long, `group` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -606,3 +610,24 @@ def test_join_groups_with_hot_ones(spark):
     got = sorted(tuple(r) for r in join_groups(df, groups, ["k"], "n", share=5).select("k", "v", "n").collect())
     sizes = Counter(k for k, _ in rows)
     assert max(sizes.values()) * 5 > sum(sizes.values()) and got == sorted((k, v, sizes[k]) for k, v in rows if k != 999)
+
+
+def test_workers_give_freed_memory_back():
+    code = """
+import psutil
+from boscage.llm import arrow
+last = []
+def run(arriving):
+    held = [bytes(100_000) for _ in arriving]
+    last.append(held[-1])
+    del held
+    yield 1
+assert list(arrow.thrifty(run)(range(3000))) == [1]
+assert psutil.Process().memory_info().rss < 250e6, psutil.Process().memory_info().rss
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": ROOT}, timeout=60)
+
+
+def test_packing_holds_few_known_cuts():
+    encoder = tokens.huggingface(None, packing.HELD)
+    assert encoder.limit == packing.HELD <= 64 << 20
